@@ -40,3 +40,29 @@ with d as (
 select doc_id, n_chars, edited_sha256, {_PRINT.format("a")} as fingerprint, {_PRINT.format("b")} as edited_fingerprint,
   {_NEAR.format("sb")} as near_edited, {_NEAR.format("sc")} as near_next from s
 """
+
+SQL["op7_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), s as (select doc_id, unnest(range(1, len(w) - 18)) as s from w
+), h as (select s.doc_id, s.s, md5(array_to_string(w.w[s.s : s.s + 19], ' ')) as h from s join w using (doc_id)
+), n as (select doc_id, s, row_number() over (partition by h order by doc_id, s) as nth from h
+), g as (select distinct doc_id, unnest(range(s, s + 20)) as i from n where nth > 1
+), r as (select doc_id, list(i) as gone from g group by doc_id
+), k as (select w.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+    case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end as kept
+  from w left join r using (doc_id))
+select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k
+"""
+
+SQL["op10_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s from w
+), t as (select doc_id, len(s) as n, unnest(s) as g from s
+), c as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared from t a join t b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), l as (select a, b from c where 100 * shared >= 85 * (na + nb - shared)
+), r as (select doc_id as node, doc_id as root from documents union select l.b, r.root from r join l on l.a = r.node where r.root < l.b)
+select s.doc_id, len(s) as n_shingles, (select min(root) from r where r.node = s.doc_id) as component_id from s
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import merkle, mixing, oracles, sharding, urls
+from logweave.llm import jaccard_join, merkle, mixing, oracles, sharding, substring_dedup, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.parse(_read(spark, sf_dir, "documents")).drop("factors")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(_read(spark, sf_dir, "documents"))
 
@@ -29,5 +33,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op8_fingerprints, op9_sharding)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"), size=4, num=17, den=20).drop("class_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join)}
 ORACLES = oracles.SQL
