@@ -19,6 +19,9 @@ _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators of terms: also all other ASCII that is not a letter, a digit or an underscore.
+TERM_SPACE = np.zeros(256, bool)
+TERM_SPACE[[c for c in range(128) if not (chr(c).isalnum() or c == 0x5F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,7 +100,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
-def slices(col: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
+def slices(col: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, space_bytes: np.ndarray = _SPACE) -> Iterator[Words]:
     """Words of successive runs of rows of about limit bytes each; a longer text makes a slice of its own."""
     if not len(col):
         return
@@ -110,7 +113,7 @@ def slices(col: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iter
         if lower:
             buf = _LOWER[buf]
         text = off[at : to + 1] - off[at]
-        space = _SPACE[buf]
+        space = space_bytes[buf]
         word = ~space
         begin = word.copy()
         begin[1:] &= space[:-1]
