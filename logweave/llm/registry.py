@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import jaccard_join, merkle, mixing, oracles, pii, sharding, substring_dedup, toxicity, urls
+from logweave.llm import jaccard_join, merkle, mixing, oracles, pii, segmentation, sharding, substring_dedup, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.encode(_read(spark, sf_dir, "documents"), k=2).drop("ids")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_read(spark, sf_dir, "documents")))
 
@@ -45,5 +49,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), size=4, num=17, den=20).drop("class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op4_toxicity, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op4_toxicity, op5_sentencepiece, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join)}
 ORACLES = oracles.SQL
