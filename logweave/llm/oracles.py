@@ -66,3 +66,18 @@ with recursive w as (
 ), r as (select doc_id as node, doc_id as root from documents union select l.b, r.root from r join l on l.a = r.node where r.root < l.b)
 select s.doc_id, len(s) as n_shingles, (select min(root) from r where r.node = s.doc_id) as component_id from s
 """
+
+SQL["op2_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v
+), l as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) >= 0.98
+), r as (select vec_id as node, vec_id as root from embeddings union select l.b, r.root from r join l on l.a = r.node where r.root < l.b
+), c as (select node, min(root) as root from r group by node
+), k as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, root as component_id, vec_id = root as kept
+from embeddings join c on c.node = vec_id left join k on k.a = vec_id
+"""

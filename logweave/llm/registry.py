@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import jaccard_join, merkle, mixing, oracles, pii, segmentation, sharding, substring_dedup, toxicity, urls
+from logweave.llm import embedding_dedup, jaccard_join, merkle, mixing, oracles, pii, segmentation, sharding, substring_dedup, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -49,5 +53,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), size=4, num=17, den=20).drop("class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op4_toxicity, op5_sentencepiece, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_url_filter, op4_toxicity, op5_sentencepiece, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join)}
 ORACLES = oracles.SQL
