@@ -224,3 +224,19 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     roots = components(links)
     named = rep.join(roots, rep["class_id"] == roots["node"], "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id")).dropDuplicates(["doc_id"])
     return info.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The documents, all columns kept, that are first of their component; documents without words and with null doc_id all stay.
+
+    Rows that repeat a doc_id stay once, with the least text.
+    """
+    named = join(docs, size, num, den)
+    heads = named.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs["doc_id"] == heads["_head"], "left_semi")
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
+    once = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
+    names = [c for c in docs.columns if c != "doc_id"]
+    least = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("c_text"), *(F.col(c).alias(f"c_{c}") for c in names if c != "text"))).alias("r"))
+    least = least.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"r.c_{c}").alias(c) for c in docs.columns))
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))

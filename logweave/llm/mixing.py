@@ -87,3 +87,11 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, keep: tuple[st
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     targets = water_fill(ranked_weights(sizes), float(total), max_epochs)
     return repetitions(sized, targets, seed)
+
+
+def repeated(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """The documents, all columns kept, each as many times as the mix takes it."""
+    inner = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*(F.col(c).alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "source", "text"))).alias("_row"))
+    times = mix(inner, max_epochs, seed, keep=("text", "_row")).where("times > 0")
+    out = times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return out.select(*(F.col(c) if c in ("doc_id", "source", "text") else F.col(f"_row.c_{c}").alias(c) for c in docs.columns))

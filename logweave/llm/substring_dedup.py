@@ -178,7 +178,8 @@ def parse(docs: DataFrame) -> DataFrame:
     marked = docs.join(marks, "doc_id", "left")
     edge = marked.mapInArrow(_edge_windows, "a long, h long, doc_id long, s int")
     earliest = edge.groupBy("a", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    starts = edge.join(earliest, ["a", "h"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("s").alias("starts")).checkpoint()
+    starts = edge.join(earliest, ["a", "h"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("s").alias("starts"))
+    # Not cut here: within one plan the texts are dealt by doc_id once and read by both uses.
     return marked.join(starts, "doc_id", "left").select("doc_id", "text", "whole", "starts").mapInArrow(
         _factors, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int>>"
     )
