@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-checkpoint-"))
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go as soon as each action ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder; what made them is freed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with freeing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a new frame takes the setting
+
+
 def _lowest_of_larger(e: DataFrame) -> DataFrame:
     """Large-star: every neighbour above a node is hung under the node's smallest neighbour."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,21 +57,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     only ever aggregated by min or joined on its own id, which adaptive execution may split. Self loops and
     null ends are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-        .checkpoint()
-    )
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e = cut(ends.where("u <> v").distinct())
 
     def state(x: DataFrame):
         return x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = state(e)
     for _ in range(max_rounds):
-        e = _lowest_of_smaller(_lowest_of_larger(e)).checkpoint()
+        e = cut(_lowest_of_smaller(_lowest_of_larger(e)))
         after = state(e)
         if after == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import words as W
-from logweave.llm.graph import ensure_checkpoint_dir
+from logweave.llm.graph import cut
 
 WINDOW, ANCHOR = 20, 6
 
@@ -160,7 +160,6 @@ def parse(docs: DataFrame) -> DataFrame:
     equal doc_id count as one document among themselves: neither is earlier. A null doc_id is compared with
     nothing but itself. An empty table gives no rows; other columns are ignored.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = docs.mapInArrow(_index, "a long, c long, doc_id long, at int").where("doc_id is not null")
     again = blocks.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("first < last")
@@ -169,17 +168,12 @@ def parse(docs: DataFrame) -> DataFrame:
     part = met.where("differ").select("a", "c", "doc_id", "at")
     heads = part.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
     part = part.join(heads, ["a", "c"]).select("doc_id", "at", (F.col("doc_id") > F.col("first")).alias("whole"))
-    marks = (
-        whole.unionByName(part)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.when(F.col("whole"), F.col("at"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("at"))).alias("part"))
-        .checkpoint()
-    )
+    lists = (F.collect_list(F.when(F.col("whole"), F.col("at"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("at"))).alias("part"))
+    marks = cut(whole.unionByName(part).groupBy("doc_id").agg(*lists))
     marked = docs.join(marks, "doc_id", "left")
     edge = marked.mapInArrow(_edge_windows, "a long, h long, doc_id long, s int")
     earliest = edge.groupBy("a", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    starts = edge.join(earliest, ["a", "h"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("s").alias("starts"))
-    # Not cut here: within one plan the texts are dealt by doc_id once and read by both uses.
+    starts = cut(edge.join(earliest, ["a", "h"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("s").alias("starts")))
     return marked.join(starts, "doc_id", "left").select("doc_id", "text", "whole", "starts").mapInArrow(
         _factors, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int>>"
     )
