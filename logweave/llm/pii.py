@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import words as W
-from logweave.llm.graph import ensure_checkpoint_dir
+from logweave.llm.graph import cut
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -169,10 +169,9 @@ def find(docs: DataFrame) -> DataFrame:
     Null text is empty. Rows with equal doc_id and text share their spans; with equal doc_id and other texts each
     has its own. Terms inside a base span are not reported. An empty table gives no rows.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    found = docs.mapInArrow(_entities, f"doc_id long, h long, base {_SPAN_SQL}, near {_PAIR_SQL}").checkpoint()
-    terms = disclosing_terms(found, docs, found.count()).checkpoint()
+    found = cut(docs.mapInArrow(_entities, f"doc_id long, h long, base {_SPAN_SQL}, near {_PAIR_SQL}"))
+    terms = cut(disclosing_terms(found, docs, found.count()))
     # The table has TABLE_BITS bits whatever the corpus; a full one only lets more words through to the exact join.
     place = F.col("t").bitwiseAND(F.lit(TABLE_BITS - 1))
     words = terms.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast((t & {TABLE_BITS - 1}) % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
@@ -189,6 +188,10 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+def _count(kind: int) -> F.Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term from find()'s rows."""
     name = F.array(*map(F.lit, KINDS))
@@ -197,7 +200,7 @@ def report(found: DataFrame) -> DataFrame:
     whole = F.array_sort(F.concat("base", F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
+        *(_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"),
         shown(whole).alias("spans"),
         F.size("terms").cast("long").alias("n_term"),
