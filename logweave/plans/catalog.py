@@ -1,4 +1,53 @@
 """Named queries of the engine and the SQL that checks them."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.operators import rules
+from logweave.sources import synth
+
+NOW = F.lit(synth.NOW).cast("timestamp")
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return synth.synth_lines(_read(spark, sf_dir, "events")).select("seq", "expected", "raw")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.cascade(_lines(spark, sf_dir), NOW)
+
+
+def normalized_records(spark, sf_dir):
+    return _records(spark, sf_dir).select("seq", "mode", "format", "family", "timestamp", "source", "event_type", "severity", "message")
+
+
+QUERIES = {f.__name__: f for f in (normalized_records,)}
 ORACLES = {}
+ORACLES["normalized_records"] = f"""
+with {synth.LINES_SQL}, s as (select *, case lvl when 'info' then 'info' when 'warn' then 'warning' when 'error' then 'error' else 'debug' end as sev,
+    (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[u % 8 + 1] as num from lines)
+select seq, case when row_number() over (partition by n order by seq) = 1 then 'Discovery' else 'Cached' end as mode,
+  case n when 0 then 'JSON Object' when 1 then 'Comma-Delimited (5 fields)' when 2 then 'Pipe-Delimited (4 fields)' when 3 then 'RFC 3164 Syslog (BSD)' when 4 then 'RFC 5424 Syslog'
+    when 5 then 'NCSA Combined / Web Access Log' when 6 then 'CEF (Common Event Format)' when 7 then 'LEEF (Log Event Extended Format)' when 8 then 'Kubernetes / CRI Container Log'
+    when 9 then 'Nginx / Web Server Error Log' when 10 then 'Python Standard Logger' when 11 then 'Java Application / Log4j / Spring Boot' when 12 then 'Compositional Zone Extraction (Tokens: 9, K/V: 0, Brackets: 1)'
+    when 13 then 'Logfmt / Key-Value Stream' when 14 then 'Compositional Zone Extraction (Tokens: 8, K/V: 0, Brackets: 0)' else 'Compositional Zone Extraction (Tokens: 9, K/V: 0, Brackets: 1)' end as format,
+  expected as family,
+  case when n in (6, 10) then null when n = 8 then sec || '.123456Z' when n = 11 then sec || '.123000Z' else iso end as timestamp,
+  case when n in (0, 1, 2, 13) then svc when n in (3, 4) then host when n = 5 then ip when n = 6 then 'Acme IDS' when n = 7 then 'Acme Fw' when n = 9 then 'nginx' when n = 10 then 'app.views'
+    when n = 11 then 'c.acme.App' when n = 12 then 'postgres' else 'unknown' end as source,
+  case when n = 3 then 'auth_failure' when n = 4 then 'ID' || u when n = 5 then 'http_request' when n in (6, 7) then cast(100 + u as varchar) when n = 9 then 'web_error' when n = 12 then 'db_query'
+    when n = 15 then 'connection_error' else 'unknown' end as event_type,
+  case when n in (0, 1, 2, 10, 11, 13, 15) then sev when n = 3 then 'warning' when n in (4, 6) then num when n = 5 then case when status >= 500 then 'error' when status >= 400 then 'warning' else 'info' end
+    when n in (8, 9) then 'error' else 'unknown' end as severity,
+  case when n in (0, 1, 2, 10, 11, 13) then et || ' by user ' || u when n = 3 then 'Failed password for root from ' || ip || ' port ' || (1000 + u) || ' ssh2' when n = 4 then et || ' happened'
+    when n = 5 then 'GET /p/' || v || ' HTTP/1.1' when n in (6, 7) then et || ' seen' when n = 8 then case when et = 'error' then '' else et || ' ' end || 'failed for job ' || u when n = 9 then 'open() failed'
+    when n = 12 then 'duration: 1.' || (100 + u) || ' ms' when n = 14 then '; ' || upper(lvl) || '; ' || et || ' by user ' || u || '; x' else 'Worker job ' || u || ' took ' || v || 'ms connection refused' end as message
+from s
+"""
