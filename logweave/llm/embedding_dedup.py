@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.graph import components, ensure_checkpoint_dir
+from logweave.llm.graph import components, cut
 
 CELL, PART, BLOCK, BUCKET_ROWS = 96, 64, 256, 4096
 TABLES, BITS = 4, 24
@@ -119,16 +119,16 @@ def graph(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, see
     cells = cells.select("id", F.xxhash64("label", "t", "code").alias("g"))
     rows = _grouped(cells, 4 * CELL, seed).join(vectors, "id").withColumn("k", F.lit(k)).withColumn("floor", F.lit(-2.0))
     lists = rows.groupBy("bucket").applyInPandas(_compare, _EDGE)
-    lists = (lists if start is None else lists.unionByName(start)).checkpoint()
+    lists = cut((lists if start is None else lists.unionByName(start)))
     state = _state(vectors, lists.limit(0), threshold, k)
-    lists = _top(lists, state).checkpoint()
+    lists = cut(_top(lists, state))
     for turn in range(rounds):
-        state = _state(vectors, lists, threshold, k).checkpoint()
+        state = cut(_state(vectors, lists, threshold, k))
         both = lists.select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(lists.select(F.col("v").alias("g"), F.col("u").alias("id")))
-        around = both.unionByName(lists.select(F.col("u").alias("g"), F.col("u").alias("id"))).distinct().checkpoint()
+        around = cut(both.unionByName(lists.select(F.col("u").alias("g"), F.col("u").alias("id"))).distinct())
         rows = _grouped(around, PART, seed + 100 + turn).join(vectors.join(state, "id"), "id")
         found = rows.groupBy("bucket").applyInPandas(_compare, _EDGE).distinct().join(lists.select("u", "v"), ["u", "v"], "left_anti")
-        grown = _top(lists.unionByName(found), state).checkpoint()
+        grown = cut(_top(lists.unionByName(found), state))
         n = grown.count()
         fresh = grown.join(lists, ["u", "v"], "left_anti").count()
         lists = grown
@@ -156,7 +156,7 @@ def missed(vectors: DataFrame, parts: DataFrame, threshold: float, seed: int, si
                     a, b = g["id"].to_numpy()[i], ids[j]
                     yield pd.DataFrame({"a": a, "b": b, "found": g["root"].to_numpy()[i] == roots[j]})[a != b]
 
-    links = placed.mapInPandas(run, "a long, b long, found boolean").checkpoint()
+    links = cut(placed.mapInPandas(run, "a long, b long, found boolean"))
     n = links.agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("found")).first()
     return links.where("not found").select("a", "b"), n["found"] / n["n"] if n["n"] else 1.0
 
@@ -187,13 +187,12 @@ def link(vectors: DataFrame, threshold: float = 0.8, k: int = 8, seed: int = 1,
     threshold. Null, zero and not finite vectors link with nothing; neither do vectors of different lengths. Repeated
     rows of one vec_id count once and are all returned. An empty table gives no rows; other columns are ignored.
     """
-    ensure_checkpoint_dir(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
     good = rows.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     keyed = good.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(3), "embedding"))
     key = ["label", "h1", "h2"]
     classes = keyed.select("vec_id", *key).distinct().groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    heads = keyed.join(classes, key).where("vec_id = id").select("id", "label", F.size("embedding").alias("dims"), "embedding", "copies").dropDuplicates(["id", "label"]).checkpoint()
+    heads = cut(keyed.join(classes, key).where("vec_id = id").select("id", "label", F.size("embedding").alias("dims"), "embedding", "copies").dropDuplicates(["id", "label"]))
     flat = heads.select("id", "label", "dims", "embedding")
     lists = extra = None
     for cycle in range(max_cycles):

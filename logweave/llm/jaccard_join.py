@@ -8,7 +8,7 @@ one-deletion neighbourhoods; the plan of each band weighs the number of signatur
 matches. Empty segments are not signed: as many segments more are signed instead, and the few sets with more
 empty segments than that sign the empty ones too. Candidates are verified exactly on the whole sets.
 
-Signatures met by several documents first give star edges to the smallest document, which are verified; only
+Of the smallest documents of its signatures, a document is first verified with the one it shares most with; only
 members of one signature that are still in different components are then compared with each other, after exact
 bounds on size and on the parity sketch. No group is expanded into all its pairs, and no link between components
 is lost.
@@ -26,11 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import words as W
-from logweave.llm.graph import components, ensure_checkpoint_dir
+from logweave.llm.graph import components, cut
 
 RATIO = 1.5
-SKETCH = 8  # 64-bit words
-_PAIR_BYTES = 1 << 24
+SKETCH = 512  # bits at least, a power of two
 
 
 class Bands:
@@ -117,12 +116,15 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch: bit b is the parity of the shingles hashed to it; two sets differ in at least as many shingles as their sketches in bits."""
-    bits = np.bincount((W.mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parity sketch of about as many bits as shingles: bit b is the parity of the shingles hashed to it; two sets differ in at least as many shingles as their sketches in bits."""
+    bits = SKETCH
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((W.mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_INFO = "doc_id long, n long, f1 long, f2 long, " + ", ".join(f"k{i} long" for i in range(SKETCH))
+_INFO = "doc_id long, n long, f1 long, f2 long, sketch array<long>"
 
 
 def _info(size: int):
@@ -131,11 +133,13 @@ def _info(size: int):
             ids = b.column("doc_id")
             for w in W.slices(b.column("text"), lower=True):
                 rows = [
-                    (len(s), int(W.mix(s).sum(dtype=np.uint64).view(np.int64)), int(W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)), *_sketch(s).tolist())
+                    (len(s), int(W.mix(s).sum(dtype=np.uint64).view(np.int64)), int(W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)), _sketch(s))
                     for s in shingle_sets(w, size)
                 ]
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([ids.slice(w.row, len(rows)), *(pa.array(c, pa.int64()) for c in cols)], names=[x.split()[0] for x in _INFO.split(", ")])
+                *cols, sketches = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(w.row, len(rows)), *(pa.array(c, pa.int64()) for c in cols), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "sketch"]
+                )
 
     return run
 
@@ -170,10 +174,14 @@ def _verify(size: int, num: int, den: int):
 
 
 def _possible(num: int, den: int, a: str, b: str) -> Column:
-    """Exact bounds: sizes in proportion, sketches no farther apart than similar sets can be."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (n * den >= m * num) & (m * den >= n * num) & (apart * (num + den) <= (n + m) * (den - num))
+    """Exact bounds: sizes in proportion, sketches no farther apart than similar sets can be. A sketch twice as long as the other is folded; if more, only sizes tell."""
+    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    k = F.least(F.size(p), F.size(q))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: F.when(F.size(c) == k, c).otherwise(F.zip_with(F.slice(c, 1, k), F.slice(c, k + 1, k), xor))
+    apart = F.aggregate(F.zip_with(half(p), half(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (F.greatest(F.size(p), F.size(q)) > 2 * k) | (apart * (num + den) <= (n + m) * (den - num))
+    return (n * den >= m * num) & (m * den >= n * num) & near
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -184,14 +192,12 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     with equal doc_id are joined by it. A null doc_id is returned with null ids and links with nothing. An empty
     table gives no rows; other columns are ignored.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    info = docs.mapInArrow(_info(size), _INFO).checkpoint()
+    info = cut(docs.mapInArrow(_info(size), _INFO))
     known = info.where("n > 0 and doc_id is not null")
-    sketch = [f"k{i}" for i in range(SKETCH)]
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     rep = known.join(classes, ["n", "f1", "f2"]).select("doc_id", "class_id").distinct()
-    heads = known.join(rep.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", *sketch).dropDuplicates(["doc_id"])
+    heads = known.join(rep.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     signed = docs.where("doc_id is not null").mapInArrow(_sign(size, num, den), "sig long, doc_id long")
     met = signed.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig", "low")
     members = signed.join(met, "sig")
@@ -206,13 +212,15 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     # Members by class: (sig, class) once each, and the smallest class of each signature.
     groups = members.join(rep, "doc_id").select("sig", F.col("class_id").alias("doc_id")).distinct()
     low = groups.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig", "low")
-    groups = groups.join(low, "sig").checkpoint()
-    star = groups.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = verified(star).checkpoint()
+    groups = cut(groups.join(low, "sig"))
+    # One edge per class to begin with: to that smallest class with which it shares most signatures.
+    shared = groups.where("doc_id > low").groupBy("low", "doc_id").agg(F.count("*").alias("n"))
+    star = cut(shared.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("a")).select("a", "b"))
+    first = cut(verified(star))
     parts = components(first)
     placed = groups.join(parts, groups["doc_id"] == parts["node"], "left").select("sig", "doc_id", F.coalesce("root", "doc_id").alias("part"))
     split = placed.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("sig")
-    open_ = placed.join(split, "sig").join(heads, "doc_id").checkpoint()
+    open_ = cut(placed.join(split, "sig").join(heads, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
     across = (
         x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _possible(num, den, "x", "y"))
@@ -220,7 +228,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    links = first.unionByName(verified(across))
+    links = first.unionByName(verified(cut(across)))
     roots = components(links)
     named = rep.join(roots, rep["class_id"] == roots["node"], "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id")).dropDuplicates(["doc_id"])
     return info.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

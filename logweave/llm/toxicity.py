@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import words as W
+from logweave.llm.graph import cut
 
 #: Bounds of what fitting looks at: labelled documents, and word beginnings brought to the driver.
 TRAIN_ROWS, MAX_TERMS = 20_000, 50_000
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     chosen = known.where(~held_out()).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(train_rows)
     # At most train_rows rows of two numbers are broadcast.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.checkpoint()
+    rows = cut(rows)
     size = dict(rows.groupBy("toxic").count().collect())
     if not size.get(0) or not size.get(1):
         return automaton([]), np.zeros(len(FEATURES) + 1), []

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators import rules
-from logweave.sources import synth
+from logweave.functions import fixed
+from logweave.functions.text import extract, mask_line
+from logweave.functions.timestamps import parse_ts, render
+from logweave.operators import assemble, gate, mining, reports, rules
+from logweave.operators.normalize import canonical_severity, infer_event
+from logweave.operators.parse import json_entries
+from logweave.sources import readers, synth
 
+EXTRAS = ("http_status", "bytes_sent", "http_path", "user", "pid", "program", "port", "facility", "stream", "thread", "user_database", "n", "latency", "connection_id", "client", "severity_raw", "spt")
+SEVERITY_CASES = ("INFO", "[warn]", "Fatal", "(err)", "verbose", "D", "notice", "Exception", "panic", "LOG")
+TS_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss '+0000'", "yyyy-MM-dd HH:mm:ss,'123'", "yyyy-MM-dd'T'HH:mm:ss.'5+05:30'")
+YEAR_CASES = (("Dec 30 10:00:00", "2025-12-30T10:00:00Z"), ("Jan 4 10:00:00", "2026-01-04T10:00:00Z"), ("Feb 29 10:00:00", None), ("count 5 items", None), ("20260913", None), ("10:15:32", "2026-01-01T10:15:32Z"))
 NOW = F.lit(synth.NOW).cast("timestamp")
 
 
@@ -24,11 +33,206 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade(_lines(spark, sf_dir), NOW)
 
 
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and mode only: nothing is parsed for them."""
+    rows = rules.with_family(_lines(spark, sf_dir), NOW)
+    first = rows.groupBy("family").agg(F.min("seq").alias("first_seq"))
+    return rows.join(F.broadcast(first), "family").withColumn("mode", F.when(F.col("seq") == F.col("first_seq"), "Discovery").otherwise("Cached")).select("seq", "family", "mode")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes with made-up latencies and gate results, each a function of the row."""
+    marks = synth.synth_lines(_read(spark, sf_dir, "events")).select("seq", (F.col("v") % 100 / 4).alias("latency_ms"), ((F.col("u") % 10 == 0) | ((F.col("n").isin(6, 7)) & (F.col("u") % 3 > 0))).alias("gate_novel"), F.when(F.col("u") % 7 == 0, "other").otherwise(F.col("expected")).alias("gate_family"))
+    return _modes(spark, sf_dir).join(marks, "seq")
+
+
+def _physical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of stack traces, indents and braces, fifty to a batch."""
+    i = F.col("event_id")
+    kinds = [F.concat(F.lit("start "), i), F.concat(F.lit("  indented "), i), F.concat(F.lit('open {"k": "}'), i, F.lit('"')), F.lit('"v": 1}'), F.concat(F.lit("Caused by: "), i)]
+    return _read(spark, sf_dir, "events").select(F.floor(i / 50).alias("batch_id"), i.alias("line_no"), F.get(F.array(*kinds), F.pmod(i, F.lit(5)).cast("int")).alias("line"))
+
+
 def normalized_records(spark, sf_dir):
     return _records(spark, sf_dir).select("seq", "mode", "format", "family", "timestamp", "source", "event_type", "severity", "message")
 
 
-QUERIES = {f.__name__: f for f in (normalized_records,)}
+def family_counts(spark, sf_dir):
+    return rules.with_family(_lines(spark, sf_dir), NOW).groupBy("family").agg(F.count("*").alias("n"))
+
+
+def family_severity_counts(spark, sf_dir):
+    return _records(spark, sf_dir).groupBy("family", "severity").agg(F.count("*").alias("n"))
+
+
+def fingerprint_features(spark, sf_dir):
+    rows = rules.with_rule(rules.with_family(_lines(spark, sf_dir), NOW), NOW)
+    return rows.select("seq", *(F.col(f"fingerprint.{c}").alias(c) for c in ("is_json", "tok_count", "pipe_count", "comma_count", "eq_count", "bracket_count", "family")))
+
+
+def first_rule(spark, sf_dir):
+    got = rules.family_rules(rules.with_family(_lines(spark, sf_dir), NOW), NOW)
+    return got.select("family", "first_seq", F.col("rule.method").alias("method"), F.col("rule.delimiter").alias("delimiter"), F.col("rule.signature").alias("signature"))
+
+
+def unseen_families(spark, sf_dir):
+    known = spark.createDataFrame([(f,) for f in rules.known_families()[:8]], "family string")
+    return rules.unseen_families(rules.with_family(_lines(spark, sf_dir), NOW), known).select("family", "seq")
+
+
+def extra_fields(spark, sf_dir):
+    return _records(spark, sf_dir).select("seq", *(F.try_element_at("extra", F.lit(k)).alias(k) for k in EXTRAS))
+
+
+def mode_share(spark, sf_dir):
+    return reports.mode_share(_modes(spark, sf_dir))
+
+
+def family_mode_pivot(spark, sf_dir):
+    return reports.mode_pivot(_modes(spark, sf_dir))
+
+
+def run_summary_topk(spark, sf_dir):
+    return reports.top_values(_records(spark, sf_dir), "event_type")
+
+
+def console_counts(spark, sf_dir):
+    return reports.console(_modes(spark, sf_dir))
+
+
+def facets(spark, sf_dir):
+    return reports.facets(_modes(spark, sf_dir)).drop("place")
+
+
+def search_filter(spark, sf_dir):
+    return reports.search(_records(spark, sf_dir).select("seq", "mode", "source", "message"), "Failed Password", "Cached").select("seq")
+
+
+def page_slice(spark, sf_dir):
+    return reports.pages(rules.with_family(_lines(spark, sf_dir), NOW).select("seq", "family"), 2)
+
+
+def family_summary(spark, sf_dir):
+    return reports.summary_with_modes(_scored(spark, sf_dir))
+
+
+def precision_recall(spark, sf_dir):
+    return reports.precision_recall(_scored(spark, sf_dir), F.col("family").isin("cef", "leef"))
+
+
+def per_unknown(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy("family").agg(F.round(F.avg(F.col("gate_novel").cast("double")), 3).alias("catch_rate"))
+
+
+def mask_templates(spark, sf_dir):
+    return mining.mask_groups(_lines(spark, sf_dir), "raw")
+
+
+def event_infer(spark, sf_dir):
+    return _lines(spark, sf_dir).select("seq", infer_event(F.col("raw")).alias("event"))
+
+
+def entity_ip(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", extract(F.coalesce("text", F.lit("")), fixed.IPV4, 0).alias("ip"))
+
+
+def severity_map(spark, sf_dir):
+    words = spark.createDataFrame([(w, "str") for w in SEVERITY_CASES] + [(str(i), "num") for i in range(10)], "word string, kind string")
+    return words.select("word", "kind", canonical_severity(F.col("word"), F.col("kind")).alias("severity"))
+
+
+def ts_ladder(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ts = F.date_trunc("second", "ts")
+    made = [F.struct(F.lit(i).alias("layout"), F.date_format(ts, p).alias("text")) for i, p in enumerate(TS_LAYOUTS)]
+    made += [F.struct(F.lit(len(made)).alias("layout"), F.unix_seconds(ts).cast("string").alias("text")), F.struct(F.lit(len(made) + 1).alias("layout"), F.unix_millis(ts).cast("string").alias("text"))]
+    rows = _read(spark, sf_dir, "events").select("event_id", F.explode(F.array(*made)).alias("x"))
+    return rows.select("event_id", F.col("x.layout").alias("layout"), render(parse_ts(F.col("x.text"), NOW)).alias("iso"))
+
+
+def ts_year_infer(spark, sf_dir):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.createDataFrame([(a,) for a, _ in YEAR_CASES], "text string")
+    return rows.select("text", render(parse_ts(F.col("text"), F.lit("2026-01-05 00:00:00").cast("timestamp"))).alias("iso"))
+
+
+def rec_assemble(spark, sf_dir):
+    got = assemble.assemble(_physical(spark, sf_dir))
+    return got.select("batch_id", "rec_no", "n_lines", F.md5("raw").alias("raw_md5"))
+
+
+def nth_occurrence(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type", "user_id")
+    return rules.with_repeats(rows, "event_type", "user_id")
+
+
+def _novel(spark, sf_dir):
+    et, u = F.col("event_type"), F.col("user_id")
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(et, F.lit(" "), u % 40).alias("template"), F.concat(et, F.lit(" "), u).alias("raw"), F.lit("x").alias("family_guess"))
+
+
+def quarantine_decisions(spark, sf_dir):
+    return mining.quarantine(_novel(spark, sf_dir)).select("seq", "count", "occurrences", "kind", "graduates")
+
+
+def quarantine_top(spark, sf_dir):
+    return mining.quarantine_view(_novel(spark, sf_dir)).select("template", "count", "first_seq", "last_seq", F.array_join("samples", "|").alias("samples"))
+
+
+def split_lines(spark, sf_dir):
+    rows = readers.split_lines(_read(spark, sf_dir, "documents"), "text", "doc_id")
+    return rows.select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+def batch_limits(spark, sf_dir):
+    lines = _read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("batch_id"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
+    ok, refused = readers.within_limits(lines)
+    return ok.select("batch_id", "line_no", F.lit(True).alias("accepted")).unionByName(refused.select("batch_id", "line_no", F.lit(False).alias("accepted")))
+
+
+def rule_keys(spark, sf_dir):
+    return _lines(spark, sf_dir).select("seq", readers.rule_key("raw").alias("key"))
+
+
+def newest_runs(spark, sf_dir):
+    runs = _read(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("id")).agg(F.max("ts").alias("at"), F.sum(F.length("props")).alias("bytes"))
+    return readers.newest_runs(runs).select("id", "bytes")
+
+
+def props_entries(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", F.explode(json_entries(F.col("props"))).alias("e"))
+    return rows.select("event_id", F.col("e.k").alias("k"), F.col("e.v").alias("v"), F.col("e.t").alias("t"))
+
+
+def template_mining(spark, sf_dir):
+    return mining.template_view(mining.mine(_lines(spark, sf_dir)))
+
+
+def gate_novelty(spark, sf_dir):
+    lines = _lines(spark, sf_dir).select(F.col("seq").alias("id"), F.col("expected").alias("label"), mask_line(F.col("raw")).alias("text"))
+    marked = gate.split(lines.where(F.col("label") != "leef")).select("id", "label", "text", "held_out")
+    known = marked.where("not held_out").dropDuplicates(["text"])
+    terms = gate.vocabulary(known)
+    asked = lines.where(F.col("label") == "leef").withColumn("held_out", F.lit(True)).unionByName(marked.where("held_out")).dropDuplicates(["text"])
+    scored = gate.distances(gate.tfidf(asked, terms), gate.tfidf(known, terms)).join(asked, "id")
+    limit = gate.threshold(scored.where(F.col("label") != "leef"))
+    return gate.novel(scored, limit).groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("novel").cast("double")).alias("novel_rate"))
+
+
+def gate_families(spark, sf_dir):
+    lines = gate.split(_lines(spark, sf_dir).select(F.col("seq").alias("id"), F.col("expected").alias("label"), mask_line(F.col("raw")).alias("text")))
+    got = gate.predict(gate.fit_families(lines.where("not held_out")), lines.where("held_out"))
+    return got.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("family_guess") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalized_records, family_counts, family_severity_counts, fingerprint_features, first_rule, unseen_families, extra_fields, mode_share, family_mode_pivot, run_summary_topk,
+        console_counts, facets, search_filter, page_slice, family_summary, precision_recall, per_unknown, mask_templates, event_infer, entity_ip, severity_map, ts_ladder, ts_year_infer,
+        rec_assemble, nth_occurrence, quarantine_decisions, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_families,
+    )
+}
 ORACLES = {}
 ORACLES["normalized_records"] = f"""
 with {synth.LINES_SQL}, s as (select *, case lvl when 'info' then 'info' when 'warn' then 'warning' when 'error' then 'error' else 'debug' end as sev,
@@ -51,3 +255,65 @@ select seq, case when row_number() over (partition by n order by seq) = 1 then '
     when n = 12 then 'duration: 1.' || (100 + u) || ' ms' when n = 14 then '; ' || upper(lvl) || '; ' || et || ' by user ' || u || '; x' else 'Worker job ' || u || ' took ' || v || 'ms connection refused' end as message
 from s
 """
+
+_BASE = ORACLES["normalized_records"]
+_NORMAL = f"norm as ({_BASE})"
+_SCORED = f"""{synth.LINES_SQL}, sc as (select seq, expected as family, v % 100 / 4.0 as latency_ms, (u % 10 = 0 or (n in (6, 7) and u % 3 > 0)) as gate_novel,
+    case when u % 7 = 0 then 'other' else expected end as gate_family, case when row_number() over (partition by n order by seq) = 1 then 'Discovery' else 'Cached' end as mode from lines)"""
+ORACLES["family_counts"] = f"with {synth.LINES_SQL} select expected as family, count(*) as n from lines group by 1"
+ORACLES["family_severity_counts"] = f"with {_NORMAL} select family, severity, count(*) as n from norm group by all"
+ORACLES["fingerprint_features"] = f"""with {synth.LINES_SQL} select seq, n = 0 as is_json, len(regexp_extract_all(raw, '\\S+')) as tok_count, length(raw) - length(replace(raw, '|', '')) as pipe_count,
+  length(raw) - length(replace(raw, ',', '')) as comma_count, length(raw) - length(replace(raw, '=', '')) as eq_count, 2 * length(raw) - length(replace(raw, '[', '')) - length(replace(raw, '(', '')) as bracket_count, expected as family from lines"""
+ORACLES["first_rule"] = f"""with {_NORMAL} select family, seq as first_seq, case family when 'json' then 'json' when 'csv' then 'delimiter' when 'pipe' then 'delimiter' else 'compositional' end as method,
+  case family when 'csv' then ',' when 'pipe' then '|' end as delimiter, format as signature from norm where mode = 'Discovery'"""
+ORACLES["unseen_families"] = f"with {synth.LINES_SQL} select expected as family, min(seq) as seq from lines where expected not in ('json', 'cef', 'leef', 'ncsa', 'rfc5424', 'rfc3164', 'cri', 'nginx_error') group by 1"
+ORACLES["extra_fields"] = f"""with {synth.LINES_SQL} select seq, case when n = 5 then status::varchar end as http_status, case when n = 5 then v::varchar end as bytes_sent, case when n = 5 then '/p/' || v end as http_path,
+  case when n = 3 then 'root' when n = 5 then 'user' || u when n = 8 then 'job' when n = 14 then u::varchar end as user, case when n in (1, 3, 4, 11, 12) then v::varchar when n = 9 then v || '#0' end as pid,
+  case when n = 3 then 'sshd' when n = 4 then 'app' || (u % 3) end as program, case when n = 3 then (1000 + u)::varchar end as port, case when n = 4 then (u % 192 // 8)::varchar end as facility,
+  case when n = 8 then 'stderr' end as stream, case when n = 11 then 'main' end as thread, case when n = 12 then 'app@db' end as user_database, case when n = 13 then v::varchar end as n,
+  case when n = 0 then v::varchar end as latency, case when n = 9 then u::varchar end as connection_id, case when n = 9 then ip end as client, case when n = 12 then 'LOG' end as severity_raw,
+  case when n = 6 then v::varchar end as spt from lines"""
+ORACLES["mode_share"] = f"with {_SCORED} select mode, round(100.0 * count(*) / sum(count(*)) over (), 2) as share from sc group by mode"
+_PIVOT = "count(*) filter (mode = 'Cached') as cached, count(*) filter (mode = 'Discovery') as discovery, count(*) filter (mode = 'Quarantined') as quarantined, count(*) filter (mode = 'Error') as error"
+ORACLES["family_mode_pivot"] = f"with {_SCORED} select family, {_PIVOT} from sc group by 1"
+ORACLES["run_summary_topk"] = f"with {_NORMAL} select event_type as value, count(*) as n, min(seq) as first_seq from norm group by 1 order by n desc, first_seq limit 5"
+ORACLES["console_counts"] = f"with {_SCORED} select count(*) filter (mode = 'Cached') as known, count(*) filter (mode = 'Discovery') as fresh, 0 as issues, round(100.0 * count(*) filter (mode = 'Cached') / count(*))::bigint as saved_pct from sc"
+ORACLES["facets"] = f"with {_SCORED} select mode, count(*) as n from sc group by 1"
+ORACLES["search_filter"] = f"with {_NORMAL} select seq from norm where mode = 'Cached' and contains(lower(message), 'failed password')"
+ORACLES["page_slice"] = f"with {synth.LINES_SQL} select seq, expected as family from lines order by seq limit 400"
+ORACLES["family_summary"] = f"""with {_SCORED} select family, count(*) as lines, round(avg(latency_ms), 4) as mean_ms, round(quantile_cont(latency_ms, 0.5), 4) as p50_ms, round(avg(gate_novel::int), 4) as novel_rate,
+  round(avg((gate_family = family)::int), 4) as fam_acc, {_PIVOT} from sc group by 1"""
+ORACLES["precision_recall"] = f"""with {_SCORED}, k as (select *, family in ('cef', 'leef') as unknown from sc) select count(*) filter (gate_novel and unknown) / nullif(count(*) filter (unknown), 0) as recall,
+  count(*) filter (gate_novel and unknown) / nullif(count(*) filter (gate_novel), 0) as precision, count(*) filter (gate_novel and not unknown) / nullif(count(*) filter (not unknown), 0) as false_alarm from k"""
+ORACLES["per_unknown"] = f"with {_SCORED} select family, round(avg(gate_novel::int), 3) as catch_rate from sc group by 1"
+_MASKED = "raw"
+for _p, _t in fixed.MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_t}', 'g')"
+ORACLES["mask_templates"] = f"with {synth.LINES_SQL} select {_MASKED} as template, count(*) as size from lines group by 1"
+_EVENT = " ".join(f"when regexp_matches(raw, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
+ORACLES["event_infer"] = f"with {synth.LINES_SQL} select seq, case {_EVENT} else 'unknown' end as event from lines"
+ORACLES["entity_ip"] = f"select doc_id, regexp_extract(coalesce(text, ''), '{fixed.IPV4}', 0) as ip from documents"
+ORACLES["severity_map"] = """select * from (values ('INFO', 'str', 'info'), ('[warn]', 'str', 'warning'), ('Fatal', 'str', 'critical'), ('(err)', 'str', 'error'), ('verbose', 'str', 'unknown'), ('D', 'str', 'debug'),
+  ('notice', 'str', 'info'), ('Exception', 'str', 'error'), ('panic', 'str', 'critical'), ('LOG', 'str', 'unknown'), ('0', 'num', 'critical'), ('1', 'num', 'critical'), ('2', 'num', 'critical'), ('3', 'num', 'error'),
+  ('4', 'num', 'warning'), ('5', 'num', 'info'), ('6', 'num', 'info'), ('7', 'num', 'debug'), ('8', 'num', 'unknown'), ('9', 'num', 'unknown')) t(word, kind, severity)"""
+ORACLES["ts_ladder"] = """select event_id, layout, case layout when 5 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123000Z' when 6 then strftime(ts - interval 330 minute, '%Y-%m-%dT%H:%M:%S') || '.500000Z'
+  else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as iso from events, range(0, 9) r(layout)"""
+ORACLES["ts_year_infer"] = "select * from (values " + ", ".join(f"('{a}', {repr(b) if b else 'null'})" for a, b in YEAR_CASES) + ") t(text, iso)"
+ORACLES["rec_assemble"] = """with l as (select event_id // 50 as batch_id, event_id as i, event_id % 5 as k, case event_id % 5 when 0 then 'start ' || event_id when 1 then '  indented ' || event_id
+    when 2 then 'open {"k": "}' || event_id || '"' when 3 then '"v": 1}' else 'Caused by: ' || event_id end as line from events),
+  s as (select *, sum(case when k in (0, 2) or f then 1 else 0 end) over (partition by batch_id order by i) as rec_no from (select *, row_number() over (partition by batch_id order by i) = 1 as f from l))
+select batch_id, rec_no::bigint as rec_no, count(*)::int as n_lines, md5(string_agg(line, chr(10) order by i)) as raw_md5 from s group by all"""
+ORACLES["nth_occurrence"] = "select event_id as seq, event_type, user_id, row_number() over (partition by event_type, user_id order by event_id) as nth from events"
+_NOVEL = "n as (select event_id as seq, event_type || ' ' || (user_id % 40) as template, event_type || ' ' || user_id as raw from events)"
+ORACLES["quarantine_decisions"] = f"""with {_NOVEL}, c as (select *, row_number() over (partition by template order by seq) as count, row_number() over (partition by raw order by seq) as occurrences from n),
+  a as (select *, count >= 8 and occurrences < 5 as able from c)
+select seq, count, occurrences, case when occurrences >= 5 then 'escalated' when count < 8 then 'quarantined' else 'discover' end as kind,
+  able and row_number() over (partition by template, able order by seq) = 1 as graduates from a"""
+ORACLES["quarantine_top"] = f"""with {_NOVEL}, o as (select template, raw as sample, count(*) as n, min(seq) as first, max(seq) as last from n group by all), r as (select *, row_number() over (partition by template order by first) as nth from o)
+select template, sum(n)::bigint as count, min(first) as first_seq, max(last) as last_seq, string_agg(sample, '|' order by nth) filter (nth <= 3) as samples from r group by 1 order by count desc, first_seq limit 100"""
+ORACLES["split_lines"] = """with s as (select doc_id, string_split(text, chr(10)) as l from documents), u as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from s)
+select doc_id, line_no::int as line_no, md5(line) as line_md5 from u where regexp_matches(line, '[^\\s]')"""
+ORACLES["batch_limits"] = "select doc_id // 10 as batch_id, doc_id as line_no, max(length(text)) over (partition by doc_id // 10) <= 10000 as accepted from documents"
+ORACLES["rule_keys"] = f"with {synth.LINES_SQL} select seq, 'sih:rule:' || substr(sha1(raw), 1, 16) as key from lines"
+ORACLES["newest_runs"] = "select day(ts) as id, sum(length(props))::bigint as bytes from events group by 1 order by max(ts) desc limit 3"
+ORACLES["props_entries"] = "select event_id, unnest(json_keys(props)) as k, json_extract_string(props, '$.' || json_keys(props)[1]) as v, 'num' as t from events"
