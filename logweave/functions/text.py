@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
@@ -83,3 +83,12 @@ def is_json_object(c: Column) -> Column:
     one = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
     read = F.from_json(c, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
     return F.coalesce(shaped & F.coalesce(one, F.lit(False)) & read, F.lit(False))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with every column computed once here.
+
+    Each row passes through inline() of a one-element array, which Catalyst neither merges into later projections
+    nor moves filters across, so long chains of columns are not copied into every expression that reads them.
+    """
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
-from logweave.functions.text import FLAGS, null_if_empty, strip
+from logweave.functions.text import FLAGS, null_if_empty, settled, strip
 from logweave.functions.timestamps import from_epoch, parse_ts, render
 from logweave.operators.parse import ENTRY
 
@@ -65,6 +65,7 @@ def normalize(df: DataFrame, now: Column, raw: str = "raw") -> DataFrame:
     def first_of(name: str) -> Column:
         return F.get(F.filter("_e", lambda e, i: F.get(F.col("_bound"), i) & (e["c"] == name)), F.lit(0))
 
+    df = settled(df)
     for name in fixed.ALIASES:
         df = df.withColumn(f"_{name}", first_of(name))
     t, s = F.col("_timestamp"), F.col("_severity")
@@ -75,7 +76,7 @@ def normalize(df: DataFrame, now: Column, raw: str = "raw") -> DataFrame:
         F.when(s["v"].isNotNull() & (F.col("_sev") == "unknown"), F.struct(F.lit("severity_raw").alias("k"), s["v"].alias("v"))),
     ]
     df = df.withColumn("_pairs", F.concat(F.transform("_x", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))), F.filter(F.array(*odd), lambda e: e.isNotNull())))
-    df = df.withColumn("extra", _map(F.col("_pairs")))
+    df = settled(df.withColumn("extra", _map(F.col("_pairs"))))
     other = F.coalesce(*(null_if_empty(F.try_element_at("extra", F.lit(k))) for k in fixed.SOURCE_FALLBACKS), F.lit("unknown"))
     df = df.withColumn("source", F.coalesce(F.col("_source")["v"], other))
     df = df.withColumn("message", F.coalesce(F.col("_message")["v"], strip(F.col(raw))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
-from logweave.functions.text import SEVERITY_PREFIX, after, clean, extract, groups, is_json_object, let, matches, null_if_empty, strip
+from logweave.functions.text import SEVERITY_PREFIX, after, clean, extract, groups, is_json_object, let, matches, null_if_empty, settled, strip
 from logweave.functions.timestamps import parse_ts, render
 
 ENTRY = "array<struct<k:string,v:string,t:string>>"
@@ -274,8 +274,8 @@ def parse(df: DataFrame, now: Column, raw: str = "raw", method: str = "method",
     df = df.withColumn("_line", F.when(F.col("_docker"), clean(value("log")["v"])).when(F.col("_cri").isNotNull(), strip(F.col("_cri")[3])).otherwise(F.col("_s")))
     df = df.withColumn("_inner", F.when(F.col("_cri").isNotNull(), json_entries(F.col("_line"))))
     free = F.col("_docker") | (F.col("_cri").isNotNull() & F.col("_inner").isNull()) | (F.col("_j").isNull() & F.col("_cri").isNull() & (F.col(method) != "delimiter"))
-    df = with_compositional(df.withColumn("_line", F.when(free, F.col("_line"))), "_line", "_comp", now)
-    df = with_delimited(df, "_s", method, delimiter, now)
+    df = with_compositional(settled(df.withColumn("_line", F.when(free, F.col("_line")))), "_line", "_comp", now)
+    df = with_delimited(settled(df), "_s", method, delimiter, now)
     comp, level = F.col("_comp"), F.when(F.col("_cri")[1] == "stderr", "ERROR").otherwise("INFO")
     own = [("stream", F.col("_cri")[1]), ("cri_flag", F.col("_cri")[2]), ("severity", level)]
     mine = _entries([("severity", level)])
@@ -287,6 +287,7 @@ def parse(df: DataFrame, now: Column, raw: str = "raw", method: str = "method",
     outer = F.filter("_j", lambda e: e["k"] != "log")
     wrapped = F.struct(comp["ts"].alias("ts"), comp["fields"].alias("fields"), F.concat(without(comp["extra"], outer), outer).alias("extra")).cast(RESULT)
     plain = F.struct(F.lit(None).cast("string").alias("ts"), _renamed(F.col("_j")).alias("fields"), F.array().cast(ENTRY).alias("extra")).cast(RESULT)
+    df = settled(df)
     df = df.withColumn("_w", wrapped).withColumn("_p", plain).withColumn("_k", cri)
     result = (
         F.when(F.col("_docker"), F.col("_w"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
-from logweave.functions.text import clean
+from logweave.functions.text import clean, settled
 from logweave.operators import detect
 from logweave.operators.normalize import normalize
 from logweave.operators.parse import parse
@@ -61,4 +61,4 @@ def cascade(records: DataFrame, now: Column, raw: str = "raw", seq: str = "seq")
     rows = with_family(records, now, raw)
     rows = apply_rules(rows, family_rules(rows, now, seq, raw), seq)
     rows = rows.withColumn("method", F.col("rule.method")).withColumn("delimiter", F.col("rule.delimiter")).withColumn("format", F.col("rule.signature")).withColumn("inferred_by", F.col("rule.inferred_by"))
-    return normalize(parse(rows, now, raw), now, raw).drop("rule", "method", "delimiter")
+    return settled(normalize(settled(parse(settled(rows), now, raw)), now, raw)).drop("rule", "method", "delimiter")
