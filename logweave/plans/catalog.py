@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
@@ -17,7 +17,10 @@ EXTRAS = ("http_status", "bytes_sent", "http_path", "user", "pid", "program", "p
 SEVERITY_CASES = ("INFO", "[warn]", "Fatal", "(err)", "verbose", "D", "notice", "Exception", "panic", "LOG")
 TS_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss '+0000'", "yyyy-MM-dd HH:mm:ss,'123'", "yyyy-MM-dd'T'HH:mm:ss.'5+05:30'")
 YEAR_CASES = (("Dec 30 10:00:00", "2025-12-30T10:00:00Z"), ("Jan 4 10:00:00", "2026-01-04T10:00:00Z"), ("Feb 29 10:00:00", None), ("count 5 items", None), ("20260913", None), ("10:15:32", "2026-01-01T10:15:32Z"))
-NOW = F.lit(synth.NOW).cast("timestamp")
+
+
+def _now() -> Column:
+    return F.lit(synth.NOW).cast("timestamp")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,12 +33,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.cascade(_lines(spark, sf_dir), NOW)
+    return rules.cascade(_lines(spark, sf_dir), _now())
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Family and mode only: nothing is parsed for them."""
-    rows = rules.with_family(_lines(spark, sf_dir), NOW)
+    rows = rules.with_family(_lines(spark, sf_dir), _now())
     first = rows.groupBy("family").agg(F.min("seq").alias("first_seq"))
     return rows.join(F.broadcast(first), "family").withColumn("mode", F.when(F.col("seq") == F.col("first_seq"), "Discovery").otherwise("Cached")).select("seq", "family", "mode")
 
@@ -58,7 +61,7 @@ def normalized_records(spark, sf_dir):
 
 
 def family_counts(spark, sf_dir):
-    return rules.with_family(_lines(spark, sf_dir), NOW).groupBy("family").agg(F.count("*").alias("n"))
+    return rules.with_family(_lines(spark, sf_dir), _now()).groupBy("family").agg(F.count("*").alias("n"))
 
 
 def family_severity_counts(spark, sf_dir):
@@ -66,18 +69,18 @@ def family_severity_counts(spark, sf_dir):
 
 
 def fingerprint_features(spark, sf_dir):
-    rows = rules.with_rule(rules.with_family(_lines(spark, sf_dir), NOW), NOW)
+    rows = rules.with_rule(rules.with_family(_lines(spark, sf_dir), _now()), _now())
     return rows.select("seq", *(F.col(f"fingerprint.{c}").alias(c) for c in ("is_json", "tok_count", "pipe_count", "comma_count", "eq_count", "bracket_count", "family")))
 
 
 def first_rule(spark, sf_dir):
-    got = rules.family_rules(rules.with_family(_lines(spark, sf_dir), NOW), NOW)
+    got = rules.family_rules(rules.with_family(_lines(spark, sf_dir), _now()), _now())
     return got.select("family", "first_seq", F.col("rule.method").alias("method"), F.col("rule.delimiter").alias("delimiter"), F.col("rule.signature").alias("signature"))
 
 
 def unseen_families(spark, sf_dir):
     known = spark.createDataFrame([(f,) for f in rules.known_families()[:8]], "family string")
-    return rules.unseen_families(rules.with_family(_lines(spark, sf_dir), NOW), known).select("family", "seq")
+    return rules.unseen_families(rules.with_family(_lines(spark, sf_dir), _now()), known).select("family", "seq")
 
 
 def extra_fields(spark, sf_dir):
@@ -109,7 +112,7 @@ def search_filter(spark, sf_dir):
 
 
 def page_slice(spark, sf_dir):
-    return reports.pages(rules.with_family(_lines(spark, sf_dir), NOW).select("seq", "family"), 2)
+    return reports.pages(rules.with_family(_lines(spark, sf_dir), _now()).select("seq", "family"), 2)
 
 
 def family_summary(spark, sf_dir):
@@ -147,7 +150,7 @@ def ts_ladder(spark, sf_dir):
     made = [F.struct(F.lit(i).alias("layout"), F.date_format(ts, p).alias("text")) for i, p in enumerate(TS_LAYOUTS)]
     made += [F.struct(F.lit(len(made)).alias("layout"), F.unix_seconds(ts).cast("string").alias("text")), F.struct(F.lit(len(made) + 1).alias("layout"), F.unix_millis(ts).cast("string").alias("text"))]
     rows = _read(spark, sf_dir, "events").select("event_id", F.explode(F.array(*made)).alias("x"))
-    return rows.select("event_id", F.col("x.layout").alias("layout"), render(parse_ts(F.col("x.text"), NOW)).alias("iso"))
+    return rows.select("event_id", F.col("x.layout").alias("layout"), render(parse_ts(F.col("x.text"), _now())).alias("iso"))
 
 
 def ts_year_infer(spark, sf_dir):

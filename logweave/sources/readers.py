@@ -50,7 +50,9 @@ def newest_runs(runs: DataFrame, keep: int = 3, most_bytes: int = 3_500_000) ->
     """The newest runs (id, at, bytes), at most keep of them and most_bytes together; the newest always stays."""
     top = runs.orderBy(F.desc("at"), F.desc("id")).limit(keep)
     w = Window.orderBy(F.desc("at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    return top.withColumn("total", F.sum("bytes").over(w)).where((F.col("total") <= most_bytes) | (F.row_number().over(Window.orderBy(F.desc("at"), F.desc("id"))) == 1)).drop("total")
+    newest = Window.orderBy(F.desc("at"), F.desc("id"))
+    summed = top.withColumn("total", F.sum("bytes").over(w)).withColumn("nth", F.row_number().over(newest))
+    return summed.where((F.col("total") <= most_bytes) | (F.col("nth") == 1)).drop("total", "nth")
 
 
 def rule_key(template: str = "template"):
