@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.graph import cut
+
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,7 +85,9 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, keep: tuple[st
     and their documents no copies. Repeated rows count each time. An empty table gives no rows.
     """
     sized = docs.select("doc_id", "source", word_count().alias("size"), *keep)
-    sizes = sized.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    if not keep:
+        sized = cut(sized)  # words are counted once, and rows without texts are small
+    sizes = cut(sized.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size")))
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     targets = water_fill(ranked_weights(sizes), float(total), max_epochs)
     return repetitions(sized, targets, seed)
