@@ -2,7 +2,8 @@
 
 Patterns give the protected entities. Terms near an entity are counted over the whole corpus by documents; a term t
 discloses an entity e if P(e | t) is high and the information log2(P(e | t) / P(e)) makes up most of the entity's
-own -log2 P(e). Such terms are generalised, or removed when they give nearly all of it, wherever they occur.
+own -log2 P(e). P(e | t) is drawn towards P(e) as if PRIOR more documents held t and knew nothing of e, so entities
+and terms of one or two documents are judged too, with less trust. Such terms are generalised, or removed when they give nearly all of it, wherever they occur.
 
 Corpus counts are aggregated by 64-bit term hash. Occurrences of disclosing terms are found with a bit table of
 fixed size (bounded broadcast) and confirmed by an exact join, so the number of such terms is not bounded.
@@ -30,7 +31,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NEAR = 6  # terms on either side of an entity
-MIN_DOCUMENTS, MIN_GIVEN, GENERALISE, REMOVE = 3, 0.5, 0.8, 0.97
+PRIOR = 1.0  # documents; with one, P(e | t) reaches one half where more than half of a term's documents hold the entity
+MIN_GIVEN, GENERALISE, REMOVE = 0.5, 0.8, 0.97
 TABLE_BITS = 1 << 24
 
 
@@ -150,14 +152,13 @@ def _occurrences(table):
 def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
     """Rows (t, share) of the terms over the thresholds; share is the part of the entity's information they give."""
     pairs = found.select(F.explode("near").alias("p")).select("p.*")
-    joint = pairs.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_DOCUMENTS)
+    joint = pairs.groupBy("e", "t").agg(F.count("*").alias("both"))
     whole = docs.mapInArrow(_term_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("given"))
-    # An entity met with a term in fewer than MIN_DOCUMENTS documents is never disclosed by it, so only joint pairs go on.
     entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda p: p["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     scored = (
         joint.join(entity, "e")
         .join(whole, "t")
-        .withColumn("p", F.col("both") / F.col("given"))
+        .withColumn("p", (F.col("both") + PRIOR * F.col("n_e") / F.lit(float(n_docs))) / (F.col("given") + PRIOR))
         .withColumn("share", F.when(F.col("n_e") < n_docs, 1 + F.log2("p") / -F.log2(F.col("n_e") / F.lit(float(n_docs)))).otherwise(F.lit(0.0)))
     )
     return scored.where((F.col("p") >= MIN_GIVEN) & (F.col("share") >= GENERALISE)).groupBy("t").agg(F.max("share").alias("share"))

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables of nulls, empties, repeats, long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -146,6 +147,44 @@ def test_pii_base_spans_equal_plain_regexes(spark):
     assert len(out) == len(given) and not any("a.b@c.de" in (r["text"] or "") or "end@of.text" in (r["text"] or "") for r in out)
 
 
+def disclosed(pairs, given, n_docs):
+    """Terms that disclose an entity, from (entity, term): documents, term: documents and the entities' own counts."""
+    both, n_e = pairs
+    out = set()
+    for (e, t), n in both.items():
+        prior = n_e[e] / n_docs
+        p = (n + prior) / (given[t] + 1)
+        if p >= 0.5 and n_e[e] < n_docs and 1 + math.log2(p) / -math.log2(prior) >= 0.8:
+            out.add(t)
+    return out
+
+
+def test_pii_terms_of_rare_entities_equal_brute_force(spark):
+    """Entities of one and two documents, all terms near them."""
+    r = random.Random(5)
+    given = [" ".join(r.choices([f"w{i}" for i in range(40)], k=9)) for _ in range(300)]
+    given[7] += " zorblax a1@host.org"
+    given[8] += " quimby a2@host.org"
+    given[9] += " quimby a2@host.org"
+    given[10] += " strayed a3@host.org"
+    given[11] += " strayed"
+    email = re.compile(r"a[0-9]@host\.org")
+    both, n_e, docs = {}, {}, {}
+    for text in given:
+        es, ts = set(email.findall(text)), set(email.sub(" ", text).split())
+        for e in es:
+            n_e[e] = n_e.get(e, 0) + 1
+        for t in ts:
+            docs[t] = docs.get(t, 0) + 1
+        for e in es:
+            for t in ts:
+                both[e, t] = both.get((e, t), 0) + 1
+    expected = disclosed((both, n_e), docs, len(given))
+    assert expected == {"zorblax", "quimby"}
+    for row, text in zip(rows_of(pii.find(table(spark, given))), given):
+        assert {text[t["start"] : t["end"]] for t in row["terms"]} == expected & set(text.split())
+
+
 def test_sharding_is_gapless_and_grows_into_the_new_shard_only(spark, texts):
     got = rows_of(sharding.assign(table(spark, texts)))
     places = {}
