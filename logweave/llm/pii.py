@@ -1,12 +1,14 @@
 """Personal data: patterns, and terms that disclose what the patterns find.
 
-Patterns give the protected entities. Terms near an entity are counted over the whole corpus by documents; a term t
-discloses an entity e if P(e | t) is high and the information log2(P(e | t) / P(e)) makes up most of the entity's
+Patterns give the protected entities. Entities and terms outside them are counted over the whole corpus by documents,
+wherever in a document they stand; a term t discloses an entity e if P(e | t) is high and the information log2(P(e | t) / P(e)) makes up most of the entity's
 own -log2 P(e). P(e | t) is drawn towards P(e) as if PRIOR more documents held t and knew nothing of e, so entities
 and terms of one or two documents are judged too, with less trust. Such terms are generalised, or removed when they give nearly all of it, wherever they occur.
 
-Corpus counts are aggregated by 64-bit term hash. Occurrences of disclosing terms are found with a bit table of
-fixed size (bounded broadcast) and confirmed by an exact join, so the number of such terms is not bounded.
+Corpus counts are aggregated by 64-bit term hash. Entities, and terms, of the same documents have the same counts, so
+pairs are counted by such classes. A term too frequent for any entity it stands with is left out by an exact bound.
+Documents with entities keep their terms' places. In the others, disclosing terms are found with a bit table of fixed
+size (bounded broadcast) and confirmed by an exact join, so the number of such terms is not bounded.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NEAR = 6  # terms on either side of an entity
+SALTS = 16  # tasks over which the documents of a frequent term or entity are spread
 PRIOR = 1.0  # documents; with one, P(e | t) reaches one half where more than half of a term's documents hold the entity
 MIN_GIVEN, GENERALISE, REMOVE = 0.5, 0.8, 0.97
 TABLE_BITS = 1 << 24
@@ -69,8 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_PAIR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
-_SPAN_SQL, _PAIR_SQL = "array<struct<start:int,kind:int,end:int>>", "array<struct<e:long,t:long>>"
+_PLACE = pa.list_(pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_SPAN_SQL, _PLACE_SQL = "array<struct<start:int,kind:int,end:int>>", "array<struct<t:long,start:int,end:int>>"
 
 
 def _points(w: W.Words) -> np.ndarray:
@@ -79,34 +81,34 @@ def _points(w: W.Words) -> np.ndarray:
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its base spans and, where there are any, the entities, the terms outside spans and those only inside."""
     for b in batches:
         for w in W.slices(b.column("text"), space_bytes=W.TERM_SPACE):
-            raw, spans, pairs = w.buf.tobytes(), [], []
+            raw, spans, ents, places, inside = w.buf.tobytes(), [], [], [], []
             h = points = None
             for d in range(len(w.first) - 1):
                 text = raw[w.text[d] : w.text[d + 1]].decode("utf-8", "replace")
-                found, near = base_spans(text), set()
+                found, values, outer, inner = base_spans(text), set(), [], []
                 if found and h is None:
                     low = W.Words(w.row, W._LOWER[w.buf], w.text, w.start, w.end, w.first)
                     h, points = low.hashes().view(np.int64), _points(w)
-                a, z = w.first[d], w.first[d + 1]
-                if found and z > a:
-                    zero = points[w.text[d]]
-                    begin, end = points[w.start[a:z]] - zero, points[w.end[a:z]] - zero
+                if found:
+                    a, z, zero = w.first[d], w.first[d + 1], points[w.text[d]]
+                    begin, end, t = points[w.start[a:z]] - zero, points[w.end[a:z]] - zero, h[a:z]
                     free = np.ones(z - a, bool)
-                    places = [(np.searchsorted(end, s, "right"), np.searchsorted(begin, e), s, k, e) for s, k, e in found]
-                    for p, q, *_ in places:
-                        free[p:q] = False
-                    for p, q, s, k, e in places:
-                        value = int.from_bytes(hashlib.blake2b(f"{k}:{text[s:e].lower()}".encode(), digest_size=8).digest(), "big", signed=True)
-                        for i in (*range(max(0, p - NEAR), p), *range(q, min(z - a, q + NEAR))):
-                            if free[i] and end[i] - begin[i] >= 3:
-                                near.add((value, int(h[a + i])))
+                    for s, k, e in found:
+                        free[np.searchsorted(end, s, "right") : np.searchsorted(begin, e)] = False
+                        values.add(int.from_bytes(hashlib.blake2b(f"{k}:{text[s:e].lower()}".encode(), digest_size=8).digest(), "big", signed=True))
+                    outer = [{"t": x, "start": p, "end": q} for x, p, q in zip(t[free].tolist(), begin[free].tolist(), end[free].tolist())]
+                    inner = np.setdiff1d(t[~free], t[free]).tolist()
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                pairs.append([{"e": e, "t": t} for e, t in near])
-            n = len(spans)
+                ents.append(sorted(values))
+                places.append(outer)
+                inside.append(inner)
+            n, longs = len(spans), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(w.row, n), b.column("h").slice(w.row, n), pa.array(spans, _SPAN), pa.array(pairs, _PAIR)], names=["doc_id", "h", "base", "near"]
+                [b.column("doc_id").slice(w.row, n), b.column("h").slice(w.row, n), pa.array(spans, _SPAN), pa.array(ents, longs), pa.array(places, _PLACE), pa.array(inside, longs)],
+                names=["doc_id", "h", "base", "ents", "places", "inside"],
             )
 
 
@@ -149,19 +151,39 @@ def _occurrences(table):
     return run
 
 
+def _salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Join on key of rows, of which one key may have very many, with few, which has one row per key."""
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(spread, [key, "salt"]).drop("salt")
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """Rows (t, share) of the terms over the thresholds; share is the part of the entity's information they give."""
-    pairs = found.select(F.explode("near").alias("p")).select("p.*")
-    joint = pairs.groupBy("e", "t").agg(F.count("*").alias("both"))
-    whole = docs.mapInArrow(_term_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("given"))
-    entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda p: p["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    scored = (
-        joint.join(entity, "e")
-        .join(whole, "t")
-        .withColumn("p", (F.col("both") + PRIOR * F.col("n_e") / F.lit(float(n_docs))) / (F.col("given") + PRIOR))
-        .withColumn("share", F.when(F.col("n_e") < n_docs, 1 + F.log2("p") / -F.log2(F.col("n_e") / F.lit(float(n_docs)))).otherwise(F.lit(0.0)))
+    """Rows (t, share, stray) of the terms over the thresholds.
+
+    share is the part of the entity's information they give; stray terms also stand in documents without entities.
+    """
+    all_docs = F.lit(float(n_docs))
+    smooth = lambda both, given, n_e: (both + PRIOR * n_e / all_docs) / (given + PRIOR)
+    terms = F.array_distinct(F.transform("places", lambda p: p["t"])).alias("terms")
+    texts = cut(found.where("size(ents) > 0").select("h", "ents", terms, "inside").groupBy("h").agg(*(F.first(c).alias(c) for c in ("ents", "terms", "inside")), F.count("*").alias("m")))
+    ents = texts.select("h", "m", F.explode("ents").alias("e"))
+    n_e = ents.groupBy("e").agg(F.sum("m").alias("n_e"), F.bit_xor(F.xxhash64("h")).alias("e_docs"))
+    ents = cut(_salted(ents, n_e, "e").select("h", "m", "n_e", "e_docs").distinct())
+    most = ents.groupBy("h").agg(F.max("n_e").alias("most"))
+    held = texts.join(most, "h").select("h", "m", "most", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("m").alias("held"), F.max("most").alias("most"), F.bit_xor(F.xxhash64("h")).alias("t_docs"))
+    inside = texts.select("m", F.explode("inside").alias("t")).groupBy("t").agg(F.sum("m").alias("inside"))
+    whole = docs.mapInArrow(_term_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    given = held.join(whole, "t").join(inside, "t", "left").withColumn("given", F.col("n") - F.coalesce("inside", F.lit(0)))
+    # No entity of n_e <= most documents can have more documents in common with the term than either has.
+    rare = cut(given.where(smooth(F.least("held", "most"), F.col("given"), F.col("most")) >= MIN_GIVEN).select("t", "t_docs", "held", "given"))
+    alike = ["t_docs", "held", "given"]
+    one = rare.groupBy(*alike).agg(F.min("t").alias("t"))
+    joint = ents.join(_salted(texts.select("h", F.explode("terms").alias("t")), one, "t").select("h", *alike), "h").groupBy("n_e", "e_docs", *alike).agg(F.sum("m").alias("both"))
+    scored = joint.withColumn("p", smooth(F.col("both"), F.col("given"), F.col("n_e"))).withColumn(
+        "share", F.when(F.col("n_e") < n_docs, 1 + F.log2("p") / -F.log2(F.col("n_e") / all_docs)).otherwise(F.lit(0.0))
     )
-    return scored.where((F.col("p") >= MIN_GIVEN) & (F.col("share") >= GENERALISE)).groupBy("t").agg(F.max("share").alias("share"))
+    best = scored.where((F.col("p") >= MIN_GIVEN) & (F.col("share") >= GENERALISE)).groupBy(*alike).agg(F.max("share").alias("share"))
+    return rare.join(best, alike).select("t", "share", (F.col("given") > F.col("held")).alias("stray"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -171,19 +193,23 @@ def find(docs: DataFrame) -> DataFrame:
     has its own. Terms inside a base span are not reported. An empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    found = cut(docs.mapInArrow(_entities, f"doc_id long, h long, base {_SPAN_SQL}, near {_PAIR_SQL}"))
+    found = cut(docs.mapInArrow(_entities, f"doc_id long, h long, base {_SPAN_SQL}, ents array<long>, places {_PLACE_SQL}, inside array<long>"))
     terms = cut(disclosing_terms(found, docs, found.count()))
     # The table has TABLE_BITS bits whatever the corpus; a full one only lets more words through to the exact join.
     place = F.col("t").bitwiseAND(F.lit(TABLE_BITS - 1))
-    words = terms.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast((t & {TABLE_BITS - 1}) % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+    stray = terms.where("stray").drop("stray")
+    words = stray.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast((t & {TABLE_BITS - 1}) % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(TABLE_BITS // 64, np.int64)
     bits[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     table = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    hits = docs.mapInArrow(_occurrences(table), "t long, doc_id long, h long, start int, end int").join(terms, "t")
+    hits = docs.mapInArrow(_occurrences(table), "t long, doc_id long, h long, start int, end int").join(stray, "t")
+    placed = found.where("size(ents) > 0").select("doc_id", "h", F.inline("places"))
+    columns = ["doc_id", "h", "start", "end", "share"]
+    hits = hits.select(*columns).unionByName(_salted(placed, terms, "t").select(*columns))
     by_doc = hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "share"))).alias("hits"))
     free = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     return (
-        found.drop("near")
+        found.drop("ents", "places", "inside")
         .join(by_doc, found["doc_id"].eqNullSafe(by_doc["d"]) & (found["h"] == by_doc["k"]), "left")
         .select("doc_id", "h", "base", F.filter(F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,share:double>>")), free).alias("terms"))
     )

@@ -185,6 +185,41 @@ def test_pii_terms_of_rare_entities_equal_brute_force(spark):
         assert {text[t["start"] : t["end"]] for t in row["terms"]} == expected & set(text.split())
 
 
+def test_pii_counts_terms_and_entities_over_the_same_documents(spark):
+    """Terms anywhere in a document of the entity, two-character names, terms inside spans, copies and a frequent entity."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    given = [" ".join(r.choices(words, k=30)) for _ in range(400)]
+    for i in range(10):
+        given[i] = f"{'zorblax ' if i < 4 else ''}a1@host.org {given[i]} {'' if i < 4 else 'zorblax'} {'mostly' if i < 6 else ''} {'half' if i < 5 else ''}"
+    for i in range(10, 15):
+        given[i] += " half"
+    given[15] += " mostly"
+    given[20] = f"\u674e\u96f7 {given[20]} a2@host.org"
+    given[21] = f"Qi {given[21]} a3@host.org a4@host.org"
+    given[22] += " a5@wide.org"
+    given[23] += " wide"
+    given[24:28] = [f"copied {given[24]} a6@host.org"] * 4
+    for i in range(30, 170):
+        given[i] = f"tail {given[i]} a7@host.org"
+    email = re.compile(r"a[0-9]@[a-z]+\.org")
+    both, n_e, docs = {}, {}, {}
+    for text in given:
+        es, ts = set(email.findall(text)), set(email.sub(" ", text).lower().split())
+        for e in es:
+            n_e[e] = n_e.get(e, 0) + 1
+        for t in ts:
+            docs[t] = docs.get(t, 0) + 1
+        for e in es:
+            for t in ts:
+                both[e, t] = both.get((e, t), 0) + 1
+    expected = disclosed((both, n_e), docs, len(given))
+    assert {"zorblax", "mostly", "\u674e\u96f7", "qi", "copied", "tail"} <= expected and not {"half", "wide", *words} & expected
+    for row, text in zip(rows_of(pii.find(table(spark, given))), given):
+        found = sorted(text[t["start"] : t["end"]].lower() for t in row["terms"])
+        assert found == sorted(t for t in email.sub(" ", text).lower().split() if t in expected)
+
+
 def test_sharding_is_gapless_and_grows_into_the_new_shard_only(spark, texts):
     got = rows_of(sharding.assign(table(spark, texts)))
     places = {}
