@@ -3,15 +3,18 @@
 Equal vectors of a label are one class; classes are compared. Neighbour lists start from random hyperplane cells and
 are refined by joins of neighbours' neighbours: around every vector, those that list it and those it lists are
 compared with each other, and each keeps its best. Lists whose members all reach the threshold are saturated and
-may grow to twice their length. Edges over the threshold give components, an audit of seeded query vectors against
-all others measures the recall and adds what was missed (more cells and rounds follow while it is too low), and in
-each component all members are compared in blocks, so link counts are exact within what was found.
+may grow to twice their length. Edges over the threshold give components. An audit compares one vector of each of a
+sample of components, and of vectors without links, with all others: it grows with the rows, measures the recall by
+component and adds what was missed. More cells and rounds follow while the recall is too low; where it stays too low,
+or too few of the sample have links to tell, every vector is asked and the links are exact. In each component all members are compared in blocks, so link counts are exact within what was found.
 
 Cells and joins of popular vectors are split by a salted hash, so no task's share grows with a group.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,8 @@ from logweave.llm.graph import components, cut
 CELL, PART, BLOCK, BUCKET_ROWS = 96, 64, 256, 4096
 TABLES, BITS = 4, 24
 AUDIT, RECALL = 256, 0.99
+LINKED, ASK = 16, 4096  # fewest linked queries that tell a recall; queries at a time when all are asked
+log = logging.getLogger(__name__)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -137,15 +142,10 @@ def graph(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, see
     return lists
 
 
-def missed(vectors: DataFrame, parts: DataFrame, threshold: float, seed: int, size: int = AUDIT) -> tuple[DataFrame, float]:
-    """Links of at most size seeded query vectors that lie across components, and the recall of their links.
-
-    The queries are a fixed number of rows, so they may be broadcast; all vectors are compared with them.
-    """
-    placed = vectors.join(parts, vectors["id"] == parts["node"], "left").select("id", "label", "dims", "embedding", F.coalesce("root", "id").alias("root"))
-    asked = placed.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).toPandas()
+def _asked(placed: DataFrame, asked: pd.DataFrame, threshold: float, found: bool) -> DataFrame:
+    """Links (a, b, found) of the asked vectors b; one for each b and other component, and with found those of b's own."""
     blocks = {key: (g["id"].to_numpy(), g["root"].to_numpy(), _unit(g["embedding"])) for key, g in asked.groupby(["label", "dims"])}
-    shared = vectors.sparkSession.sparkContext.broadcast(blocks)
+    shared = placed.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,12 +153,43 @@ def missed(vectors: DataFrame, parts: DataFrame, threshold: float, seed: int, si
                 if key in shared.value:
                     ids, roots, q = shared.value[key]
                     i, j = np.nonzero(_unit(g["embedding"]) @ q.T >= threshold)
-                    a, b = g["id"].to_numpy()[i], ids[j]
-                    yield pd.DataFrame({"a": a, "b": b, "found": g["root"].to_numpy()[i] == roots[j]})[a != b]
+                    root, a, b = g["root"].to_numpy()[i], g["id"].to_numpy()[i], ids[j]
+                    out = pd.DataFrame({"a": a, "b": b, "found": root == roots[j], "root": root})[a != b]
+                    yield (out if found else out[~out["found"]].drop_duplicates(["b", "root"]))[["a", "b", "found"]]
+
+    return cut(placed.mapInPandas(run, "a long, b long, found boolean"))
 
-    links = cut(placed.mapInPandas(run, "a long, b long, found boolean"))
-    n = links.agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("found")).first()
-    return links.where("not found").select("a", "b"), n["found"] / n["n"] if n["n"] else 1.0
+
+def missed(vectors: DataFrame, parts: DataFrame, threshold: float, seed: int, whole: bool = False) -> tuple[DataFrame, float]:
+    """Links (a, b) that lie across components, and the recall before they are added.
+
+    Asked are one vector of a component and vectors without one, of either kind about 2 sqrt(rows) and at least AUDIT;
+    the recall is the mean share of their links found, weighed by the size of the two kinds. Links inside a component
+    count as found as all its members are compared later. With whole, on small tables, and where fewer than LINKED
+    queries have links, every vector is asked, ASK at a time, and the recall is 1 as nothing is left to find.
+    """
+    placed = vectors.join(parts, vectors["id"] == parts["node"], "left")
+    placed = cut(placed.select("id", "label", "dims", "embedding", F.coalesce("root", "id").alias("root"), F.col("node").isNotNull().alias("grouped")))
+    n = placed.count()
+    size = max(AUDIT, math.ceil(2 * n**0.5))
+    if not whole and n > size:
+        one = cut(placed.groupBy("root", "grouped").agg(F.min_by("id", F.xxhash64(F.lit(seed), "id")).alias("id")))
+        total = {r["grouped"]: r["count"] for r in one.groupBy("grouped").count().collect()}
+        every = F.when(F.col("grouped"), math.ceil(total.get(True, 0) / size)).otherwise(math.ceil(total.get(False, 0) / size))
+        chosen = one.where(F.pmod(F.xxhash64(F.lit(seed), F.lit("kind"), "root"), every) == 0)
+        asked = placed.join(chosen.select("id"), "id").toPandas()
+        links = _asked(placed, asked, threshold, True)
+        per = links.groupBy(F.col("b").alias("id")).agg(F.avg(F.col("found").cast("double")).alias("recall")).toPandas().merge(asked[["id", "grouped"]], on="id")
+        if len(per) >= LINKED:
+            weight = per["grouped"].map(lambda g: total[g] / (asked["grouped"] == g).sum()).to_numpy(float)
+            return links.where("not found").select("a", "b"), float(np.average(per["recall"], weights=weight))
+    batches = max(1, math.ceil(n / ASK))
+    across = None
+    for i in range(batches):
+        asked = placed.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(batches)) == i).toPandas()
+        links = _asked(placed, asked, threshold, False).select("a", "b")
+        across = links if across is None else across.unionByName(links)
+    return across, 1.0
 
 
 def _link_counts(threshold: float):
@@ -201,9 +232,15 @@ def link(vectors: DataFrame, threshold: float = 0.8, k: int = 8, seed: int = 1,
         parts = components(edges if extra is None else edges.unionByName(extra))
         across, recall = missed(flat, parts, threshold, seed + cycle)
         extra = across if extra is None else extra.unionByName(across)
+        log.info("cycle %d: recall %.4f by component", cycle + 1, recall)
         if recall >= RECALL:
             break
-    parts = components(edges.unionByName(extra)) if recall < 1 else parts
+    else:
+        log.warning("recall %.4f after %d cycles; every vector is asked", recall, max_cycles)
+        parts = components(edges.unionByName(extra))
+        across, _ = missed(flat, parts, threshold, seed + max_cycles, whole=True)
+        extra = extra.unionByName(across)
+    parts = parts if across.isEmpty() else components(edges.unionByName(extra))
     inside = heads.join(parts, heads["id"] == parts["node"]).drop("node", "label", "dims")
     blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))

@@ -261,6 +261,25 @@ def test_embedding_links_equal_brute_force(spark):
     assert [(g["vec_id"], g["n_links"], g["component_id"], g["kept"]) for g in got] == expected
 
 
+def test_embedding_audit_sees_what_a_large_group_hides(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(560, 24))
+    near = lambda v, n: v + r.normal(size=(n, 24)) * 0.01
+    x = np.concatenate([near(base[559], 400), base[:520], np.stack([near(v, 1)[0] for v in base[400:520]])])
+    frame = spark.createDataFrame([(i, 0, 24, [float(c) for c in v]) for i, v in enumerate(x)], "id long, label long, dims int, embedding array<double>")
+    large = spark.createDataFrame([(i, 0) for i in range(400)], "node long, root long")
+    pairs = {(800 + i, 920 + i) for i in range(120)}
+    across, recall = embedding_dedup.missed(frame, large, 0.98, 1)
+    assert recall < embedding_dedup.RECALL
+    few = frame.where("id < 800 or id in (800, 801, 920, 921)")  # two missed pairs among 804 vectors
+    across, recall = embedding_dedup.missed(few, large, 0.98, 1)
+    assert {(min(a, b), max(a, b)) for a, b in across.collect()} == {(800, 920), (801, 921)}
+    monkeypatch.setattr(embedding_dedup, "graph", lambda v, *a, **k: spark.createDataFrame([(i, 0, 1.0) for i in range(1, 400)], "u long, v long, sim double"))
+    got = rows_of(embedding_dedup.link(frame.selectExpr("id as vec_id", "embedding", "label"), threshold=0.98, max_cycles=1), "vec_id")
+    roots = {**{i: 0 for i in range(400)}, **{b: a for a, b in pairs}}
+    assert [g["component_id"] for g in got] == [roots.get(i, i) for i in range(len(x))]
+
+
 def test_segmentations_decode_differ_and_repeat(spark, texts):
     got = rows_of(segmentation.encode(table(spark, texts), k=3, with_ids=True))
     v = segmentation.vocabulary(segmentation.MODEL)
