@@ -21,10 +21,11 @@ def grams(text: Column) -> Column:
     return F.concat(*map(of, GRAMS))
 
 
-def vocabulary(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Terms of at least MIN_DOCUMENTS lines, at most MOST_TERMS, with idf = ln((1 + n) / (1 + df)) + 1."""
-    n = lines.count()
-    df = lines.select(F.explode(F.array_distinct(grams(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def vocabulary(lines: DataFrame, text: str = "text", copies: Column | None = None) -> DataFrame:
+    """Terms of at least MIN_DOCUMENTS lines, at most MOST_TERMS, with idf = ln((1 + n) / (1 + df)) + 1; a row stands for copies lines."""
+    copies = F.lit(1) if copies is None else copies
+    n = lines.agg(F.sum(copies)).first()[0] or 0
+    df = lines.select(copies.alias("copies"), F.explode(F.array_distinct(grams(F.col(text)))).alias("term")).groupBy("term").agg(F.sum("copies").alias("df"))
     return df.where(F.col("df") >= MIN_DOCUMENTS).orderBy(F.desc("df"), "term").limit(MOST_TERMS).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -35,20 +36,23 @@ def tfidf(lines: DataFrame, terms: DataFrame, key: str = "id", text: str = "text
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(key)))).select(key, "term", "w")
 
 
-def distances(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def distances(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: DataFrame | None = None) -> DataFrame:
     """Mean Euclidean distance of each query vector to its k nearest known ones; vectors are rows (id, term, w) of unit length.
 
-    Vectors meet by common terms only; distance follows from the dot product, sqrt(2) where there is none.
+    Vectors meet by common terms only; distance follows from the dot product, sqrt(2) where there is none. copies has
+    rows (id, copies) where a known vector stands for more than one line, each of them a neighbour.
     """
     dots = query.select(F.col("id").alias("q"), "term", F.col("w").alias("a")).join(known.select(F.col("id").alias("x"), "term", F.col("w").alias("b")), "term").groupBy("q", "x").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    near = dots.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "x"))).where(F.col("nth") <= k)
-    d = near.groupBy("q").agg(F.sum(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))).alias("s"), F.count("*").alias("n"))
+    dots = dots.withColumn("copies", F.lit(1)) if copies is None else dots.join(copies.select(F.col("id").alias("x"), "copies"), "x")
+    w = Window.partitionBy("q").orderBy(F.desc("dot"), "x").rowsBetween(Window.unboundedPreceding, -1)
+    near = dots.withColumn("take", F.least(F.col("copies"), k - F.coalesce(F.sum("copies").over(w), F.lit(0)))).where("take > 0")
+    d = near.groupBy("q").agg(F.sum(F.col("take") * F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))).alias("s"), F.sum("take").alias("n"))
     return query.select("id").distinct().join(d, F.col("id") == F.col("q"), "left").select("id", ((F.coalesce("s", F.lit(0.0)) + (k - F.coalesce("n", F.lit(0))) * 2**0.5) / k).alias("distance"))
 
 
-def threshold(calibration: DataFrame) -> float:
-    """The 99th percentile of distances of known lines, not below FLOOR."""
-    return max(FLOOR, calibration.select(F.percentile("distance", 0.99)).first()[0] or 0.0)
+def threshold(calibration: DataFrame, copies: Column | int = 1) -> float:
+    """The 99th percentile of distances of known lines, not below FLOOR; a row stands for copies lines."""
+    return max(FLOOR, calibration.select(F.percentile("distance", 0.99, copies)).first()[0] or 0.0)
 
 
 def split(labelled: DataFrame, held_out: int = 5, key: str = "id", label: str = "label") -> DataFrame:

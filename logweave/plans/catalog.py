@@ -214,12 +214,18 @@ def template_mining(spark, sf_dir):
 def gate_novelty(spark, sf_dir):
     lines = _lines(spark, sf_dir).select(F.col("seq").alias("id"), F.col("expected").alias("label"), mask_line(F.col("raw")).alias("text"))
     marked = gate.split(lines.where(F.col("label") != "leef")).select("id", "label", "text", "held_out")
-    known = marked.where("not held_out").dropDuplicates(["text"])
-    terms = gate.vocabulary(known)
-    asked = lines.where(F.col("label") == "leef").withColumn("held_out", F.lit(True)).unionByName(marked.where("held_out")).dropDuplicates(["text"])
-    scored = gate.distances(gate.tfidf(asked, terms), gate.tfidf(known, terms)).join(asked, "id")
-    limit = gate.threshold(scored.where(F.col("label") != "leef"))
-    return gate.novel(scored, limit).groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("novel").cast("double")).alias("novel_rate"))
+    # Lines that mask alike are scored once and count as often as they occur, under each of their labels.
+    once = lambda rows, *key: rows.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    known = once(marked.where("not held_out"), "text")
+    terms = gate.vocabulary(known, copies=F.col("copies"))
+    asked = lines.where(F.col("label") == "leef").unionByName(marked.where("held_out").drop("held_out"))
+    texts = once(asked, "text").select("id", "text")
+    found = gate.distances(gate.tfidf(texts, terms), gate.tfidf(known, terms), copies=known)
+    # A text without a known term is the zero vector, at distance 1 from every unit vector.
+    scored = texts.join(found, "id", "left").select("text", F.coalesce("distance", F.lit(1.0)).alias("distance")).join(once(asked, "label", "text").drop("id"), "text")
+    limit = gate.threshold(scored.where(F.col("label") != "leef"), F.col("copies"))
+    rate = F.sum(F.col("novel").cast("double") * F.col("copies")) / F.sum("copies")
+    return gate.novel(scored, limit).groupBy("label").agg(F.sum("copies").alias("n"), rate.alias("novel_rate"))
 
 
 def gate_families(spark, sf_dir):

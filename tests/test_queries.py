@@ -58,3 +58,31 @@ def test_gate_reaches_its_floors(spark):
     assert sum(r["n"] * r["accuracy"] for r in got.values()) / sum(r["n"] for r in got.values()) >= 0.95
     novel = {r["label"]: r["novel_rate"] for r in catalog.gate_novelty(spark, "/root/testdata/sf0.01").collect()}
     assert novel["leef"] >= 0.9
+
+
+def test_gate_novelty_counts_every_line(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.operators import gate
+
+    lines = catalog._lines(spark, SF).select(F.col("seq").alias("id"), F.col("expected").alias("label"))
+    asked = lines.where("label = 'leef'").unionByName(gate.split(lines.where("label <> 'leef'")).where("held_out").drop("held_out"))
+    want = {r["label"]: r["count"] for r in asked.groupBy("label").count().collect()}
+    assert {r["label"]: r["n"] for r in catalog.gate_novelty(spark, SF).collect()} == want
+
+
+def test_gate_copies_weigh_as_repeated_lines(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.operators import gate
+
+    few = spark.createDataFrame([(1, "user login ok", 5), (2, "user login failed", 2), (3, "disk full on host", 1), (4, "link down", 1)], "id long, text string, copies long")
+    many = few.select("id", "text", F.explode(F.expr("sequence(1L, copies)")).alias("i")).select((F.col("id") * 100 + F.col("i")).alias("id"), "text")
+    terms = {r["term"]: r["idf"] for r in gate.vocabulary(few, copies=F.col("copies")).collect()}
+    assert terms == pytest.approx({r["term"]: r["idf"] for r in gate.vocabulary(many).collect()})
+    v, asked = gate.vocabulary(many), spark.createDataFrame([(1, "user login ok"), (2, "user logout failed"), (3, "disk login")], "id long, text string")
+    q = gate.tfidf(asked, v)
+    got = {r["id"]: r["distance"] for r in gate.distances(q, gate.tfidf(few, v), copies=few).collect()}
+    assert got == pytest.approx({r["id"]: r["distance"] for r in gate.distances(q, gate.tfidf(many, v)).collect()}, abs=1e-6)
+    scored = spark.createDataFrame([(0.1, 97), (0.5, 2), (0.9, 1)], "distance double, copies int")
+    assert gate.threshold(scored, F.col("copies")) == pytest.approx(gate.threshold(scored.select("distance", F.explode(F.expr("sequence(1, copies)")))))
