@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,10 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder named by the session holds checkpoints; a temporary one only where none is named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by the session for checkpoints and written tables; a temporary one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager
@@ -30,7 +47,7 @@ def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder; what made them is freed."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     with freeing_shuffles(df.sparkSession):
         return df.select("*").checkpoint()  # a new frame takes the setting
 

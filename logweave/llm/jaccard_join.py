@@ -9,9 +9,9 @@ matches. Empty segments are not signed: as many segments more are signed instead
 empty segments than that sign the empty ones too. Candidates are verified exactly on the whole sets.
 
 Of the smallest documents of its signatures, a document is first verified with the one it shares most with; only
-members of one signature that are still in different components are then compared with each other, after exact
-bounds on size and on the parity sketch. No group is expanded into all its pairs, and no link between components
-is lost.
+members of one signature that are still in different components are then compared with each other: first by size and
+by the sketch folded to 256 bits (exact bounds, some machine instructions a pair), then by the whole sketch, then by
+the sets. No pair of one component is made, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -124,7 +124,8 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_INFO = "doc_id long, n long, f1 long, f2 long, sketch array<long>"
+_FOLDS = ("w0", "w1", "w2", "w3")
+_INFO = "doc_id long, n long, f1 long, f2 long, sketch array<long>, " + ", ".join(f"{w} long" for w in _FOLDS)
 
 
 def _info(size: int):
@@ -132,14 +133,16 @@ def _info(size: int):
         for b in batches:
             ids = b.column("doc_id")
             for w in W.slices(b.column("text"), lower=True):
-                rows = [
-                    (len(s), int(W.mix(s).sum(dtype=np.uint64).view(np.int64)), int(W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)), _sketch(s))
-                    for s in shingle_sets(w, size)
-                ]
-                *cols, sketches = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(w.row, len(rows)), *(pa.array(c, pa.int64()) for c in cols), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "sketch"]
-                )
+                n, f1, f2, sketches = [], [], [], []
+                for s in shingle_sets(w, size):
+                    n.append(len(s))
+                    f1.append(int(W.mix(s).sum(dtype=np.uint64).view(np.int64)))
+                    f2.append(int(W.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+                    sketches.append(_sketch(s))
+                folds = np.array([np.bitwise_xor.reduce(x.reshape(-1, len(_FOLDS)), axis=0) for x in sketches]).T
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32)), pa.array(np.concatenate(sketches)))
+                cols = [ids.slice(w.row, len(n)), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, *map(pa.array, folds)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "f1", "f2", "sketch", *_FOLDS])
 
     return run
 
@@ -175,13 +178,20 @@ def _verify(size: int, num: int, den: int):
 
 def _possible(num: int, den: int, a: str, b: str) -> Column:
     """Exact bounds: sizes in proportion, sketches no farther apart than similar sets can be. A sketch twice as long as the other is folded; if more, only sizes tell."""
-    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    p, q = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
     k = F.least(F.size(p), F.size(q))
     xor = lambda x, y: x.bitwiseXOR(y)
     half = lambda c: F.when(F.size(c) == k, c).otherwise(F.zip_with(F.slice(c, 1, k), F.slice(c, k + 1, k), xor))
     apart = F.aggregate(F.zip_with(half(p), half(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (F.greatest(F.size(p), F.size(q)) > 2 * k) | (apart * (num + den) <= (n + m) * (den - num))
-    return (n * den >= m * num) & (m * den >= n * num) & near
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _near(num, den, a, b) & ((F.greatest(F.size(p), F.size(q)) > 2 * k) | (apart * (num + den) <= (n + m) * (den - num)))
+
+
+def _near(num: int, den: int, a: str, b: str) -> Column:
+    """The same by sizes and folded sketches alone; a fold of a sketch is a sketch of fewer bits, whatever its length."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _FOLDS), F.lit(0))
+    return (n * den >= m * num) & (m * den >= n * num) & (apart * (num + den) <= (n + m) * (den - num))
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -197,7 +207,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     known = info.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     rep = known.join(classes, ["n", "f1", "f2"]).select("doc_id", "class_id").distinct()
-    heads = known.join(rep.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
+    heads = known.join(rep.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch", *_FOLDS).dropDuplicates(["doc_id"])
     signed = docs.where("doc_id is not null").mapInArrow(_sign(size, num, den), "sig long, doc_id long")
     met = signed.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sig", "low")
     members = signed.join(met, "sig")
@@ -220,10 +230,10 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     parts = components(first)
     placed = groups.join(parts, groups["doc_id"] == parts["node"], "left").select("sig", "doc_id", F.coalesce("root", "doc_id").alias("part"))
     split = placed.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("sig")
-    open_ = cut(placed.join(split, "sig").join(heads, "doc_id"))
+    open_ = cut(placed.join(split, "sig").join(heads.drop("sketch"), "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
     across = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _possible(num, den, "x", "y"))
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _near(num, den, "x", "y"))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # a task holds some hundred times as much for a while
 _M = (1 << 64) - 1
 _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
