@@ -3,8 +3,9 @@
 The lexicon is learned from a bounded sample of labelled documents: word beginnings that are frequent in toxic and
 rare in clean ones. All terms form one trie; the automaton of edit distance 1 is run over the trie as a whole and
 made deterministic, so a word is looked up in one pass: exact for a word that begins with a term, fuzzy for a whole
-word one edit away from a term of at least FUZZY_FROM letters. Hits inside quotation marks and hits with others in
-their window of words are counted apart, and a logistic model of the counts gives the score.
+word one edit away from a term of at least FUZZY_FROM letters, or for one that begins so with a term of at least
+STEM_FROM. Scripts written without spaces have a word at every character. Hits inside quotation marks and hits with
+others in their window of words are counted apart, and a logistic model of the counts gives the score.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,37 @@ from pyspark.sql import functions as F
 from logweave.llm import words as W
 from logweave.llm.graph import cut
 
-#: Bounds of what fitting looks at: labelled documents, and word beginnings brought to the driver.
-TRAIN_ROWS, MAX_TERMS = 20_000, 50_000
-SHORTEST, LONGEST, FUZZY_FROM = 3, 12, 5
-MIN_WEIGHT, NEAR_WORDS = 3.0, 8
+#: Bound of what fitting looks at: labelled documents.
+TRAIN_ROWS = 20_000
+#: Letters of a term: at least (2 in scripts without spaces), and at most; a longer word is learned by its beginning.
+SHORTEST, LONGEST = 3, 32
+FUZZY_FROM, STEM_FROM = 5, 7
+MIN_WEIGHT, LEAST, LEAST_SHARE, NEAR_WORDS = 3.0, 3, 0.015, 8
 WORD = re.compile(r"[^\W_]+")
+#: Thai to Burmese, Khmer, kana, ideographs.
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 FEATURES = ("exact", "quoted", "fuzzy", "fuzzy_quoted", "dense")
-_TOP = 0x3000
+_POINTS = 0x110000
 
 
 @dataclass
 class Automaton:
-    """table[state, class] -> state; 0 is the dead state, 1 the first. exact: a term was read; near: a word ending here is one edit from a term."""
+    """table[state, class] -> state; 0 is the dead state, 1 the first. A letter's class is its place in letters, from 1; all others have 0.
 
-    classes: np.ndarray
+    exact: a term was read; near: a word ending here is one edit from a term; stem: so is what was read of a long term.
+    """
+
+    letters: list[str]
     table: np.ndarray
     exact: np.ndarray
     near: np.ndarray
+    stem: np.ndarray
+
+    @cached_property
+    def classes(self) -> np.ndarray:
+        out = np.zeros(_POINTS, np.int32)
+        out[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
+        return out
 
     def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """1 for exact, 2 for fuzzy, 0 for other words given as ranges of code points."""
@@ -51,8 +66,9 @@ class Automaton:
             done = live[over]
             out[done[self.near[state[over]]]] = 2
             live, state = live[~over], state[~over]
-            state = self.table[state, self.classes[np.minimum(points[start[live] + at], _TOP)]]
+            state = self.table[state, self.classes[points[start[live] + at]]]
             hit = self.exact[state]
+            out[live[self.stem[state]]] = 2
             out[live[hit]] = 1
             go = (state > 0) & ~hit
             live, state = live[go], state[go]
@@ -60,7 +76,7 @@ class Automaton:
         return out
 
 
-def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM) -> Automaton:
+def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM, stem_from: int = STEM_FROM) -> Automaton:
     """The deterministic automaton of a lexicon; states are sets of (trie node, edits)."""
     nodes: list[dict[str, int]] = [{}]
     ends: dict[int, int] = {}
@@ -73,10 +89,6 @@ def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM) -> Automaton:
             at = nodes[at][c]
         ends[at] = len(t)
     letters = sorted({c for n in nodes for c in n})
-    classes = np.zeros(_TOP + 1, np.int32)
-    for i, c in enumerate(letters, 1):
-        if ord(c) < _TOP:
-            classes[ord(c)] = i
 
     def closed(states: set) -> frozenset:
         return frozenset(states | {(m, 1) for n, e in states if e == 0 for m in nodes[n].values()})
@@ -99,16 +111,24 @@ def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM) -> Automaton:
             row.append(known[to])
         rows.append(row)
     return Automaton(
-        classes,
+        letters,
         np.array(rows, np.int32),
         np.array([any(e == 0 and n in ends for n, e in s) for s in order]),
         np.array([any(ends.get(n, 0) >= fuzzy_from for n, e in s) for s in order]),
+        np.array([any(ends.get(n, 0) >= stem_from for n, e in s) for s in order]),
     )
 
 
-_LETTER = np.zeros(_TOP + 1, bool)
-_LETTER[[c for c in range(_TOP) if WORD.match(chr(c))]] = True
-_LETTER[_TOP] = True
+_KIND = np.full(_POINTS, -1, np.int8)  # 0 no letter, 1 a letter, 2 one of a script without spaces; filled as code points are met
+
+
+def kinds(points: np.ndarray) -> np.ndarray:
+    out = _KIND[points]
+    for c in np.unique(points[out < 0]).tolist():
+        _KIND[c] = 0 if not WORD.match(chr(c)) else 2 if any(a <= c <= z for a, z in UNSPACED) else 1
+    return _KIND[points] if (out < 0).any() else out
+
+
 _MARKS = [ord(c) for c in "\"“”«»„"]
 
 
@@ -120,9 +140,12 @@ def features(col: pa.Array, a: Automaton) -> Iterator[tuple[int, np.ndarray]]:
         n = len(texts)
         edge = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _LETTER[np.minimum(points, _TOP)]
-        step = np.diff(np.concatenate(([0], letter.view(np.int8), [0])))
+        kind = kinds(points)
+        step = np.diff(np.concatenate(([0], (kind > 0).view(np.int8), [0])))
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        if (kind == 2).any():
+            every = np.union1d(start, np.flatnonzero(kind == 2))
+            start, end = every, end[np.searchsorted(start, every, "right") - 1]
         got = a.run(points, start, end)
         hit = np.flatnonzero(got)
         out = np.zeros((n, len(FEATURES)))
@@ -143,51 +166,49 @@ def features(col: pa.Array, a: Automaton) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _beginnings(text: str) -> set[str]:
-    return {w[:k] for w in set(WORD.findall(text.lower())) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    out = set()
+    for w in set(WORD.findall(text.lower())):
+        out |= {w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+        if not w.isascii():
+            at = np.flatnonzero(kinds(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)) == 2).tolist()
+            out |= {w[i : i + k] for i in at for k in range(2, min(LONGEST, len(w) - i) + 1)}
+    return out
 
 
-def _count(only: frozenset | None):
-    """Documents per word beginning, summed by task over batches; only: the beginnings wanted."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and clean documents per word beginning, summed by task over batches."""
+    n: tuple[Counter, Counter] = Counter(), Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                got = _beginnings(t or "")
-                n.update(got & only if only is not None else got)
-                if len(n) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["f", "n"])
-                    n = Counter()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["f", "n"])
+    def summed() -> pa.RecordBatch:
+        f = list(n[0].keys() | n[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), *(pa.array([c[x] for x in f], pa.int64()) for c in reversed(n))], names=["f", "toxic", "clean"])
 
-    return run
+    for b in batches:
+        for t, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+            n[toxic].update(_beginnings(t))
+            if len(n[0]) + len(n[1]) > 500_000:
+                yield summed()
+                n = Counter(), Counter()
+    yield summed()
 
 
-def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[str]:
-    """Terms from document counts of word beginnings.
+def lexicon(toxic: dict[str, int]) -> list[str]:
+    """Terms from the toxic document counts of telling word beginnings.
 
     The shortest beginning that tells toxic from clean is extended letter by letter while one longer beginning keeps
     nine tenths of its documents, so a word is learned whole and a word family by its common part.
     """
-    least = max(3, 0.015 * n_toxic)
-
-    def good(f: str) -> bool:
-        a, b = toxic[f], clean.get(f, 0)
-        return a >= least and log((a + 0.5) / (n_toxic + 1)) - log((b + 0.5) / (n_clean + 1)) >= MIN_WEIGHT
-
     longer = defaultdict(list)
     for f in toxic:
         longer[f[:-1]].append(f)
     found, seen = [], set()
     for f in sorted(toxic, key=lambda f: (len(f), f)):
-        if any(f[:k] in seen for k in range(SHORTEST, len(f))):
+        if any(f[:k] in seen for k in range(2, len(f))):
             continue
-        if good(f):
-            seen.add(f)
-            while best := [g for g in longer[f] if toxic[g] >= 0.9 * toxic[f]]:
-                f = max(best, key=toxic.get)
-            found.append(f)
+        seen.add(f)
+        while best := [g for g in longer[f] if toxic[g] >= 0.9 * toxic[f]]:
+            f = max(best, key=lambda g: (toxic[g], g))
+        found.append(f)
     return found
 
 
@@ -211,66 +232,79 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def _features_of(a: Automaton):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, x in features(b.column("text"), a):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(x)), *(pa.array(c) for c in x.T)], names=["doc_id", *FEATURES])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Automaton, np.ndarray, list[str]]:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Automaton, np.ndarray | None, list[str]]:
     """Automaton, weights and lexicon from at most train_rows labelled documents outside the held-out fifth.
 
-    The sample takes the lowest seeded hashes of doc_id; contradicting labels of one document count as toxic.
-    Without labels of both kinds the lexicon is empty and every score is 0.
+    The sample takes the lowest seeded hashes of doc_id; contradicting labels of one document count as toxic, and of
+    texts that share a doc_id the least is taken. A term is in at least LEAST toxic documents of the sample and in
+    LEAST_SHARE of them, with log-odds of MIN_WEIGHT at least. Without labels of both kinds there are no terms and no
+    weights, and every score is 0.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.where(~held_out()).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(train_rows)
     # At most train_rows rows of two numbers are broadcast.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = cut(rows)
     size = dict(rows.groupBy("toxic").count().collect())
     if not size.get(0) or not size.get(1):
-        return automaton([]), np.zeros(len(FEATURES) + 1), []
-    counts = lambda kind, only: rows.where(F.col("toxic") == kind).select("text").mapInArrow(_count(only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    toxic = {r["f"]: r["n"] for r in counts(1, None).where(F.col("n") >= 3).orderBy(F.desc("n"), "f").limit(MAX_TERMS).collect()}
-    clean = {r["f"]: r["n"] for r in counts(0, frozenset(toxic)).collect()}
-    terms = lexicon(toxic, clean, size[1], size[0])
+        return automaton([]), None, []
+    counts = rows.select("text", "toxic").mapInArrow(_count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1))
+    telling = counts.where((F.col("toxic") >= max(LEAST, LEAST_SHARE * size[1])) & (share("toxic", size[1]) - share("clean", size[0]) >= MIN_WEIGHT))
+    terms = lexicon({r["f"]: r["toxic"] for r in telling.select("f", "toxic").collect()})
     a = automaton(terms)
-    seen = rows.select("doc_id", "text").mapInArrow(_features_of(a), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)).join(F.broadcast(chosen), "doc_id").toPandas()
+    seen = rows.mapInArrow(_features_of(a), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    seen = seen.sort_values(list(seen.columns))
     return a, fit_logistic(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(float)), terms
 
 
-def _scored(a: Automaton, weights: np.ndarray):
+def _features_of(a: Automaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, x in features(b.column("text"), a):
-                score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-                n = np.expm1(x[:, 0] + 0).round().astype(np.int32), np.expm1(x[:, 1]).round().astype(np.int32), np.expm1(x[:, 2] + 0).round().astype(np.int32)
-                rest = [b.column(c).slice(row, len(x)) for c in b.schema.names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *map(pa.array, n)], names=[*b.schema.names, "score", "predicted", "n_exact", "n_quoted", "n_fuzzy"])
+                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(row, len(x)), *(pa.array(c) for c in x.T)], names=["toxic", *FEATURES])
+
+    return run
+
+
+_SCORES = "score double, predicted int, n_exact int, n_quoted int, n_fuzzy int"
+
+
+def _scored(a: Automaton, weights: np.ndarray | None, keep: list[str]):
+    """Batches of the columns in keep and the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, x in features(b.column("text"), a):
+                score = np.zeros(len(x)) if weights is None else 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                n = (np.expm1(x[:, k]).round().astype(np.int32) for k in range(3))
+                made = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *map(pa.array, n)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(row, len(x)) for c in keep), *made], names=[*keep, "score", "predicted", "n_exact", "n_quoted", "n_fuzzy"])
 
     return run
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, held_out, score, predicted, n_exact, n_quoted and n_fuzzy of every document.
+    """doc_id, held_out, score, predicted, n_exact, n_quoted and n_fuzzy of every document.
 
     A null text is scored as an empty one, by the constant alone. Repeated rows are all scored; an empty table
-    gives no rows. Labels, language, source and id enter no score.
+    gives no rows. Without labels of both kinds all scores are 0. Labels, language, source and id enter no score;
+    other columns are ignored.
     """
     a, weights, _ = fit(docs, labels, train_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(_scored(a, weights), "doc_id long, text string, held_out boolean, score double, predicted int, n_exact int, n_quoted int, n_fuzzy int")
+    return rows.mapInArrow(_scored(a, weights, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {_SCORES}")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents not predicted toxic, all columns kept."""
+    """The documents not predicted toxic, all columns kept, whatever their names; null texts stay null.
+
+    Every row is judged by its own text, so repeated rows and rows with null or equal doc_id stay or go one by one.
+    Without labels of both kinds all stay; an empty table gives no rows.
+    """
     a, weights, _ = fit(docs, labels, train_rows)
-    names = [f.name for f in docs.schema.fields]
-    rows = docs.withColumnsRenamed({c: f"c_{c}" for c in names if c != "text"})
-    schema = ", ".join(f"`{f.name if f.name == 'text' else 'c_' + f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    got = rows.mapInArrow(_scored(a, weights), f"{schema}, score double, predicted int, n_exact int, n_quoted int, n_fuzzy int").where("predicted = 0")
-    return got.select(*(F.col("text" if c == "text" else f"`c_{c}`").alias(c) for c in names))
+    inner = {c: c if c == "text" else f"c_{c}" for c in docs.columns}
+    rows = docs.withColumnsRenamed(inner)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    got = rows.mapInArrow(_scored(a, weights, rows.columns), f"{schema}, {_SCORES}").where("predicted = 0")
+    return got.select(*(F.col(f"`{inner[c]}`").alias(c) for c in docs.columns))
