@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in SQL functions only.
 
-Paragraphs (the leaves) tile the text: each ends after a line break or a punctuation mark and space, after 120
-characters at the latest. A section ends after a paragraph whose hash begins with 0-3, so an edit moves no
+Paragraphs (the leaves) tile the text: each ends after a line break, a punctuation mark and space or an ideographic
+punctuation mark; where there is none within 120 characters, at the first space after 32, or after 120 at the latest. A section ends after a paragraph whose hash begins with 0-3, so an edit moves no
 boundary beyond its own paragraph. A section's hash is taken over its paragraphs' hashes, the root over the
 sections'. The fingerprint is the root, a colon and the paragraphs' hash prefixes with a dot after each section.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = r"(?s).{1,120}?(?:\n|[.!?,;|] |\z)|.{120}"
+PARAGRAPH = r"(?s).{1,120}?(?:\n|[.!?,;|] |[、。！，？；]|\z)|.{32,119}? |.{120}"
 
 
 def paragraphs(text: Column) -> Column:
@@ -28,8 +28,8 @@ def sections(leaves: Column) -> Column:
     return F.transform(F.split(F.array_join(F.transform(leaves, lambda h: _closed(h, h)), ""), "[.]"), lambda s: F.md5(s))
 
 
-def fingerprint(leaves: Column) -> Column:
-    root = F.md5(F.array_join(sections(leaves), ""))
+def fingerprint(leaves: Column, branches: Column) -> Column:
+    root = F.md5(F.array_join(branches, ""))
     return F.concat(root, F.lit(":"), F.array_join(F.transform(leaves, lambda h: _closed(h, F.substring(h, 1, 8))), ""))
 
 
@@ -44,9 +44,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(both / whole)
 
 
-def edited_branches(a: Column, b: Column) -> Column:
-    """Positions (from 0) of the sections of a that b lacks: where an edit lies."""
-    sa, sb = sections(a), sections(b)
+def edited_branches(sa: Column, sb: Column) -> Column:
+    """Positions (from 0) of the sections of one tree that the other lacks: where an edit lies."""
     return F.filter(F.transform(sa, lambda s, i: F.when(~F.array_contains(sb, s), i)), lambda i: i.isNotNull())
 
 
@@ -88,9 +87,10 @@ def with_next(docs: DataFrame, rows_per_chunk: int = 1000, max_chunks: int = 20_
 
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and edited_sections of every document.
 
-    The edited text has its last third replaced by the start of the next document. A null text counts as empty; an
+    edited_sections has the numbers (from 0, comma-joined) of the sections that the edited text lacks; equal roots
+    have none. The edited text has its last third replaced by the start of the next document. A null text counts as empty; an
     empty text has a root but no paragraphs; a table of one document has itself for the next. Repeated rows are kept.
     """
     cut = F.floor(F.length("text") / 3).cast("int")
@@ -105,13 +105,14 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
         paragraphs(F.col("edited")).alias("b"),
         paragraphs(F.col("next_text")).alias("c"),
     )
-    seen = trees.select("*", short(F.col("a")).alias("sa"), short(F.col("b")).alias("sb"), short(F.col("c")).alias("sc"))
+    seen = trees.select("*", *(short(F.col(x)).alias(f"s{x}") for x in "abc"), *(sections(F.col(x)).alias(f"t{x}") for x in "ab"))
     return seen.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("a")).alias("fingerprint"),
-        fingerprint(F.col("b")).alias("edited_fingerprint"),
+        fingerprint(F.col("a"), F.col("ta")).alias("fingerprint"),
+        fingerprint(F.col("b"), F.col("tb")).alias("edited_fingerprint"),
         likeness(F.col("sa"), F.col("sb")).alias("near_edited"),
         likeness(F.col("sa"), F.col("sc")).alias("near_next"),
+        F.array_join(edited_branches(F.col("ta"), F.col("tb")), ",").alias("edited_sections"),
     )

@@ -19,9 +19,10 @@ with u as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where nth = 1
 """
 
-_TREE = r"list_transform(regexp_extract_all({0}, '(?s).{{1,120}}?(?:\n|[.!?,;|] |\z)|.{{120}}'), lambda p: md5(p))"
+_TREE = r"list_transform(regexp_extract_all({0}, '(?s).{{1,120}}?(?:\n|[.!?,;|] |[、。！，？；]|\z)|.{{32,119}}? |.{{120}}'), lambda p: md5(p))"
+_SECTIONS = "list_transform(string_split(array_to_string(list_transform({0}, lambda h: case when h < '4' then h || '.' else h end), ''), '.'), lambda s: md5(s))"
 _PRINT = (
-    "md5(array_to_string(list_transform(string_split(array_to_string(list_transform({0}, lambda h: case when h < '4' then h || '.' else h end), ''), '.'), lambda s: md5(s)), ''))"
+    "md5(array_to_string(t{0}, ''))"
     " || ':' || array_to_string(list_transform({0}, lambda h: case when h < '4' then substr(h, 1, 8) || '.' else substr(h, 1, 8) end), '')"
 )
 _NEAR = "case when len(sa) + len({0}) = 0 then 1.0 else len(list_intersect(sa, {0}))::double / (len(sa) + len({0}) - len(list_intersect(sa, {0}))) end"
@@ -35,10 +36,11 @@ with d as (
   select doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, {_TREE.format("text")} as a, {_TREE.format("edited")} as b, {_TREE.format("next_text")} as c from e
 ), s as (
   select *, list_distinct(list_transform(a, lambda h: substr(h, 1, 8))) as sa, list_distinct(list_transform(b, lambda h: substr(h, 1, 8))) as sb,
-    list_distinct(list_transform(c, lambda h: substr(h, 1, 8))) as sc from t
+    list_distinct(list_transform(c, lambda h: substr(h, 1, 8))) as sc, {_SECTIONS.format("a")} as ta, {_SECTIONS.format("b")} as tb from t
 )
 select doc_id, n_chars, edited_sha256, {_PRINT.format("a")} as fingerprint, {_PRINT.format("b")} as edited_fingerprint,
-  {_NEAR.format("sb")} as near_edited, {_NEAR.format("sc")} as near_next from s
+  {_NEAR.format("sb")} as near_edited, {_NEAR.format("sc")} as near_next,
+  array_to_string(list_filter(list_transform(ta, lambda h, i: case when not list_contains(tb, h) then i - 1 end), lambda i: i is not null), ',') as edited_sections from s
 """
 
 SQL["op7_substring_dedup"] = r"""
