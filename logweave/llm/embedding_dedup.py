@@ -6,7 +6,12 @@ compared with each other, and each keeps its best. Lists whose members all reach
 may grow to twice their length. Edges over the threshold give components. An audit compares one vector of each of a
 sample of components, and of vectors without links, with all others: it grows with the rows, measures the recall by
 component and adds what was missed. More cells and rounds follow while the recall is too low; where it stays too low,
-or too few of the sample have links to tell, every vector is asked and the links are exact. In each component all members are compared in blocks, so link counts are exact within what was found.
+or too few of the sample have links to tell, every vector is asked and the links are exact.
+
+Links are then counted exactly in each component by the angles to one member, its pivot. All members within half the
+threshold's angle of the pivot are linked with each other and only counted; the others are compared, in blocks, with
+those whose angle to the pivot differs by no more than the threshold's. A large group of near copies so costs one
+comparison each; a component that is spread wide costs, at worst, the square of its size over BLOCK.
 
 Cells and joins of popular vectors are split by a salted hash, so no task's share grows with a group.
 """
@@ -28,12 +33,15 @@ from logweave.llm.graph import components, cut
 CELL, PART, BLOCK, BUCKET_ROWS = 96, 64, 256, 4096
 TABLES, BITS = 4, 24
 AUDIT, RECALL = 256, 0.99
+SLACK = 1e-6  # radians
 LINKED, ASK = 16, 4096  # fewest linked queries that tell a recall; queries at a time when all are asked
 log = logging.getLogger(__name__)
 
 
 def _unit(vectors) -> np.ndarray:
+    """Unit vectors; the largest component is brought to 1 first, so that no square over- or underflows."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, initial=0.0)[:, None] if x.shape[1] else x
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -211,19 +219,57 @@ def _link_counts(threshold: float):
     return run
 
 
+def _angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds to (root, id, copies, embedding, pivot) the angle between the two vectors; an arc tangent, exact for small angles."""
+    for pdf in batches:
+        out = []
+        for _, g in pdf.groupby(pdf["embedding"].map(len), sort=False):
+            x, p = _unit(g["embedding"]), _unit(g["pivot"])
+            out.append(g.drop(columns="pivot").assign(angle=2 * np.arctan2(np.linalg.norm(x - p, axis=1), np.linalg.norm(x + p, axis=1))))
+        if out:
+            yield pd.concat(out)
+
+
+def counts_inside(heads: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, links): the vectors, copies counted, to which each class of a component is linked."""
+    theta = math.acos(max(-1.0, min(1.0, threshold)))
+    inside = heads.join(parts, heads["id"] == parts["node"]).select("root", "id", "copies", "embedding")
+    pivots = heads.join(parts.select("root").distinct(), heads["id"] == F.col("root"), "left_semi").select(F.col("id").alias("root"), F.col("embedding").alias("pivot"))
+    placed = inside.join(pivots, "root").mapInPandas(_angles, "root long, id long, copies long, embedding array<double>, angle double")
+    # Bin -1: within half the angle of the pivot, less what rounding could change; others by whole angles.
+    core = F.col("angle") <= max(0.0, theta / 2 - SLACK)
+    placed = cut(placed.withColumn("bin", F.when(core, -1).otherwise(F.floor(F.col("angle") / (theta + SLACK)).cast("int"))))
+    sizes = cut(placed.groupBy("root", "bin").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.sum("copies").alias("held")))
+    mine, other = sizes.select("root", "bin", F.col("blocks").alias("own")), sizes.select("root", F.col("bin").alias("obin"), "blocks")
+    # Half the angle and less can reach bins 0 and 1; a bin reaches its neighbours. Bin -1 is not compared with itself.
+    reach = F.when(F.col("bin") < 0, F.col("obin").isin(0, 1)).when(F.col("obin") < 0, F.col("bin") <= 1).otherwise(F.abs(F.col("bin") - F.col("obin")) <= 1)
+    near = mine.join(other, "root").where(reach).groupBy("root", "bin", "own").agg(F.collect_list(F.struct("obin", "blocks")).alias("near"))
+    place = lambda b, i: b.cast("long") * F.lit(1 << 40) + i
+    rows = placed.join(near, ["root", "bin"]).withColumn("block", place(F.col("bin"), F.pmod(F.xxhash64("id"), "own")))
+    rows = rows.withColumn("o", F.explode("near")).withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("o.blocks") - 1), lambda i: place(F.col("o.obin"), i))))
+    pairs = rows.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "copies", "embedding")
+    buckets = 1 + placed.count() // 1024
+    counted = pairs.withColumn("bucket", F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(buckets))).groupBy("bucket").applyInPandas(_link_counts(threshold), "id long, links long")
+    together = placed.where("bin < 0").join(sizes.where("bin < 0").select("root", "held"), "root").select("id", (F.col("held") - F.col("copies")).alias("links"))
+    return counted.unionByName(together).groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def link(vectors: DataFrame, threshold: float = 0.8, k: int = 8, seed: int = 1, max_cycles: int = 4) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row (vec_id, label, embedding).
+    """vec_id, n_links, component_id, kept and recall of every row (vec_id, label, embedding).
 
     Vectors are linked if their labels are equal and not null and their cosine in double precision is at least
-    threshold. Null, zero and not finite vectors link with nothing; neither do vectors of different lengths. Repeated
-    rows of one vec_id count once and are all returned. An empty table gives no rows; other columns are ignored.
+    threshold. Null, zero and not finite vectors link with nothing; neither do vectors of different lengths. Rows that
+    repeat vec_id, label and vector count once and are all returned; rows of one vec_id with other vectors are vectors
+    of their own. recall is the audited recall of the search before what the audit found was added; where it stayed
+    low every vector was compared, and it is 1. An empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
     good = rows.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     keyed = good.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(3), "embedding"))
     key = ["label", "h1", "h2"]
-    classes = keyed.select("vec_id", *key).distinct().groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    heads = cut(keyed.join(classes, key).where("vec_id = id").select("id", "label", F.size("embedding").alias("dims"), "embedding", "copies").dropDuplicates(["id", "label"]))
+    classes = keyed.select("vec_id", *key).distinct().groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    heads = keyed.join(classes, ["vec_id", *key]).dropDuplicates(key)
+    heads = cut(heads.select(F.monotonically_increasing_id().alias("id"), "vec_id", *key, F.size("embedding").alias("dims"), "embedding", "copies"))
     flat = heads.select("id", "label", "dims", "embedding")
     lists = extra = None
     for cycle in range(max_cycles):
@@ -238,28 +284,20 @@ def link(vectors: DataFrame, threshold: float = 0.8, k: int = 8, seed: int = 1,
     else:
         log.warning("recall %.4f after %d cycles; every vector is asked", recall, max_cycles)
         parts = components(edges.unionByName(extra))
-        across, _ = missed(flat, parts, threshold, seed + max_cycles, whole=True)
+        across, recall = missed(flat, parts, threshold, seed + max_cycles, whole=True)
         extra = extra.unionByName(across)
     parts = parts if across.isEmpty() else components(edges.unionByName(extra))
-    inside = heads.join(parts, heads["id"] == parts["node"]).drop("node", "label", "dims")
-    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    buckets = 1 + parts.count() // 1024
-    counted = (
-        pairs.select("root", "lo", "hi", "block", "id", "copies", "embedding")
-        .withColumn("bucket", F.pmod(F.xxhash64("root", "lo", "hi"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(_link_counts(threshold), "id long, links long")
-        .groupBy("id")
-        .agg(F.sum("links").alias("links"))
-    )
-    named = classes.join(counted, "id", "left").join(parts, classes["id"] == parts["node"], "left")
-    named = named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "id").alias("c"))
+    counted = counts_inside(heads.select("id", "copies", F.col("embedding").cast("array<double>").alias("embedding")), parts, threshold)
+    known = heads.select("id", "vec_id", "copies", *key).join(parts, heads["id"] == parts["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    least = known.groupBy("root").agg(F.min("vec_id").alias("c"))
+    named = known.join(counted, "id", "left").join(least, "root").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "c")
     got = rows.withColumn("h1", F.when(usable(), F.xxhash64("embedding"))).withColumn("h2", F.when(usable(), F.xxhash64(F.lit(3), "embedding"))).drop("embedding")
+    # A null vec_id is in no class of its own, whatever its vector.
+    n, c = (F.when(F.col("vec_id").isNotNull(), F.col(x)) for x in "nc")
     return got.join(named, key, "left").select(
         "vec_id",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("c", "vec_id").alias("component_id"),
-        (F.coalesce("c", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(c, "vec_id").alias("component_id"),
+        F.coalesce(F.coalesce(c, "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.lit(recall).alias("recall"),
     )
