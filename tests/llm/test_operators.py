@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import embedding_dedup, jaccard_join, merkle, mixing, pii, segmentation, sharding, substring_dedup, toxicity, urls
 
@@ -78,6 +79,22 @@ def test_substring_dedup_removes_what_brute_force_removes(spark, texts):
         expected.append((d, len(w), len(gone[d]), hashlib.sha256(kept.encode()).hexdigest()))
     got = rows_of(substring_dedup.parse(table(spark, texts)))
     assert [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == expected
+    for r, w, g in zip(got, words, gone):
+        covered = []
+        for f in r["factors"]:
+            source, a, b = words[f["ref_doc"]], f["ref_start"], f["start"]
+            assert (f["ref_doc"], a) < (r["doc_id"], b) and source[a : a + f["words"]] == w[b : b + f["words"]]
+            covered += range(b, b + f["words"])
+        assert covered == sorted(g)
+
+
+def test_factors_run_as_long_as_their_reference(spark):
+    """A document made of two passages of others, and one whose factors meet inside a window: equal blocks refer to the first such block, other windows to the first such window."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    lines = [a, b, [*c[:5], *a[10:50], *c[5:9], *b[:30]], [*a[20:45], *b[12:40]], [*a[20:45], *b[12:24], *c[20:60]]]
+    got = rows_of(substring_dedup.parse(table(spark, [" ".join(x) for x in lines])))
+    shown = [[tuple(f) for f in r["factors"]] for r in got]
+    assert shown == [[], [], [(5, 40, 0, 10), (49, 30, 1, 0)], [(0, 25, 0, 20), (25, 28, 1, 12)], [(0, 24, 3, 0), (24, 1, 0, 44), (25, 12, 3, 25)]]
 
 
 def test_mixing_fills_targets_and_caps(spark, texts):
@@ -123,6 +140,18 @@ def test_urls_follow_the_longest_rule(spark):
     assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == expected
 
 
+def test_urls_by_shard_equal_urls_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls, "KEYS_PER_SHARD", 40)
+    r = random.Random(2)
+    hosts, given = ["a.com", "example.com", "x.net", "example.net", "y.org", "z.io"], ["http://a.com/en/hot"] * 90 + [None, "", "no scheme"]
+    given += [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es'])}/{r.randint(0, 80)}" for _ in range(250)]
+    rows = [(i, u, f"h{i}", {"k": i}) for i, u in enumerate(given)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, extra map<string,int>")
+    one, other = (rows_of(urls.filter_urls(pages, broadcast_bytes=b, group_rows=25), "page_id") for b in (1 << 20, 0))
+    assert one == other and len(one) == len(given) and {x["verdict"] for x in one} == {"allow", "block"}
+    assert urls.filter_urls(pages.limit(0), broadcast_bytes=-1).count() == 0
+
+
 def luhn(digits):
     total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -231,7 +260,44 @@ def test_sharding_is_gapless_and_grows_into_the_new_shard_only(spark, texts):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_sharding_versions_are_kept_and_edited_by_bytes(spark, texts, tmp_path):
+    docs = table(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.limit(5).selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    got, path = sharding.assign(docs, n_shards=4, n_slots=64, map_path=str(tmp_path / "m")).collect(), str(tmp_path / "m")
+    one, two, three = (sharding.read_map(spark, path, v) for v in (1, 2, 3))
+    assert one == [i % 4 for i in range(64)] and sharding.read_map(spark, path) == three
+    assert all(b in (a, 4) for a, b in zip(one, two)) and abs(two.count(4) - 64 // 5) <= 1
+    held, places = {}, {}
+    for r in got:
+        held[r["vslot"]] = held.get(r["vslot"], 0) + r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        assert (r["shard"], r["grown_shard"], r["rebalanced_shard"]) == (one[r["vslot"]], two[r["vslot"]], three[r["vslot"]])
+    assert all(r["vslot_bytes"] == held[r["vslot"]] for r in got) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r["vslot"] for r in got if r["doc_id"] is None}) == 1 and len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
+    load = lambda m: [sum(held.get(i, 0) for i in range(64) if m[i] == s) for s in range(4)]
+    assert max(load(three)) <= max(load(one)) and three == sharding.rebalance(one, held)
+    with pytest.raises(Exception, match="exists"):
+        sharding.write_map(spark, path, 3, one)
+
+
+def test_rebalancing_moves_slots_off_a_hot_shard():
+    slots, held = sharding.first_map(4, 32), {i: 10 for i in range(32)} | {0: 100, 4: 90}
+    after = sharding.rebalance(slots, held)
+    load = [sum(held[i] for i in range(32) if after[i] == s) for s in range(4)]
+    assert max(load) < 190 and sum(load) == sum(held.values()) and max(load) - min(load) <= 100
+    assert sharding.rebalance(slots, {}) == slots and sharding.rebalance(slots, {0: 1000}) == slots
+
+
+def paragraphs(text):
+    return [hashlib.md5(m.encode()).hexdigest() for m in re.findall(merkle.PARAGRAPH.replace("\\z", "\\Z"), text)]
+
+
+def sections(leaves):
+    return [hashlib.md5(x.encode()).hexdigest() for x in "".join(h + "." if h < "4" else h for h in leaves).split(".")]
+
+
 def test_fingerprints_tell_equality_and_edits(spark, texts):
+    texts = [*texts, "no stops here " * 60, "漢字。" * 90, ("a line. " * 3 + "\n") * 20]
     got = rows_of(merkle.compare_with_edit(table(spark, texts)))
     prints = {}
     for i, (r, t) in enumerate(zip(got, texts)):
@@ -240,6 +306,9 @@ def test_fingerprints_tell_equality_and_edits(spark, texts):
         edited = t[: len(t) - cut] + following[:cut]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"] and 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        mine, other = sections(paragraphs(t)), sections(paragraphs(edited))
+        assert r["edited_sections"] == ",".join(str(k) for k, h in enumerate(mine) if h not in other)
+        assert r["fingerprint"].split(":")[0] == hashlib.md5("".join(mine).encode()).hexdigest()
     assert len(set(prints.values())) == len(prints)
 
 
@@ -261,6 +330,30 @@ def test_embedding_links_equal_brute_force(spark):
     assert [(g["vec_id"], g["n_links"], g["component_id"], g["kept"]) for g in got] == expected
 
 
+def test_embedding_counts_of_tight_and_wide_groups_and_repeated_ids(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(3, 12))
+    tight = base[0] + r.normal(size=(400, 12)) * 0.02  # nearly all within half the angle of any
+    chain = [base[1] / np.linalg.norm(base[1])]
+    for _ in range(60):  # neighbours link, ends do not
+        v = chain[-1] + 0.04 * (base[2] / np.linalg.norm(base[2]))
+        chain.append(v / np.linalg.norm(v))
+    wide = base[0] + r.normal(size=(80, 12)) * 0.16
+    x = np.concatenate([tight, chain, wide, [base[0] * 1e200, base[1] * 1e-200]])
+    m = x / np.abs(x).max(axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.98
+    roots = components(len(m), [(int(a), int(b)) for a, b in np.argwhere(np.tril(near, -1))])
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = rows_of(embedding_dedup.link(frame, threshold=0.98), "vec_id")
+    assert [(g["n_links"], g["component_id"]) for g in got] == [(int(near[i].sum()) - 1, roots[i]) for i in range(len(m))]
+    assert all(0 <= g["recall"] <= 1 for g in got)
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (3, [0.001, 1.0], 0), (None, [1.0, 0.0], 0), (4, [1.0, 0.0, 0.0], 0)]
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.98)
+    shown = sorted((g["vec_id"] or 0, g["n_links"], g["component_id"] or 0, g["kept"]) for g in got.collect())
+    assert shown == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_embedding_audit_sees_what_a_large_group_hides(spark, monkeypatch):
     r = np.random.default_rng(2)
     base = r.normal(size=(560, 24))
@@ -274,7 +367,14 @@ def test_embedding_audit_sees_what_a_large_group_hides(spark, monkeypatch):
     few = frame.where("id < 800 or id in (800, 801, 920, 921)")  # two missed pairs among 804 vectors
     across, recall = embedding_dedup.missed(few, large, 0.98, 1)
     assert {(min(a, b), max(a, b)) for a, b in across.collect()} == {(800, 920), (801, 921)}
-    monkeypatch.setattr(embedding_dedup, "graph", lambda v, *a, **k: spark.createDataFrame([(i, 0, 1.0) for i in range(1, 400)], "u long, v long, sim double"))
+
+    def only_the_large_group(v, *a, **k):
+        ids, m = zip(*((r["id"], r["embedding"]) for r in v.collect()))
+        m = np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
+        group = [i for i, c in zip(ids, m @ m[ids.index(min(ids))]) if c > 0.9]
+        return spark.createDataFrame([(i, min(group), 1.0) for i in group if i != min(group)], "u long, v long, sim double")
+
+    monkeypatch.setattr(embedding_dedup, "graph", only_the_large_group)
     got = rows_of(embedding_dedup.link(frame.selectExpr("id as vec_id", "embedding", "label"), threshold=0.98, max_cycles=1), "vec_id")
     roots = {**{i: 0 for i in range(400)}, **{b: a for a, b in pairs}}
     assert [g["component_id"] for g in got] == [roots.get(i, i) for i in range(len(x))]
@@ -291,6 +391,65 @@ def test_segmentations_decode_differ_and_repeat(spark, texts):
     assert got == rows_of(segmentation.encode(table(spark, texts), k=3, with_ids=True))
 
 
+def segmentations(v, sp, word):
+    """All ways to write a short word in pieces: (ids, sum of logarithms)."""
+    piece = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    if not word:
+        return [((), 0.0)]
+    out = []
+    for k in range(1, len(word) + 1):
+        if word[:k] in piece:
+            i = piece[word[:k]]
+            out += [((i, *rest), float(v.logp[i]) + lp) for rest, lp in segmentations(v, sp, word[k:])]
+    return out
+
+
+def test_samples_of_small_lattices_follow_their_probabilities(spark):
+    """Against all segmentations listed: probabilities, frequencies, inclusion, and that nothing is drawn twice."""
+    from sentencepiece import SentencePieceProcessor
+
+    v, sp = segmentation.vocabulary(), SentencePieceProcessor(model_file=segmentation.MODEL)
+    text = "the cat"
+    both = [(a + b, x + y) for a, x in segmentations(v, sp, "▁the") for b, y in segmentations(v, sp, "▁cat")]
+    total = math.log(sum(math.exp(lp) for _, lp in both))
+    p = {ids: math.exp(lp - total) for ids, lp in both}
+    n, k = 4000, 3
+    got = list(segmentation.encode_texts(v, [text] * n, np.arange(n) * 7919, k))
+    first, weighed = {}, 0.0
+    for samples in got:
+        shown = [tuple(ids.tolist()) for ids, *_ in samples]
+        assert len(set(shown)) == k == len(shown)
+        for ids, lp, score, q in samples:
+            assert lp == pytest.approx(math.log(p[tuple(ids.tolist())]), abs=1e-6) and 0 < q <= 1
+            weighed += p[tuple(ids.tolist())] / q / n
+        first[shown[0]] = first.get(shown[0], 0) + 1
+    assert weighed == pytest.approx(1, abs=0.05)  # inverse inclusion weighs the samples back to all
+    assert all(abs(first.get(ids, 0) / n - q) < 4 * math.sqrt(q / n) + 1e-3 for ids, q in p.items())
+    every = next(segmentation.encode_texts(v, [text], np.array([1]), len(p) + 5))
+    assert {tuple(ids.tolist()) for ids, *_ in every} == set(p) and len(every) == len(p) and all(q == 1 for *_, q in every)
+
+
+def test_copies_get_other_samples(spark):
+    docs = table(spark, ["several words to be cut into pieces"] * 2).withColumn("doc_id", F.lit(1)).unionByName(table(spark, [None, ""]))
+    got = segmentation.encode(docs, k=1, copies=True).collect()
+    assert len(got) == 4 and len({r["samples"][0]["ids_sha256"] for r in got if r["doc_id"] == 1 and r["samples"][0]["n_ids"]}) == 2
+    assert segmentation.encode(docs.limit(0), copies=True).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Over the slices' sizes, and one word without an end."""
+    r = random.Random(9)
+    long_ = " ".join(r.choices([f"word{i}" for i in range(5000)], k=700_000))
+    docs = table(spark, [long_, "z" * 1_500_000, "short text", long_[:3000] + " tail"])
+    got = rows_of(substring_dedup.parse(docs))
+    assert [x["n_words"] for x in got] == [700_000, 1, 2, len(long_[:3000].split()) + 1] and got[3]["n_removed"] > 300
+    assert [x["n_shingles"] for x in rows_of(jaccard_join.join(docs))][1:3] == [1, 1]
+    assert pii.report(pii.find(docs)).count() == 4 and sharding.assign(docs).count() == 4
+    assert len(toxicity._beginnings("z" * 1_500_000)) == toxicity.LONGEST - toxicity.SHORTEST + 1
+    samples = rows_of(segmentation.encode(docs.where("doc_id > 0"), k=2))
+    assert all(s["decodes"] for x in samples for s in x["samples"])
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
