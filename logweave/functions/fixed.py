@@ -109,9 +109,9 @@ LAYOUTS = {
     "postgres": r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s+[A-Z]{3,4})?)\s+\[(\d+)\]\s+(?:([a-zA-Z0-9_.-]+@[a-zA-Z0-9_.-]+)\s+)?([A-Z]{3,8}):\s+(.*)$",
     "syslog_head": r"^([a-zA-Z0-9_-]+)\s+([a-zA-Z0-9_.-]+)(?:\[(\d+)\])?:\s*",
 }
-EXTENSION_PAIR = r"(\w+)=((?:\\=|[^=])*)(?:\s+|$)"
+EXTENSION_PAIR = r"(\w+)=([^=]*)(?:\s+|$)"  # escaped equals signs are taken out before
 LOGFMT_PAIR = r"""([a-zA-Z0-9_.-]+)=(?:"([^"]*)"|'([^']*)'|([^ \t\n\r,;\]\}>\\)&]+))"""
-FREE_PAIR = r"""([a-zA-Z0-9_-]+)=("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^ \t\n\r,;\]\}>\\)&]+)"""
+FREE_PAIR = r"""([a-zA-Z0-9_-]+)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^ \t\n\r,;\]\}>\\)&]+)"""
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 USER = r"(?i)(?:for\s+(?:invalid\s+user\s+)?|user[\s=:]+)([a-zA-Z0-9_.-]+)"
 PORT = r"(?i)\bport\s*[:=]?\s*(\d{2,5})\b"

@@ -37,7 +37,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 def line_features(lines: DataFrame) -> DataFrame:
     """Adds what decides whether a line continues a record: net braces outside quotes, an open quote, and its opening."""
     line = F.col("line")
-    bare = F.regexp_replace(line, r'"(?:\\[\s\S]|[^"\\])*"', "")
+    bare = F.regexp_replace(line, r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"', "")
     cut = bare.contains('"')
     head = F.when(cut, F.substring_index(bare, '"', 1)).otherwise(bare)
     s = strip(line)

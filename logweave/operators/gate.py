@@ -36,18 +36,30 @@ def tfidf(lines: DataFrame, terms: DataFrame, key: str = "id", text: str = "text
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(key)))).select(key, "term", "w")
 
 
-def distances(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: DataFrame | None = None) -> DataFrame:
-    """Mean Euclidean distance of each query vector to its k nearest known ones; vectors are rows (id, term, w) of unit length.
+def nearest(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: DataFrame | None = None) -> DataFrame:
+    """Of each query vector the k nearest known ones: rows (q, x, dot, take); vectors are rows (id, term, w) of unit length.
 
-    Vectors meet by common terms only; distance follows from the dot product, sqrt(2) where there is none. copies has
-    rows (id, copies) where a known vector stands for more than one line, each of them a neighbour.
+    Vectors meet by common terms only. copies has rows (id, copies) where a known vector stands for more than one
+    line, each of them a neighbour; take is how many of them count.
     """
-    dots = query.select(F.col("id").alias("q"), "term", F.col("w").alias("a")).join(known.select(F.col("id").alias("x"), "term", F.col("w").alias("b")), "term").groupBy("q", "x").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    dots = query.select(F.col("id").alias("q"), "term", F.col("w").alias("a")).join(known.select(F.col("id").alias("x"), "term", F.col("w").alias("b")), "term").groupBy("q", "x").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("dot"))
+    best = Window.partitionBy("q").orderBy(F.desc("dot"), "x")
+    dots = dots.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")  # limited before the shuffle
     dots = dots.withColumn("copies", F.lit(1)) if copies is None else dots.join(copies.select(F.col("id").alias("x"), "copies"), "x")
-    w = Window.partitionBy("q").orderBy(F.desc("dot"), "x").rowsBetween(Window.unboundedPreceding, -1)
-    near = dots.withColumn("take", F.least(F.col("copies"), k - F.coalesce(F.sum("copies").over(w), F.lit(0)))).where("take > 0")
-    d = near.groupBy("q").agg(F.sum(F.col("take") * F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))).alias("s"), F.sum("take").alias("n"))
-    return query.select("id").distinct().join(d, F.col("id") == F.col("q"), "left").select("id", ((F.coalesce("s", F.lit(0.0)) + (k - F.coalesce("n", F.lit(0))) * 2**0.5) / k).alias("distance"))
+    before = F.coalesce(F.sum("copies").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dots.withColumn("take", F.least(F.col("copies"), k - before)).where("take > 0").select("q", "x", "dot", "take")
+
+
+def distances(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: DataFrame | None = None) -> DataFrame:
+    """Mean Euclidean distance of each query vector to its k nearest known ones, and the nearest one.
+
+    Distance follows from the dot product, sqrt(2) where no term is common.
+    """
+    d = nearest(query, known, k, copies).groupBy("q").agg(
+        F.sum(F.col("take") * F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")))).alias("s"), F.sum("take").alias("n"), F.max_by("x", F.struct("dot", -F.col("x"))).alias("nearest")
+    )
+    mean = (F.coalesce("s", F.lit(0.0)) + (k - F.coalesce("n", F.lit(0))) * 2**0.5) / k
+    return query.select("id").distinct().join(d, F.col("id") == F.col("q"), "left").select("id", F.round(mean, 8).alias("distance"), "nearest")
 
 
 def threshold(calibration: DataFrame, copies: Column | int = 1) -> float:
@@ -55,9 +67,50 @@ def threshold(calibration: DataFrame, copies: Column | int = 1) -> float:
     return max(FLOOR, calibration.select(F.percentile("distance", 0.99, copies)).first()[0] or 0.0)
 
 
+def part_of(key: Column, parts: int, salt: str = "") -> Column:
+    """A number below parts, by the MD5 of a key; what is dealt by it has nearly equal shares of every label."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 7), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
 def split(labelled: DataFrame, held_out: int = 5, key: str = "id", label: str = "label") -> DataFrame:
-    """Adds held_out: every fifth line of each label by a hash of its key."""
-    return labelled.withColumn("held_out", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)), F.lit(held_out)) == 0)
+    """Adds held_out: a fifth of each label's lines, by a hash of label and key."""
+    return labelled.withColumn("held_out", part_of(F.concat(F.col(label), F.lit(":"), F.col(key)), held_out) == 0)
+
+
+class Novelty:
+    """A fitted gate: known masked texts with labels and copies, their vectors, the terms, and the threshold."""
+
+    def __init__(self, known: DataFrame, calibration: DataFrame | None = None, margin: float = 1.0, limit: float | None = None):
+        """known and calibration are rows (text, label), masked; lines that mask alike are vectors once and count as often as they occur."""
+        rows = known.groupBy("text").agg(F.count("*").alias("copies"), F.mode("label", True).alias("label"))
+        self.known = rows.withColumn("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+        self.terms = vocabulary(self.known, copies=F.col("copies"))
+        self.vectors = tfidf(self.known, self.terms)
+        self.margin, self.limit = margin, limit
+        if limit is None:
+            scored = self.score(calibration.groupBy("text").agg(F.count("*").alias("copies")))
+            self.limit = threshold(scored, F.col("copies"))
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        """Adds distance and family_guess (the label of the nearest known text) to different texts (text, ...)."""
+        keyed = texts.withColumn("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+        found = distances(tfidf(keyed, self.terms), self.vectors, copies=self.known)
+        # A text without a known term is the zero vector, at distance 1 from every unit vector.
+        got = keyed.join(found, "id", "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
+        return got.join(self.known.select(F.col("id").alias("nearest"), F.col("label").alias("family_guess")), "nearest", "left").drop("nearest", "id")
+
+    def __call__(self, masked: DataFrame) -> DataFrame:
+        """(masked, novel, distance, family_guess) of different masked texts (masked), as decide() asks for."""
+        got = self.score(masked.where("masked is not null").select(F.col("masked").alias("text")))
+        return novel(got, self.limit, self.margin).select(F.col("text").alias("masked"), "novel", F.col("shown").alias("distance"), "family_guess")
+
+
+def evaluate(scored: DataFrame, limit: float, margin: float = 1.0) -> DataFrame:
+    """One row over (label, known, family_guess, distance, copies): accuracy on known labels, false alarms, and novelty caught."""
+    n, flag = F.col("copies"), F.col("distance") > F.lit(limit * margin)
+    share = lambda hit, of: F.sum(F.when(hit & of, n).otherwise(0)) / F.nullif(F.sum(F.when(of, n).otherwise(0)), F.lit(0))
+    known = F.col("known")
+    return scored.agg(share(F.col("family_guess") == F.col("label"), known).alias("accuracy"), share(flag, known).alias("false_alarm"), share(flag, ~known).alias("caught"))
 
 
 def fit_families(train: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import clip, mask_line
+from logweave.operators.rules import numbered
 
-SIMILARITY, DEPTH, MOST_CHILDREN = 0.5, 2, 100
+SIMILARITY, DEPTH = 0.5, 2
 GRADUATE_AFTER, GRADUATE_REPEATS = 8, 5
 SHOWN = 300
 WILD = "<*>"
@@ -31,8 +32,6 @@ def cluster(templates: list[tuple[str, int]], similarity: float = SIMILARITY) ->
     for text, _ in templates:
         tokens = text.split()
         key = _leaf(tokens)
-        if len(leaves) >= MOST_CHILDREN and key not in leaves:
-            key = (WILD,) * len(key)
         groups = leaves.setdefault(key, [])
         scores = [(sum(a == b for a, b in zip(g, tokens)) / max(1, len(tokens)), -i) for i, g in enumerate(groups)]
         best = max(scores, default=(0.0, 0))
@@ -49,19 +48,20 @@ def cluster(templates: list[tuple[str, int]], similarity: float = SIMILARITY) ->
 def mine(records: DataFrame, line: str = "raw", seq: str = "seq", similarity: float = SIMILARITY) -> DataFrame:
     """Rows (masked, template, first_seq, size): Drain (He et al., ICWS 2017) on distinct masked lines.
 
-    Drain's first level is the number of tokens and its next the first tokens, so each (count, first token) is a
-    tree of its own and its own task. Masked lines are first pre-aggregated, so a task sees each once.
+    Drain's tree leads by the number of tokens and the first DEPTH tokens to a leaf, and leaves are independent: each
+    is a group of its own. Masked lines are first pre-aggregated, so a task sees each different one once.
     """
     masked = records.select(mask_line(F.col(line)).alias("masked"), F.col(seq).alias("seq")).groupBy("masked").agg(F.min("seq").alias("first_seq"), F.count("*").alias("size"))
-    first = F.regexp_replace(F.substring_index("masked", " ", 1), r".*\d.*", WILD)
-    keyed = masked.withColumn("n_tokens", F.regexp_count("masked", F.lit(r"\S+"))).withColumn("head", first)
+    words = F.filter(F.split("masked", r"\s+"), lambda w: w != "")
+    leaf = F.transform(F.slice(words, 1, DEPTH), lambda w: F.when(w.rlike(r"\d"), WILD).otherwise(w))
+    keyed = masked.withColumn("n_tokens", F.size(words)).withColumn("leaf", F.array_join(leaf, " "))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_seq")
         found = dict(cluster(list(zip(pdf["masked"], pdf["size"])), similarity))
         return pd.DataFrame({"masked": pdf["masked"], "template": pdf["masked"].map(found), "first_seq": pdf["first_seq"], "size": pdf["size"]})
 
-    return keyed.groupBy("n_tokens", "head").applyInPandas(run, "masked string, template string, first_seq long, size long")
+    return keyed.groupBy("n_tokens", "leaf").applyInPandas(run, "masked string, template string, first_seq long, size long")
 
 
 def template_view(mined: DataFrame, most: int = 100) -> DataFrame:
@@ -75,13 +75,12 @@ def quarantine(novel: DataFrame, graduate_after: int = GRADUATE_AFTER, graduate_
     quarantined until the template was seen graduate_after times or the line graduate_repeats times; the latter
     escalates; the first record over the former is discovered and graduates its template, later ones are discovered.
     """
-    by_template = Window.partitionBy("template").orderBy("seq")
-    rows = novel.withColumn("count", F.row_number().over(by_template)).withColumn("occurrences", F.row_number().over(Window.partitionBy("raw", "family_guess").orderBy("seq")))
+    rows = numbered(numbered(novel, ["template"], "count"), ["raw", "family_guess"], "occurrences")
     able = (F.col("count") >= graduate_after) & (F.col("occurrences") < graduate_repeats)
     kind = F.when(F.col("occurrences") >= graduate_repeats, "escalated").when(F.col("count") < graduate_after, "quarantined").otherwise("discover")
     rows = rows.withColumn("kind", kind)
-    before = F.sum(able.cast("int")).over(by_template.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("graduates", able & (F.coalesce(before, F.lit(0)) == 0))
+    first = rows.where(able).groupBy(F.col("template").alias("_t")).agg(F.min("seq").alias("_first"))
+    return rows.join(first, F.col("template") == F.col("_t"), "left").withColumn("graduates", F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))).drop("_t", "_first")
 
 
 def quarantine_view(novel: DataFrame, most: int = 100) -> DataFrame:

@@ -56,7 +56,10 @@ def ncsa(g: Column) -> Column:
 
 
 def _extension(ext: Column, pattern: str) -> Column:
-    return _zipped(F.regexp_extract_all(ext, F.lit(f"(?d){pattern}"), F.lit(1)), F.transform(F.regexp_extract_all(ext, F.lit(f"(?d){pattern}"), F.lit(2)), lambda v: F.replace(strip(v), F.lit("\\="), F.lit("="))))
+    """Pairs of an extension; an escaped equals sign is part of a value."""
+    bare = F.replace(ext, F.lit("\\="), F.lit("\x02"))
+    part = [F.regexp_extract_all(bare, F.lit(f"(?d){pattern}"), F.lit(i)) for i in (1, 2)]
+    return _zipped(part[0], F.transform(part[1], lambda v: F.replace(strip(v), F.lit("\x02"), F.lit("="))))
 
 
 def cef(g: Column) -> Column:
@@ -236,7 +239,7 @@ def _renamed(entries: Column) -> Column:
 def with_delimited(df: DataFrame, s: str, method: str, delimiter: str, now: Column) -> DataFrame:
     """Adds _delimited: fields of a delimited line; quotes hold a delimiter. Of what is neither time, severity nor pair, the longest is the message and the first other single word the source."""
     one, d = F.split(F.col(s), "\n")[0], F.col(delimiter)
-    cut = lambda c: F.regexp_extract_all(one, F.lit(rf'(?:^|{c})((?:"(?:[^"]|"")*"|[^{c}"])*)'), F.lit(1))
+    cut = lambda c: F.regexp_extract_all(one, F.lit(rf'(?:^|{c})([^{c}"]*+(?:"[^"]*+"[^{c}"]*+)*+)'), F.lit(1))
     df = df.withColumn("_d0", F.when(F.col(method) == "delimiter", F.when(d == "|", cut(r"\|")).when(d == ",", cut(",")).when(d == ";", cut(";")).otherwise(cut("\t"))))
     df = df.withColumn("_d1", F.transform("_d0", lambda p: strip(F.replace(F.regexp_replace(p, r'^\s*"([\s\S]*)"\s*$', "$1"), F.lit('""'), F.lit('"')))))
     df = df.withColumn("_d1", F.filter("_d1", lambda p: p != ""))

@@ -47,6 +47,16 @@ def top_values(records: DataFrame, column: str, most: int = 5) -> DataFrame:
     return records.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).orderBy(F.desc("n"), "first_seq").limit(most)
 
 
+def run_summary(records: DataFrame, most: int = 5) -> DataFrame:
+    """Rows (kind, name, value): records in all and by mode, the most frequent formats and families (of equal counts the first seen), mean latency."""
+    counted = lambda kind: records.groupBy(F.lit(kind).alias("kind"), F.col(kind).alias("name")).agg(F.count("*").cast("double").alias("value"), F.min("seq").alias("first_seq"))
+    top = lambda kind: counted(kind).orderBy(F.desc("value"), "first_seq").limit(most)
+    whole = records.agg(F.count("*").cast("double").alias("total"), F.coalesce(F.round(F.avg("latency_ms"), 2), F.lit(0.0)).alias("avg_latency_ms"))
+    whole = whole.select(F.stack(F.lit(2), F.lit("total"), F.col("total"), F.lit("avg_latency_ms"), F.col("avg_latency_ms")).alias("kind", "value")).select("kind", F.lit(None).cast("string").alias("name"), "value")
+    rows = counted("mode").unionByName(top("format")).unionByName(top("family")).drop("first_seq")
+    return rows.unionByName(whole)
+
+
 def console(records: DataFrame) -> DataFrame:
     """Known, new and problematic records, and the share answered from rules."""
     n = F.count("*")

@@ -51,9 +51,24 @@ def unseen_families(records: DataFrame, known: DataFrame) -> DataFrame:
     return new.groupBy("family").agg(F.min_by("raw", "seq").alias("raw"), F.min("seq").alias("seq"))
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str, seq: str = "seq", width: int = 100_000) -> DataFrame:
+    """Adds name: how many rows of the same keys there are up to each one in order of seq.
+
+    Rows are numbered within ranges of width of seq, and the ranges' counts summed up, so a key of very many rows is
+    numbered by many tasks.
+    """
+    rows = rows.withColumn("_range", F.floor(F.col(seq) / F.lit(width)))
+    theirs = {k: f"_of_{k}" for k in [*keys, "_range"]}
+    w = Window.partitionBy(*(theirs[k] for k in keys)).orderBy("_of__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*(F.col(k).alias(v) for k, v in theirs.items())).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(seq))
+    got = rows.join(before, [F.col(k).eqNullSafe(F.col(v)) for k, v in theirs.items()])
+    return got.withColumn(name, (F.col("_before") + nth).cast("int")).drop("_range", "_before", *theirs.values())
+
+
 def with_repeats(records: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:
     """Adds nth: how many times the same keys were seen up to this record."""
-    return records.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
+    return numbered(records, list(keys), "nth", seq)
 
 
 def cascade(records: DataFrame, now: Column, raw: str = "raw", seq: str = "seq") -> DataFrame:

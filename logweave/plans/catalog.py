@@ -1,4 +1,4 @@
-"""Named queries of the engine and the SQL that checks them."""
+"""Named queries of the engine and the SQL that checks them. The session's time zone must be UTC."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from logweave.functions import fixed
 from logweave.functions.text import extract, mask_line
 from logweave.functions.timestamps import parse_ts, render
-from logweave.operators import assemble, gate, mining, reports, rules
+from logweave.operators import assemble, gate, mining, reports, rules, tiers
 from logweave.operators.normalize import canonical_severity, infer_event
 from logweave.operators.parse import json_entries
-from logweave.sources import readers, synth
+from logweave.sources import corpus, readers, synth
 
 EXTRAS = ("http_status", "bytes_sent", "http_path", "user", "pid", "program", "port", "facility", "stream", "thread", "user_database", "n", "latency", "connection_id", "client", "severity_raw", "spt")
 SEVERITY_CASES = ("INFO", "[warn]", "Fatal", "(err)", "verbose", "D", "notice", "Exception", "panic", "LOG")
@@ -28,7 +28,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return synth.synth_lines(_read(spark, sf_dir, "events")).select("seq", "expected", "raw")
 
 
@@ -43,10 +42,28 @@ def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(first), "family").withColumn("mode", F.when(F.col("seq") == F.col("first_seq"), "Discovery").otherwise("Cached")).select("seq", "family", "mode")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modes with made-up latencies and gate results, each a function of the row."""
-    marks = synth.synth_lines(_read(spark, sf_dir, "events")).select("seq", (F.col("v") % 100 / 4).alias("latency_ms"), ((F.col("u") % 10 == 0) | ((F.col("n").isin(6, 7)) & (F.col("u") % 3 > 0))).alias("gate_novel"), F.when(F.col("u") % 7 == 0, "other").otherwise(F.col("expected")).alias("gate_family"))
-    return _modes(spark, sf_dir).join(marks, "seq")
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus line for every event (seq, label, fresh, raw) and whether its format is a known one; a fifth are fresh: calibration lines of other hosts."""
+    numbers = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
+    return corpus.lines(numbers, fresh=gate.part_of(F.col("seq"), 5, "role:") == 0).withColumn("known", F.col("label").isin(*corpus.KNOWN))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, gate.Novelty]:
+    """Masked corpus lines (seq, label, fresh, known, raw, text), and the gate trained on those of known formats that are not fresh."""
+    lines = _corpus(spark, sf_dir).withColumn("text", mask_line(F.col("raw")))
+    known = lines.where("known")
+    return lines, gate.Novelty(known.where("not fresh").select("text", "label"), known.where("fresh").select("text", "label"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh lines of known formats and all of unknown ones with mode and gate result; the events' values stand for latencies."""
+    lines, fitted = _gated(spark, sf_dir)
+    asked = lines.where("fresh or not known")
+    decided = tiers.decide(asked.select("seq", "raw"), _now()).select("seq", "mode")
+    found = fitted.score(asked.select("text").distinct())
+    values = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.abs("value").alias("latency_ms"))
+    rows = asked.join(found, "text").join(decided, "seq").join(values, "seq")
+    return rows.select("seq", F.col("label").alias("family"), "known", "mode", "latency_ms", (F.col("distance") > fitted.limit).alias("gate_novel"), F.col("family_guess").alias("gate_family"))
 
 
 def _physical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +133,15 @@ def page_slice(spark, sf_dir):
 
 
 def family_summary(spark, sf_dir):
-    return reports.summary_with_modes(_scored(spark, sf_dir))
+    return reports.summary_with_modes(_evaluated(spark, sf_dir))
 
 
 def precision_recall(spark, sf_dir):
-    return reports.precision_recall(_scored(spark, sf_dir), F.col("family").isin("cef", "leef"))
+    return reports.precision_recall(_evaluated(spark, sf_dir), ~F.col("known"))
 
 
 def per_unknown(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("family").agg(F.round(F.avg(F.col("gate_novel").cast("double")), 3).alias("catch_rate"))
+    return _evaluated(spark, sf_dir).where("not known").groupBy("family").agg(F.round(F.avg(F.col("gate_novel").cast("double")), 3).alias("catch_rate"))
 
 
 def mask_templates(spark, sf_dir):
@@ -145,7 +162,6 @@ def severity_map(spark, sf_dir):
 
 
 def ts_ladder(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ts = F.date_trunc("second", "ts")
     made = [F.struct(F.lit(i).alias("layout"), F.date_format(ts, p).alias("text")) for i, p in enumerate(TS_LAYOUTS)]
     made += [F.struct(F.lit(len(made)).alias("layout"), F.unix_seconds(ts).cast("string").alias("text")), F.struct(F.lit(len(made) + 1).alias("layout"), F.unix_millis(ts).cast("string").alias("text"))]
@@ -154,7 +170,6 @@ def ts_ladder(spark, sf_dir):
 
 
 def ts_year_infer(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = spark.createDataFrame([(a,) for a, _ in YEAR_CASES], "text string")
     return rows.select("text", render(parse_ts(F.col("text"), F.lit("2026-01-05 00:00:00").cast("timestamp"))).alias("iso"))
 
@@ -170,8 +185,8 @@ def nth_occurrence(spark, sf_dir):
 
 
 def _novel(spark, sf_dir):
-    et, u = F.col("event_type"), F.col("user_id")
-    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(et, F.lit(" "), u % 40).alias("template"), F.concat(et, F.lit(" "), u).alias("raw"), F.lit("x").alias("family_guess"))
+    """Lines of formats that the gate has not seen, with their masked templates."""
+    return _corpus(spark, sf_dir).where("not known").select("seq", mask_line(F.col("raw")).alias("template"), "raw", F.col("label").alias("family_guess"))
 
 
 def quarantine_decisions(spark, sf_dir):
@@ -212,20 +227,79 @@ def template_mining(spark, sf_dir):
 
 
 def gate_novelty(spark, sf_dir):
-    lines = _lines(spark, sf_dir).select(F.col("seq").alias("id"), F.col("expected").alias("label"), mask_line(F.col("raw")).alias("text"))
-    marked = gate.split(lines.where(F.col("label") != "leef")).select("id", "label", "text", "held_out")
-    # Lines that mask alike are scored once and count as often as they occur, under each of their labels.
-    once = lambda rows, *key: rows.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    known = once(marked.where("not held_out"), "text")
-    terms = gate.vocabulary(known, copies=F.col("copies"))
-    asked = lines.where(F.col("label") == "leef").unionByName(marked.where("held_out").drop("held_out"))
-    texts = once(asked, "text").select("id", "text")
-    found = gate.distances(gate.tfidf(texts, terms), gate.tfidf(known, terms), copies=known)
-    # A text without a known term is the zero vector, at distance 1 from every unit vector.
-    scored = texts.join(found, "id", "left").select("text", F.coalesce("distance", F.lit(1.0)).alias("distance")).join(once(asked, "label", "text").drop("id"), "text")
-    limit = gate.threshold(scored.where(F.col("label") != "leef"), F.col("copies"))
-    rate = F.sum(F.col("novel").cast("double") * F.col("copies")) / F.sum("copies")
-    return gate.novel(scored, limit).groupBy("label").agg(F.sum("copies").alias("n"), rate.alias("novel_rate"))
+    return _evaluated(spark, sf_dir).groupBy(F.col("family").alias("label")).agg(F.count("*").alias("n"), F.avg(F.col("gate_novel").cast("double")).alias("novel_rate"))
+
+
+def gate_evaluation(spark, sf_dir):
+    got = _evaluated(spark, sf_dir).select(F.col("family").alias("label"), "known", F.col("gate_family").alias("family_guess"), F.col("gate_novel").cast("int").alias("distance"), F.lit(1).alias("copies"))
+    return gate.evaluate(got, 0.5)
+
+
+def gate_accuracy(spark, sf_dir):
+    return tiers.accuracy(_evaluated(spark, sf_dir).where("known"))
+
+
+def corpus_lines(spark, sf_dir):
+    return _corpus(spark, sf_dir).select("seq", "label", "fresh", "raw")
+
+
+def corpus_families(spark, sf_dir):
+    return rules.with_family(_corpus(spark, sf_dir), _now()).groupBy("label", "family").agg(F.count("*").alias("n"))
+
+
+def corpus_records(spark, sf_dir):
+    return rules.cascade(_corpus(spark, sf_dir).where("known").select("seq", "raw"), _now()).select("seq", "family", "timestamp", "source", "event_type", "severity", "message")
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """Decided corpus lines where three families and one template have stored rules and some lines fail."""
+    rule = lambda method, signature: (method, None, signature, "heuristic")
+    known = spark.createDataFrame([("cef", rule("compositional", "kept cef")), ("generic", rule("compositional", "kept generic")), ("json", rule("json", "kept json"))], f"family string, rule {tiers.RULE}")
+    lines = _corpus(spark, sf_dir).select("seq", F.when(F.col("seq") % 97 != 5, F.col("raw")).alias("raw"))
+    shared = lines.where("seq = 4").select(readers.rule_key(mask_line(F.col("raw"))).alias("key"), F.lit("compositional").alias("method")).select("key", F.struct("method", F.lit(None).cast("string").alias("delimiter"), F.lit("kept python").alias("signature"), F.lit("llm").alias("inferred_by")).alias("rule"))
+    return tiers.decide(lines, _now(), known=known, templates=shared, failed=F.when(F.col("seq") % 101 == 7, "ValueError: boom"))
+
+
+def cascade_tiers(spark, sf_dir):
+    return _stored(spark, sf_dir).select("seq", "family", "mode", "tier", "error", F.when(F.col("rule.signature").startswith("kept"), F.col("rule.signature")).alias("kept_rule"))
+
+
+def cascade_errors(spark, sf_dir):
+    got = tiers.process(_stored(spark, sf_dir), _now())
+    return got.select("seq", "mode", F.when(F.col("mode") == "Error", F.concat_ws("|", "format", "family", "source", "event_type", "severity")).alias("shown"), F.when(F.col("mode") == "Error", F.coalesce("timestamp", "message")).alias("nothing"), "error")
+
+
+def _held(spark, sf_dir) -> DataFrame:
+    """Lines of unseen formats as a gate that holds back novel ones decides them."""
+    lines, fitted = _gated(spark, sf_dir)
+    return tiers.decide(lines.where("not known").select("seq", "raw"), _now(), gate=fitted, enforce=True)
+
+
+def cascade_enforced(spark, sf_dir):
+    return _held(spark, sf_dir).select("seq", "family", "mode", "tier", "novel", "quarantine_count", "occurrences")
+
+
+def tier_stats(spark, sf_dir):
+    return tiers.tier_stats(_held(spark, sf_dir))
+
+
+def health_view(spark, sf_dir):
+    got = tiers.health(tiers.decide(_corpus(spark, sf_dir).select("seq", "raw"), _now()), gate_reason="model artifact missing")
+    return got.select("status", "families_learned", F.array_join("families", ",").alias("families"), "gate_loaded", "gate_reason", "mined", "escalated")
+
+
+def cache_view(spark, sf_dir):
+    got = tiers.cache_view(tiers.decide(_lines(spark, sf_dir).select("seq", "raw"), _now()), _now())
+    return got.select("seq", "family", F.get_json_object("fingerprint_features", "$.family").alias("featured"), F.col("inferred_rule.signature").alias("signature"))
+
+
+def run_summary(spark, sf_dir):
+    rows = _evaluated(spark, sf_dir).withColumn("format", F.col("gate_family"))
+    return reports.run_summary(rows)
+
+
+def severity_badges(spark, sf_dir):
+    return _records(spark, sf_dir).select("seq", reports.loudness().alias("loudness"))
 
 
 def gate_families(spark, sf_dir):
@@ -240,6 +314,7 @@ QUERIES = {
         normalized_records, family_counts, family_severity_counts, fingerprint_features, first_rule, unseen_families, extra_fields, mode_share, family_mode_pivot, run_summary_topk,
         console_counts, facets, search_filter, page_slice, family_summary, precision_recall, per_unknown, mask_templates, event_infer, entity_ip, severity_map, ts_ladder, ts_year_infer,
         rec_assemble, nth_occurrence, quarantine_decisions, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_families,
+        gate_evaluation, gate_accuracy, corpus_lines, corpus_families, corpus_records, cascade_tiers, cascade_errors, cascade_enforced, tier_stats, health_view, cache_view, run_summary, severity_badges,
     )
 }
 ORACLES = {}
@@ -267,8 +342,7 @@ from s
 
 _BASE = ORACLES["normalized_records"]
 _NORMAL = f"norm as ({_BASE})"
-_SCORED = f"""{synth.LINES_SQL}, sc as (select seq, expected as family, v % 100 / 4.0 as latency_ms, (u % 10 = 0 or (n in (6, 7) and u % 3 > 0)) as gate_novel,
-    case when u % 7 = 0 then 'other' else expected end as gate_family, case when row_number() over (partition by n order by seq) = 1 then 'Discovery' else 'Cached' end as mode from lines)"""
+_MODES = f"""{synth.LINES_SQL}, sc as (select seq, expected as family, case when row_number() over (partition by n order by seq) = 1 then 'Discovery' else 'Cached' end as mode from lines)"""
 ORACLES["family_counts"] = f"with {synth.LINES_SQL} select expected as family, count(*) as n from lines group by 1"
 ORACLES["family_severity_counts"] = f"with {_NORMAL} select family, severity, count(*) as n from norm group by all"
 ORACLES["fingerprint_features"] = f"""with {synth.LINES_SQL} select seq, n = 0 as is_json, len(regexp_extract_all(raw, '\\S+')) as tok_count, length(raw) - length(replace(raw, '|', '')) as pipe_count,
@@ -282,22 +356,99 @@ ORACLES["extra_fields"] = f"""with {synth.LINES_SQL} select seq, case when n = 5
   case when n = 8 then 'stderr' end as stream, case when n = 11 then 'main' end as thread, case when n = 12 then 'app@db' end as user_database, case when n = 13 then v::varchar end as n,
   case when n = 0 then v::varchar end as latency, case when n = 9 then u::varchar end as connection_id, case when n = 9 then ip end as client, case when n = 12 then 'LOG' end as severity_raw,
   case when n = 6 then v::varchar end as spt from lines"""
-ORACLES["mode_share"] = f"with {_SCORED} select mode, round(100.0 * count(*) / sum(count(*)) over (), 2) as share from sc group by mode"
+ORACLES["mode_share"] = f"with {_MODES} select mode, round(100.0 * count(*) / sum(count(*)) over (), 2) as share from sc group by mode"
 _PIVOT = "count(*) filter (mode = 'Cached') as cached, count(*) filter (mode = 'Discovery') as discovery, count(*) filter (mode = 'Quarantined') as quarantined, count(*) filter (mode = 'Error') as error"
-ORACLES["family_mode_pivot"] = f"with {_SCORED} select family, {_PIVOT} from sc group by 1"
+ORACLES["family_mode_pivot"] = f"with {_MODES} select family, {_PIVOT} from sc group by 1"
 ORACLES["run_summary_topk"] = f"with {_NORMAL} select event_type as value, count(*) as n, min(seq) as first_seq from norm group by 1 order by n desc, first_seq limit 5"
-ORACLES["console_counts"] = f"with {_SCORED} select count(*) filter (mode = 'Cached') as known, count(*) filter (mode = 'Discovery') as fresh, 0 as issues, round(100.0 * count(*) filter (mode = 'Cached') / count(*))::bigint as saved_pct from sc"
-ORACLES["facets"] = f"with {_SCORED} select mode, count(*) as n from sc group by 1"
+ORACLES["console_counts"] = f"with {_MODES} select count(*) filter (mode = 'Cached') as known, count(*) filter (mode = 'Discovery') as fresh, 0 as issues, round(100.0 * count(*) filter (mode = 'Cached') / count(*))::bigint as saved_pct from sc"
+ORACLES["facets"] = f"with {_MODES} select mode, count(*) as n from sc group by 1"
 ORACLES["search_filter"] = f"with {_NORMAL} select seq from norm where mode = 'Cached' and contains(lower(message), 'failed password')"
 ORACLES["page_slice"] = f"with {synth.LINES_SQL} select seq, expected as family from lines order by seq limit 400"
-ORACLES["family_summary"] = f"""with {_SCORED} select family, count(*) as lines, round(avg(latency_ms), 4) as mean_ms, round(quantile_cont(latency_ms, 0.5), 4) as p50_ms, round(avg(gate_novel::int), 4) as novel_rate,
-  round(avg((gate_family = family)::int), 4) as fam_acc, {_PIVOT} from sc group by 1"""
-ORACLES["precision_recall"] = f"""with {_SCORED}, k as (select *, family in ('cef', 'leef') as unknown from sc) select count(*) filter (gate_novel and unknown) / nullif(count(*) filter (unknown), 0) as recall,
-  count(*) filter (gate_novel and unknown) / nullif(count(*) filter (gate_novel), 0) as precision, count(*) filter (gate_novel and not unknown) / nullif(count(*) filter (not unknown), 0) as false_alarm from k"""
-ORACLES["per_unknown"] = f"with {_SCORED} select family, round(avg(gate_novel::int), 3) as catch_rate from sc group by 1"
 _MASKED = "raw"
 for _p, _t in fixed.MASKS:
     _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_t}', 'g')"
+_FAMILY = {"syslog_bsd": "rfc3164", "syslog_rfc5424": "rfc5424", "json_structured": "json", "spring_boot": "java", "python_logging": "python", "k8s_cri": "cri", "nginx_err": "nginx_error", "ncsa_combined": "ncsa", "app_generic_kv": "generic",
+    "aws_cloudtrail": "json", "windows_evtxml": "generic", "juniper_netconf": "rfc3164", "oracle_audit": "generic"}
+_ALL = corpus.KNOWN | corpus.UNKNOWN
+_CORPUS = f"""corpus as (select *, {corpus.lines_sql("duckdb", _ALL)} as raw,
+    case label {" ".join(f"when '{k}' then '{v}'" for k, v in _FAMILY.items())} else label end as family, label not in ({", ".join(f"'{k}'" for k in corpus.UNKNOWN)}) as known
+  from (select event_id as seq, {corpus.labels_sql("duckdb", list(_ALL), "event_id")} as label, {corpus.number("duckdb", "concat('role:', event_id)", 5)} = 0 as fresh from events)
+), masked as (select *, {_MASKED} as text from corpus)"""
+# The gate: TF-IDF of character n-grams, three nearest known lines, 99th percentile of fresh known lines.
+_GATE = f"""{_CORPUS}, texts as (select text, cast('0x' || substr(md5(text), 1, 15) as bigint) as id, count(*) filter (known and not fresh) as copies, min(label) as label from masked group by text
+), grams as (select id, copies, unnest(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''),
+    lambda w: flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(length(w) + 3 - n, 1) + 1), lambda i: substr(' ' || w || ' ', i, n))))))) as term from texts
+), terms as (select term, ln((1 + (select sum(copies) from texts)) / (1 + df)) + 1 as idf from (select term, sum(copies) as df from (select distinct id, copies, term from grams where copies > 0) group by term) where df >= 2 order by df desc, term limit 10000
+), tf as (select id, term, (1 + ln(count(*))) * any_value(idf) as w from grams join terms using (term) group by id, term
+), unit as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from tf
+), dots as (select a.id as q, b.id as x, round(sum(a.w * b.w), 9) as dot from unit a join unit b using (term) join texts k on k.id = b.id and k.copies > 0 group by a.id, b.id
+), best as (select dots.*, row_number() over (partition by q order by dot desc, x) as nth from dots qualify nth <= 3
+), took as (select q, x, dot, nth, least(copies, 3 - coalesce(sum(copies) over (partition by q order by nth rows between unbounded preceding and 1 preceding), 0)) as take from best join texts on texts.id = x
+), found as (select q, round((sum(take * sqrt(greatest(0, 2 - 2 * dot))) + (3 - sum(take)) * sqrt(2.0::double)) / 3, 8) as distance, min(x) filter (nth = 1) as nearest from took where take > 0 group by q
+), scored as (select m.*, coalesce(f.distance, 1.0) as distance, n.label as guess from masked m join texts t using (text) left join found f on f.q = t.id left join texts n on n.id = f.nearest
+), bound as (select greatest(0.02, quantile_cont(distance, 0.99)) as bound from scored where known and fresh
+), sc as (select seq, label as family, scored.family as format_family, known, distance > bound as gate_novel, guess as gate_family, raw, text, abs(value) as latency_ms,
+    case when row_number() over (partition by scored.family order by seq) = 1 then 'Discovery' else 'Cached' end as mode from scored join events on event_id = seq, bound where fresh or not known)"""
+ORACLES["family_summary"] = f"""with {_GATE} select family, count(*) as lines, round(avg(latency_ms), 4) as mean_ms, round(quantile_cont(latency_ms, 0.5), 4) as p50_ms, round(avg(gate_novel::int), 4) as novel_rate,
+  round(avg((gate_family = family)::int), 4) as fam_acc, {_PIVOT} from sc group by 1"""
+ORACLES["precision_recall"] = f"""with {_GATE} select count(*) filter (gate_novel and not known) / nullif(count(*) filter (not known), 0) as recall,
+  count(*) filter (gate_novel and not known) / nullif(count(*) filter (gate_novel), 0) as precision, count(*) filter (gate_novel and known) / nullif(count(*) filter (known), 0) as false_alarm from sc"""
+ORACLES["per_unknown"] = f"with {_GATE} select family, round(avg(gate_novel::int), 3) as catch_rate from sc where not known group by 1"
+ORACLES["gate_novelty"] = f"with {_GATE} select family as label, count(*) as n, avg(gate_novel::int) as novel_rate from sc group by 1"
+ORACLES["gate_evaluation"] = f"""with {_GATE} select count(*) filter (known and gate_family = family) / count(*) filter (known) as accuracy, count(*) filter (known and gate_novel) / count(*) filter (known) as false_alarm,
+  count(*) filter (not known and gate_novel) / count(*) filter (not known) as caught from sc"""
+ORACLES["gate_accuracy"] = f"with {_GATE} select avg((gate_family = family)::int) as accuracy, count(distinct family) as families from sc where known"
+ORACLES["corpus_lines"] = f"with {_CORPUS} select seq, label, fresh, raw from corpus"
+ORACLES["corpus_families"] = f"with {_CORPUS} select label, family, count(*) as n from corpus group by all"
+_DATE_PART = r"regexp_extract(raw, '(\d\d\d\d)[-/](\d\d)[-/](\d\d)[ T](\d\d:\d\d:\d\d)', {0})"
+_ISO = f"{_DATE_PART.format(1)} || '-' || {_DATE_PART.format(2)} || '-' || {_DATE_PART.format(3)} || 'T' || {_DATE_PART.format(4)}"
+_FRACTION = r"case when rpad(substr(regexp_extract(raw, ':\d\d\.(\d+)', 1), 1, 6), 6, '0') = '000000' then '' else '.' || rpad(substr(regexp_extract(raw, ':\d\d\.(\d+)', 1), 1, 6), 6, '0') end"
+_BSD = r"case when strptime('2024 ' || regexp_replace(substr(raw, 1, 15), ' +', ' ', 'g'), '%Y %b %d %H:%M:%S') > timestamp '2024-06-02' then '2023' else '2024' end"
+_LEVEL_OF = "case lower({0}) when 'warn' then 'warning' when 'log' then 'unknown' else lower({0}) end"
+_EVENT_OF = " ".join(f"when regexp_matches(msg, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
+ORACLES["corpus_records"] = rf"""with {_CORPUS}, k as (select seq, family, label, raw,
+  case label when 'syslog_bsd' then regexp_extract(raw, '\]: (.*)$', 1) when 'syslog_rfc5424' then regexp_extract(raw, ' - (.*)$', 1) when 'json_structured' then raw->>'msg' when 'spring_boot' then regexp_extract(raw, ' : (.*)$', 1)
+    when 'python_logging' then regexp_extract(raw, ':[^:]*:(.*)$', 1) when 'k8s_cri' then regexp_extract(raw, ' [FP] (.*)$', 1) when 'nginx_err' then regexp_extract(raw, '\*\d+ (.*), client', 1) when 'cef' then split_part(raw, '|', 6)
+    when 'logfmt' then regexp_extract(raw, 'msg="([^"]*)"', 1) when 'postgres' then regexp_extract(raw, ':  (.*)$', 1) when 'ncsa_combined' then regexp_extract(raw, '"([^"]*)"', 1) else regexp_extract(raw, '\] [A-Z]+ (.*)$', 1) end as msg
+  from corpus where known), e as (select *, case {_EVENT_OF} else 'unknown' end as guessed from k)
+select seq, family,
+  case label when 'syslog_bsd' then {_BSD} || strftime(strptime('2024 ' || regexp_replace(substr(raw, 1, 15), ' +', ' ', 'g'), '%Y %b %d %H:%M:%S'), '-%m-%dT%H:%M:%SZ') when 'python_logging' then null when 'cef' then null
+    when 'ncsa_combined' then '2025-03-' || regexp_extract(raw, '\[(\d\d)', 1) || 'T' || regexp_extract(raw, '2025:(\S+)', 1) || 'Z' else {_ISO} || {_FRACTION} || 'Z' end as timestamp,
+  case label when 'syslog_bsd' then regexp_extract(raw, '\d\d:\d\d:\d\d (\S+)', 1) when 'syslog_rfc5424' then split_part(raw, ' ', 3) when 'json_structured' then raw->>'app' when 'spring_boot' then regexp_extract(raw, '\] (\S+)', 1)
+    when 'python_logging' then split_part(raw, ':', 2) when 'nginx_err' then 'nginx' when 'cef' then split_part(raw, '|', 2) || ' ' || split_part(raw, '|', 3) when 'logfmt' then regexp_extract(raw, 'caller=(\S+)', 1)
+    when 'postgres' then 'postgres' when 'ncsa_combined' then split_part(raw, ' ', 1) else 'unknown' end as source,
+  case label when 'syslog_rfc5424' then regexp_extract(raw, 'ID\d+', 0) when 'nginx_err' then 'web_error' when 'cef' then split_part(raw, '|', 5) when 'ncsa_combined' then 'http_request' else guessed end as event_type,
+  case label when 'syslog_rfc5424' then (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[regexp_extract(raw, '<(\d+)>', 1)::int % 8 + 1] when 'json_structured' then {_LEVEL_OF.format("(raw->>'level')")}
+    when 'spring_boot' then {_LEVEL_OF.format(r"regexp_extract(raw, '  ([A-Z]+) ', 1)")} when 'python_logging' then lower(split_part(raw, ':', 1)) when 'k8s_cri' then case when contains(raw, ' stderr ') then 'error' else 'info' end
+    when 'nginx_err' then 'error' when 'cef' then case when split_part(raw, '|', 7)::int > 7 then 'unknown' else (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[split_part(raw, '|', 7)::int + 1] end
+    when 'logfmt' then {_LEVEL_OF.format(r"regexp_extract(raw, 'level=(\S+)', 1)")} when 'postgres' then {_LEVEL_OF.format(r"regexp_extract(raw, ' ([A-Z]+):  ', 1)")}
+    when 'ncsa_combined' then case when regexp_extract(raw, '" (\d+) ', 1)::int >= 500 then 'error' when regexp_extract(raw, '" (\d+) ', 1)::int >= 400 then 'warning' else 'info' end
+    when 'app_generic_kv' then {_LEVEL_OF.format(r"regexp_extract(raw, '\] ([A-Z]+) ', 1)")} else case guessed when 'auth_failure' then 'warning' when 'connection_error' then 'error' when 'exception' then 'error' else 'unknown' end end as severity,
+  msg as message from e"""
+_TIERS = f"""{_CORPUS}, f as (select seq, case when seq % 97 = 5 then 'no text' when seq % 101 = 7 then 'ValueError: boom' end as error, family, raw, text from masked
+), o as (select *, row_number() over (partition by family order by seq) as nth, text = (select text from masked where seq = 4) as ruled from f where error is null
+), t as (select f.seq, f.error, case when f.error is null then f.family else 'unknown' end as family, case when f.error is not null then 'error' when f.family in ('cef', 'json') then 'family' when f.family = 'generic' then 'fingerprint'
+    when o.nth > 1 then 'family' when o.ruled then 'template' else 'discovery' end as tier, bool_or(o.ruled and o.nth = 1) over (partition by f.family) as by_template from f left join o using (seq)
+), d as (select seq, family, tier, error, case tier when 'error' then 'Error' when 'discovery' then 'Discovery' else 'Cached' end as mode,
+    case when error is not null then null when family in ('cef', 'json', 'generic') then 'kept ' || family when by_template then 'kept python' end as kept_rule from t)"""
+ORACLES["cascade_tiers"] = f"with {_TIERS} select seq, family, mode, tier, error, kept_rule from d"
+ORACLES["cascade_errors"] = f"with {_TIERS} select seq, mode, case when error is not null then 'n/a|unknown|unknown|unknown|unknown' end as shown, null::varchar as nothing, error from d"
+_HELD = f"""{_GATE}, w as (select seq, format_family as family, gate_novel as novel, case when gate_novel then row_number() over (partition by format_family, text, gate_novel order by seq) end as c,
+    case when gate_novel then row_number() over (partition by format_family, raw, gate_novel order by seq) end as o, text from sc where not known
+), a as (select family, min(seq) filter (not novel or c >= 8 or o >= 5) as decided from w group by family
+), h as (select w.*, decided, case when decided is null or seq < decided then 'quarantine' when seq > decided then case when family = 'generic' then 'fingerprint' else 'family' end when o >= 5 then 'escalated' else 'discovery' end as tier from w join a using (family)
+), e as (select *, tier in ('quarantine', 'escalated', 'discovery') as seen from h)"""
+ORACLES["cascade_enforced"] = f"""with {_HELD} select seq, family, case when tier = 'quarantine' then 'Quarantined' when tier in ('escalated', 'discovery') then 'Discovery' else 'Cached' end as mode, tier,
+  case when seen then novel end as novel, case when seen then c end::int as quarantine_count, case when seen then o end::int as occurrences from e"""
+ORACLES["tier_stats"] = f"""with {_HELD} select count(*) filter (seen) as mined, 0 as template_rule_hits, count(distinct (family, text)) filter (seen) as novel_templates, count(*) filter (tier = 'discovery' and c >= 8) as graduated_now,
+  0 as kv_backed_rules, count(*) filter (tier = 'escalated') as escalated from e"""
+ORACLES["health_view"] = f"""with {_CORPUS} select 'healthy' as status, count(distinct family) filter (family <> 'generic')::int as families_learned, string_agg(distinct family, ',' order by family) filter (family <> 'generic') as families, false as gate_loaded,
+  'model artifact missing' as gate_reason, count(distinct family) as mined, 0 as escalated from corpus"""
+ORACLES["cache_view"] = f"with {_NORMAL} select seq, family, family as featured, format as signature from norm where mode = 'Discovery'"
+ORACLES["run_summary"] = f"""with {_GATE}, top as (select 'format' as kind, gate_family as name, count(*) as n, min(seq) as first_seq from sc group by all union all select 'family', family, count(*), min(seq) from sc group by all)
+select 'mode' as kind, mode as name, count(*)::double as value from sc group by all union all select kind, name, n::double from (select *, row_number() over (partition by kind order by n desc, first_seq) as nth from top) where nth <= 5
+union all select 'total', null, count(*)::double from sc union all select 'avg_latency_ms', null, round(avg(latency_ms), 2) from sc"""
+ORACLES["severity_badges"] = f"with {_NORMAL} select seq, case when severity in ('critical', 'error') then 'loud' when severity = 'warning' then 'warm' else 'quiet' end as loudness from norm"
 ORACLES["mask_templates"] = f"with {synth.LINES_SQL} select {_MASKED} as template, count(*) as size from lines group by 1"
 _EVENT = " ".join(f"when regexp_matches(raw, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
 ORACLES["event_infer"] = f"with {synth.LINES_SQL} select seq, case {_EVENT} else 'unknown' end as event from lines"
@@ -313,16 +464,16 @@ ORACLES["rec_assemble"] = """with l as (select event_id // 50 as batch_id, event
   s as (select *, sum(case when k in (0, 2) or f then 1 else 0 end) over (partition by batch_id order by i) as rec_no from (select *, row_number() over (partition by batch_id order by i) = 1 as f from l))
 select batch_id, rec_no::bigint as rec_no, count(*)::int as n_lines, md5(string_agg(line, chr(10) order by i)) as raw_md5 from s group by all"""
 ORACLES["nth_occurrence"] = "select event_id as seq, event_type, user_id, row_number() over (partition by event_type, user_id order by event_id) as nth from events"
-_NOVEL = "n as (select event_id as seq, event_type || ' ' || (user_id % 40) as template, event_type || ' ' || user_id as raw from events)"
-ORACLES["quarantine_decisions"] = f"""with {_NOVEL}, c as (select *, row_number() over (partition by template order by seq) as count, row_number() over (partition by raw order by seq) as occurrences from n),
-  a as (select *, count >= 8 and occurrences < 5 as able from c)
-select seq, count, occurrences, case when occurrences >= 5 then 'escalated' when count < 8 then 'quarantined' else 'discover' end as kind,
-  able and row_number() over (partition by template, able order by seq) = 1 as graduates from a"""
-ORACLES["quarantine_top"] = f"""with {_NOVEL}, o as (select template, raw as sample, count(*) as n, min(seq) as first, max(seq) as last from n group by all), r as (select *, row_number() over (partition by template order by first) as nth from o)
-select template, sum(n)::bigint as count, min(first) as first_seq, max(last) as last_seq, string_agg(sample, '|' order by nth) filter (nth <= 3) as samples from r group by 1 order by count desc, first_seq limit 100"""
 ORACLES["split_lines"] = """with s as (select doc_id, string_split(text, chr(10)) as l from documents), u as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from s)
 select doc_id, line_no::int as line_no, md5(line) as line_md5 from u where regexp_matches(line, '[^\\s]')"""
 ORACLES["batch_limits"] = "select doc_id // 10 as batch_id, doc_id as line_no, max(length(text)) over (partition by doc_id // 10) <= 10000 as accepted from documents"
 ORACLES["rule_keys"] = f"with {synth.LINES_SQL} select seq, 'sih:rule:' || substr(sha1(raw), 1, 16) as key from lines"
 ORACLES["newest_runs"] = "select day(ts) as id, sum(length(props))::bigint as bytes from events group by 1 order by max(ts) desc limit 3"
 ORACLES["props_entries"] = "select event_id, unnest(json_keys(props)) as k, json_extract_string(props, '$.' || json_keys(props)[1]) as v, 'num' as t from events"
+_NOVEL = f"{_CORPUS}, n as (select seq, text as template, raw from masked where not known)"
+ORACLES["quarantine_decisions"] = f"""with {_NOVEL}, c as (select *, row_number() over (partition by template order by seq) as count, row_number() over (partition by raw order by seq) as occurrences from n),
+  a as (select *, count >= 8 and occurrences < 5 as able from c)
+select seq, count, occurrences, case when occurrences >= 5 then 'escalated' when count < 8 then 'quarantined' else 'discover' end as kind,
+  able and row_number() over (partition by template, able order by seq) = 1 as graduates from a"""
+ORACLES["quarantine_top"] = f"""with {_NOVEL}, o as (select template, raw as sample, count(*) as n, min(seq) as first, max(seq) as last from n group by all), r as (select *, row_number() over (partition by template order by first) as nth from o)
+select template, sum(n)::bigint as count, min(first) as first_seq, max(last) as last_seq, string_agg(sample, '|' order by nth) filter (nth <= 3) as samples from r group by 1 order by count desc, first_seq limit 100"""

@@ -10,14 +10,15 @@ LONGEST_LINE, LARGEST_BATCH = 10_000, 1000
 
 
 def read_lines(spark: SparkSession, path: str, batch_lines: int = LARGEST_BATCH) -> DataFrame:
-    """Lines (batch_id, line_no, line) of text files. The order is that of the file: its name, then its byte offset by Spark's task order.
+    """Lines (batch_id, line_no, line, file, block_start, batch) of text files.
 
-    Row numbers are taken within a file, batches within it.
+    A file is read in blocks, each by one task in the order of its bytes; batches are runs of lines within a block, so
+    numbering never takes more than a block into a task. (file, block_start, batch, line_no) is the files' order.
     """
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1
-    rows = rows.withColumn("nth", nth)
-    return rows.select(F.xxhash64("file", F.floor(F.col("nth") / batch_lines)).alias("batch_id"), (F.col("nth") % batch_lines + 1).alias("line_no"), "line")
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("id"))
+    nth = F.row_number().over(Window.partitionBy("file", "block_start").orderBy("id")) - 1
+    rows = rows.withColumn("nth", nth).withColumn("batch", F.floor(F.col("nth") / batch_lines))
+    return rows.select(F.xxhash64("file", "block_start", "batch").alias("batch_id"), (F.col("nth") % batch_lines + 1).alias("line_no"), "line", "file", "block_start", "batch")
 
 
 def within_limits(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +81,40 @@ def load_gate(path: str, version: int = 2) -> tuple[PipelineModel | None, str |
 
 
 def save_gate(model: PipelineModel, path: str, accuracy: float, caught: float, threshold: float, least_accuracy: float = 0.95, least_caught: float = 0.9) -> bool:
-    """Saves a model that meets the quality floors; tells whether it does."""
+    """Saves a model if it meets the quality floors; tells whether it does."""
+    if accuracy < least_accuracy or caught < least_caught:
+        return False
     spark = SparkSession.active()
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(2, threshold, accuracy, caught)], "gate_version int, threshold double, accuracy double, caught double").write.mode("overwrite").json(f"{path}/meta")
-    return accuracy >= least_accuracy and caught >= least_caught
+    return True
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def load_state(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """A table of the kept state (families, templates, quarantine); empty with that schema where there is none."""
+    files, folder = _hadoop(spark, f"{path}/{table}")
+    return spark.read.schema(schema).parquet(f"{path}/{table}") if files.exists(folder) else spark.createDataFrame([], schema)
+
+
+def save_state(df: DataFrame, path: str, table: str) -> None:
+    """Replaces a table of the state; the new one is written beside the old one first, as it may be made from it."""
+    files, folder = _hadoop(df.sparkSession, f"{path}/{table}")
+    _, fresh = _hadoop(df.sparkSession, f"{path}/{table}.new")
+    df.write.mode("overwrite").parquet(f"{path}/{table}.new")
+    files.delete(folder, True)
+    files.rename(fresh, folder)
+
+
+def clear_state(spark: SparkSession, path: str, tables: tuple[str, ...] = ("families", "fingerprints", "templates", "quarantine")) -> DataFrame:
+    """Forgets all kept rules: rows (table, cleared) with what each table held. A second call finds nothing."""
+    held = []
+    for table in tables:
+        files, folder = _hadoop(spark, f"{path}/{table}")
+        held.append((table, spark.read.parquet(f"{path}/{table}").count() if files.exists(folder) else 0))
+        files.delete(folder, True)
+    return spark.createDataFrame(held, "table string, cleared long")

@@ -1,50 +1,44 @@
-"""The cascade as a stream: rules per family in keyed state, records normalised batch by batch."""
+"""The cascade as a stream: rules are kept in a small table, records normalised batch by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
-from logweave.operators import rules
-from logweave.operators.normalize import normalize
-from logweave.operators.parse import parse
+from logweave.functions import fixed
+from logweave.operators import tiers
+from logweave.sources.readers import load_state, save_state, upsert_rules
 
 RULE_DAYS = 7
-_STATE = StructType([StructField("method", StringType()), StructField("delimiter", StringType()), StructField("signature", StringType())])
-_OUT = "seq long, raw string, family string, method string, delimiter string, format string, mode string"
+FAMILIES = f"family string, rule {tiers.RULE}"
+TEMPLATES = f"key string, template string, rule {tiers.RULE}, learned_at timestamp"
 
 
-class FirstRule(StatefulProcessor):
-    """Keeps a family's first rule; a batch's rows are taken in order of seq."""
+def online(batch: DataFrame, now: Column, state: str, sink: Callable[[DataFrame], None], **options) -> None:
+    """Gives sink the normalised records of one batch (seq, raw), by the rules kept under state and those its records give.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rule = handle.getValueState("rule", _STATE, ttlDurationMs=None)
+    Only rules are kept: one for each of 17 families at most, and one for each discovered template, forgotten after
+    RULE_DAYS. Parsing is not keyed, so a batch stays spread as it was read. Rules are saved after the sink is done: a
+    batch that failed before is decided alike again. options go to tiers.decide().
+    """
+    spark = batch.sparkSession
+    known, templates = load_state(spark, state, "families", FAMILIES), load_state(spark, state, "templates", TEMPLATES)
+    decided = tiers.decide(batch, now, known=known, templates=templates.where(_lives(F.col("learned_at"), now)), **options)
+    first = decided.where(F.col("tier").isin("template", "discovery", "escalated")).select("seq", "raw", "family", "template", "tier", "rule")
+    heads = spark.createDataFrame(first.limit(len(fixed.FAMILIES) + 1).collect(), first.schema)  # a row for each new family
+    sink(tiers.process(decided, now))
+    if heads.isEmpty():
+        return
+    learned = tiers.learned_families(heads).select("family", "rule")
+    generic = known.where("family = 'generic'").unionByName(learned.where("family = 'generic'")).limit(1)
+    save_state(tiers.replace_rules(known, learned).unionByName(generic), state, "families")
+    save_state(upsert_rules(templates, tiers.learned_templates(heads, now), now, RULE_DAYS), state, "templates")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(rows).sort_values("seq").reset_index(drop=True)
-        mode = ["Cached"] * len(got)
-        if not self.rule.exists():
-            first = got.iloc[0]
-            self.rule.update((first["method"], first["delimiter"], first["format"]))
-            mode[0] = "Discovery"
-        method, delimiter, signature = self.rule.get()
-        yield got.assign(method=method, delimiter=delimiter, format=signature, mode=mode)[["seq", "raw", "family", "method", "delimiter", "format", "mode"]]
 
-    def close(self) -> None:
-        pass
-
-
-def online(records: DataFrame, now: Column) -> DataFrame:
-    """Normalised records of a stream (seq, raw). State is one rule per family (17 at most)."""
-    rows = rules.with_rule(rules.with_family(records, now), now)
-    rows = rows.select("seq", "raw", "family", F.col("own_rule.method").alias("method"), F.col("own_rule.delimiter").alias("delimiter"), F.col("own_rule.signature").alias("format"))
-    ruled = rows.groupBy("family").transformWithStateInPandas(FirstRule(), outputStructType=_OUT, outputMode="append", timeMode="None")
-    return normalize(parse(ruled, now), now).drop("method", "delimiter")
+def _lives(learned: Column, now: Column) -> Column:
+    return learned > now - F.make_dt_interval(F.lit(RULE_DAYS))
 
 
 def counts_by_window(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -52,7 +46,7 @@ def counts_by_window(records: DataFrame, width: str = "1 hour", late: str = "10
     return records.withWatermark("ts", late).groupBy(F.window("ts", width), "severity").agg(F.count("*").alias("n"))
 
 
-def run(stream: DataFrame, now: Column, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False):
-    """Starts the stream; sink gets each batch of normalised records."""
-    writer = online(stream, now).writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+def run(stream: DataFrame, now: Column, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False, state: str | None = None, **options):
+    """Starts the stream (seq, raw); sink gets each batch of normalised records. State is kept beside the checkpoint by default."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, i: online(batch, now, state or f"{checkpoint}/rules", lambda got: sink(got, i), **options))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
