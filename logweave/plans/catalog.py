@@ -256,7 +256,7 @@ def _stored(spark, sf_dir) -> DataFrame:
     rule = lambda method, signature: (method, None, signature, "heuristic")
     known = spark.createDataFrame([("cef", rule("compositional", "kept cef")), ("generic", rule("compositional", "kept generic")), ("json", rule("json", "kept json"))], f"family string, rule {tiers.RULE}")
     lines = _corpus(spark, sf_dir).select("seq", F.when(F.col("seq") % 97 != 5, F.col("raw")).alias("raw"))
-    shared = lines.where("seq = 4").select(readers.rule_key(mask_line(F.col("raw"))).alias("key"), F.lit("compositional").alias("method")).select("key", F.struct("method", F.lit(None).cast("string").alias("delimiter"), F.lit("kept python").alias("signature"), F.lit("llm").alias("inferred_by")).alias("rule"))
+    shared = lines.where("seq = 4").select(mask_line(F.col("raw")).alias("template")).select(readers.rule_key("template").alias("key"), F.lit("compositional").alias("method")).select("key", F.struct("method", F.lit(None).cast("string").alias("delimiter"), F.lit("kept python").alias("signature"), F.lit("llm").alias("inferred_by")).alias("rule"))
     return tiers.decide(lines, _now(), known=known, templates=shared, failed=F.when(F.col("seq") % 101 == 7, "ValueError: boom"))
 
 
@@ -407,7 +407,7 @@ _BSD = r"case when strptime('2024 ' || regexp_replace(substr(raw, 1, 15), ' +',
 _LEVEL_OF = "case lower({0}) when 'warn' then 'warning' when 'log' then 'unknown' else lower({0}) end"
 _EVENT_OF = " ".join(f"when regexp_matches(msg, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
 ORACLES["corpus_records"] = rf"""with {_CORPUS}, k as (select seq, family, label, raw,
-  case label when 'syslog_bsd' then regexp_extract(raw, '\]: (.*)$', 1) when 'syslog_rfc5424' then regexp_extract(raw, ' - (.*)$', 1) when 'json_structured' then raw->>'msg' when 'spring_boot' then regexp_extract(raw, ' : (.*)$', 1)
+  case label when 'syslog_bsd' then regexp_extract(raw, '\]: (?:\(root\) )?(.*)$', 1) when 'syslog_rfc5424' then regexp_extract(raw, ' - (.*)$', 1) when 'json_structured' then raw->>'msg' when 'spring_boot' then regexp_extract(raw, ' : (.*)$', 1)
     when 'python_logging' then regexp_extract(raw, ':[^:]*:(.*)$', 1) when 'k8s_cri' then regexp_extract(raw, ' [FP] (.*)$', 1) when 'nginx_err' then regexp_extract(raw, '\*\d+ (.*), client', 1) when 'cef' then split_part(raw, '|', 6)
     when 'logfmt' then regexp_extract(raw, 'msg="([^"]*)"', 1) when 'postgres' then regexp_extract(raw, ':  (.*)$', 1) when 'ncsa_combined' then regexp_extract(raw, '"([^"]*)"', 1) else regexp_extract(raw, '\] [A-Z]+ (.*)$', 1) end as msg
   from corpus where known), e as (select *, case {_EVENT_OF} else 'unknown' end as guessed from k)

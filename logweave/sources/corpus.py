@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.text import settled
+
 HOSTS, OTHER_HOSTS = ("edge-1", "store-22", "k8s-node-3", "batch-4", "lb-05"), ("rack9-a", "pi-zero", "mx-1", "vault-7", "gw-west")
 _DATE, _TIME = "2025-0<1..9>-<1..28:02>", "<0..23:02>:<0..59:02>:<0..59:02>"
 
@@ -26,7 +28,7 @@ KNOWN = {
     "nginx_err": "2025/0<1..9>/<1..28:02> " + _TIME + " [error] <90..9000>#<0..9>: *<1..9999> <upstream timed out|open() failed|connect() refused> while reading upstream, client: 172.20.<0..255>.<1..254>",
     "cef": "CEF:0|<Northwall|Acme>|<Proxy|Sensor>|2.1|<100..999>|<Packet refused|Port scan seen|Bad signature>|<1..10>|src=10.2.0.<1..254> dst=10.3.0.<1..254> spt=<1024..65000> dpt=443",
     "logfmt": f'ts={_DATE}T{_TIME}Z level=<info|warn|error> caller=<serve.go:17|pump.go> msg="<queue drained|request done|lease lost>" worker=<1..64> dur=<1..900>ms',
-    "postgres": f"{_DATE} {_TIME}.<0..999:03> UTC [<90..99999>] <app|report>@<shop|crm> <LOG|ERROR>:  duration: <1..9000>.<100..999> ms <statement: SELECT 1|checkpoint complete>",
+    "postgres": f"{_DATE} {_TIME} UTC [<90..99999>] <app|report>@<shop|crm> <LOG|ERROR>:  duration: <1..9000>.<100..999> ms <statement: SELECT 1|checkpoint complete>",
     "ncsa_combined": "192.168.<0..255>.<1..254> - <eve|bob|-> [<1..28:02>/Mar/2025:" + _TIME + ' +0000] "<GET|PUT|POST> /<home|api/cart|static/a.css> HTTP/1.1" <200|302|404|503> <50..90000> "https://example.org" "curl/8"',
     "app_generic_kv": f"[{_DATE}T{_TIME}Z] <WARN|ERROR|CRITICAL> <CartService|MailService|IndexService> order o-<1000..9999> gave up after <100..9000>ms",
 }
@@ -92,7 +94,7 @@ def lines(numbers: DataFrame, shapes: dict[str, str] | None = None, fresh: Colum
     """(seq, label, fresh, raw) of rows (seq), labels dealt in turn; fresh lines name hosts that no other line does."""
     shapes = KNOWN | UNKNOWN if shapes is None else shapes
     rows = numbers.select("seq", F.expr(labels_sql("spark", list(shapes), "seq")).alias("label"), (F.lit(False) if fresh is None else fresh).alias("fresh"))
-    return rows.withColumn("raw", F.expr(lines_sql("spark", shapes, seed=seed)))
+    return settled(rows.withColumn("raw", F.expr(lines_sql("spark", shapes, seed=seed))))
 
 
 def make_corpus(spark: SparkSession, per_label: int, shapes: dict[str, str] | None = None, seed: int = 11, fresh: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.checkpoint.dir": str(folder / "checkpoint"),
         "spark.local.dir": str(folder / "local"),
     }
