@@ -44,7 +44,7 @@ def ranked_weights(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def repetitions(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds target, source_size and times (whole copies of the document in the mix) to rows with doc_id, size, source.
+    """Adds target, source_size and times (whole copies of the document in the mix) to rows with doc_id, size, source, _t.
 
     target / source_size gives each document its whole repetitions; the fraction is sampled: documents are ordered
     by a seeded hash and taken while their words fit what is missing, the one on the edge if that comes nearer.
@@ -70,12 +70,12 @@ def repetitions(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFra
         (F.col("_extra") - F.col("_before")).alias("_left"),
         ((F.col("_before") < F.col("_extra")) & (F.col("_before") + F.col("_n") > F.col("_extra"))).alias("_edge"),
     )
-    inside = Window.partitionBy("_src", "_pb", "_edge").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_src", "_pb", "_edge").orderBy("_h", "doc_id", "size", "_t").rowsBetween(Window.unboundedPreceding, -1)
     got = rows.join(plan, rows["source"].eqNullSafe(plan["_src"]) & (rows["_b"] == plan["_pb"]))
     edge = got.where("_edge").withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("times", F.col("_whole") + (F.col("_at") + F.col("size") / 2 <= F.col("_left")).cast("long")).drop("_at")
     plain = got.where("not _edge").withColumn("times", F.col("_whole") + (F.col("_left") > 0).cast("long"))
-    return plain.unionByName(edge).withColumn("times", F.col("times").cast("long")).drop("_h", "_b", "_src", "_pb", "_whole", "_left", "_edge")
+    return plain.unionByName(edge).withColumn("times", F.col("times").cast("long")).drop("_h", "_b", "_t", "_src", "_pb", "_whole", "_left", "_edge")
 
 
 def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, keep: tuple[st
     Null text has size 0; a null source is a source of its own, last in order. Sources without words have target 0
     and their documents no copies. Repeated rows count each time. An empty table gives no rows.
     """
-    sized = docs.select("doc_id", "source", word_count().alias("size"), *keep)
+    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("_t"), *keep)  # the hash only orders ties
     if not keep:
         sized = cut(sized)  # words are counted once, and rows without texts are small
     sizes = cut(sized.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -94,7 +94,11 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17, keep: tuple[st
 
 
 def repeated(docs: DataFrame, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """The documents, all columns kept, each as many times as the mix takes it."""
+    """The documents, all columns kept, each as many times as the mix takes it.
+
+    Null and empty texts have size 0 and are repeated as often as their source's whole repetitions say. A null source is
+    one of its own. Repeated rows count each time; an empty table gives no rows.
+    """
     inner = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*(F.col(c).alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "source", "text"))).alias("_row"))
     times = mix(inner, max_epochs, seed, keep=("text", "_row")).where("times > 0")
     out = times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
