@@ -36,21 +36,21 @@ def reply_object(text: str | None) -> dict | None:
 def checked_rule(reply: str | None, line: str, is_json: bool, fallback: str, provider: str = "provider") -> tuple[dict | None, str | None]:
     """(rule, None) or (None, what is wrong with it)."""
     if not reply:
-        return None, f"{provider} returned empty response"
+        return None, f"no reply from {provider}"
     found = reply_object(reply)
     if found is None:
-        return None, f"{provider} returned invalid JSON"
+        return None, f"no JSON object in the reply of {provider}"
     method, delimiter = found.get("method"), found.get("delimiter")
     if method not in METHODS:
-        return None, f"{provider} proposed invalid method {method!r}"
+        return None, f"{provider} names the unknown method {method!r}"
     if method == "json":
-        return ({"method": "json", "signature": "JSON Object", "inferred_by": "llm"}, None) if is_json else (None, f"{provider} said 'json' but entry is not valid JSON")
+        return ({"method": "json", "signature": "JSON Object", "inferred_by": "llm"}, None) if is_json else (None, f"{provider} sees JSON where there is none")
     if method == "compositional":
         return {"method": method, "signature": fallback, "inferred_by": "llm"}, None
     if delimiter not in DELIMITERS:
-        return None, f"{provider} proposed invalid delimiter {delimiter!r}"
+        return None, f"{provider} names the unknown delimiter {delimiter!r}"
     if delimiter not in line:
-        return None, f"{provider} delimiter {delimiter!r} not found in entry"
+        return None, f"{provider} names the delimiter {delimiter!r}, which the line lacks"
     return {"method": method, "delimiter": delimiter, "signature": f"{DELIMITERS[delimiter]}-Delimited", "inferred_by": "llm"}, None
 
 
