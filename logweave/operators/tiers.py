@@ -52,7 +52,8 @@ def decide(
     known = rows.sparkSession.createDataFrame([], f"family string, rule {RULE}") if known is None else known.select("family", F.col("rule").cast(RULE).alias("rule"))
     open_ = rows.where("error is null").join(F.broadcast(known), "family", "left_anti")
     if gate is not None:
-        open_ = open_.join(gate(open_.select("masked").distinct()).select("masked", "novel", "distance", "family_guess"), "masked", "left")
+        judged = gate(open_.select("masked").distinct()).select("masked", "novel", "distance", "family_guess").persist()  # asked for below more than once
+        open_ = open_.join(judged, "masked", "left")
     else:
         open_ = open_.withColumn("novel", F.lit(False)).withColumn("distance", F.lit(None).cast("double")).withColumn("family_guess", F.lit(None).cast("string"))
     if templates is not None:
@@ -91,12 +92,12 @@ def decide(
     )
     mode = F.when(F.col("tier") == "error", "Error").when(F.col("tier") == "quarantine", "Quarantined").when(F.col("tier").isin("discovery", "escalated"), "Discovery").otherwise("Cached")
     seen = F.col("tier").isin("quarantine", "template", "discovery", "escalated")
-    for c in ("novel", "distance", "family_guess", "quarantine_count", "occurrences"):
-        out = out.withColumn(c, F.when(seen, F.col(c)))
-    out = out.withColumn("mode", mode).withColumn("template", F.when(seen, F.col("template")))
-    # A record held back is parsed by the rule it would give itself, which is not kept.
-    own = rules.with_rule(out.where("tier = 'quarantine'"), now).withColumn("rule", F.col("own_rule").cast(RULE)).drop("fingerprint", "own_rule")
-    return out.where("tier <> 'quarantine'").unionByName(own).drop("masked", "decided", "by_template")
+    of_tier = ("novel", "distance", "family_guess", "quarantine_count", "occurrences", "template")
+    out = out.withColumns({"mode": mode} | {c: F.when(seen, F.col(c)) for c in of_tier})
+    if enforce:  # a record held back is parsed by the rule it would give itself, which is not kept
+        own = rules.with_rule(out.where("tier = 'quarantine'"), now).withColumn("rule", F.col("own_rule").cast(RULE)).drop("fingerprint", "own_rule")
+        out = out.where("tier <> 'quarantine'").unionByName(own)
+    return out.drop("masked", "decided", "by_template")
 
 
 def process(decided: DataFrame, now: Column) -> DataFrame:
