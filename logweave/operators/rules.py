@@ -40,9 +40,9 @@ def known_families() -> tuple[str, ...]:
     return fixed.FAMILIES
 
 
-def kept_fingerprints(rules: DataFrame, most: int = MOST_FINGERPRINTS) -> DataFrame:
-    """The newest fingerprints (key, first_seq), as a first-in-first-out cache would keep them."""
-    return rules.orderBy(F.desc("first_seq")).limit(most)
+def kept_fingerprints(rules: DataFrame, most: int = MOST_FINGERPRINTS, seq: str = "first_seq") -> DataFrame:
+    """The newest fingerprints by the place of their first record, as a first-in-first-out cache would keep them."""
+    return rules.orderBy(F.desc(seq)).limit(most)
 
 
 def unseen_families(records: DataFrame, known: DataFrame) -> DataFrame:

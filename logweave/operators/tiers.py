@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from logweave.functions import fixed
 from logweave.functions.text import mask_line, settled
 from logweave.operators import rules
+from logweave.operators.detect import fingerprint_key
 from logweave.operators.mining import GRADUATE_AFTER, GRADUATE_REPEATS
 from logweave.operators.normalize import normalize
 from logweave.operators.parse import parse
@@ -147,8 +148,8 @@ def replace_rules(stored: DataFrame, found: DataFrame) -> DataFrame:
 def cache_view(decided: DataFrame, now: Column, most: int = rules.MOST_FINGERPRINTS) -> DataFrame:
     """The stored fingerprints of a run with their rules, the newest most."""
     heads = decided.where(F.col("tier").isin("template", "discovery", "escalated")).select("seq", "raw", "family", F.col("rule").alias("inferred_rule"))
-    rows = rules.with_rule(heads, now).select("seq", "family", F.to_json("fingerprint", {"ignoreNullFields": "false"}).alias("fingerprint_features"), "inferred_rule")
-    return rows.orderBy(F.desc("seq")).limit(most)
+    rows = rules.with_rule(heads, now).select("seq", "family", fingerprint_key(F.col("fingerprint")).alias("fingerprint_features"), "inferred_rule")
+    return rules.kept_fingerprints(rows, most, "seq")
 
 
 def health(decided: DataFrame, gate_reason: str | None = None, threshold: float | None = None, enforce: bool = False, graduate_after: int = GRADUATE_AFTER) -> DataFrame:
