@@ -83,3 +83,19 @@ with recursive v as (
 select vec_id, coalesce(n, 0) as n_links, root as component_id, vec_id = root as kept
 from embeddings join c on c.node = vec_id left join k on k.a = vec_id
 """
+
+SQL["op12_lexical_search"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark
+), c as (select count(*) as n_docs, sum(len(w))::bigint as total from d where len(w) > 0
+), q as (select item_id, t, count(*) as times from (select item_id, unnest(w) as t from b) group by all
+), f as (select doc_id, t, count(*) as tf, any_value(n) as n from (select doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from q) group by doc_id, t
+), v as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from f, c group by t, n_docs
+), s as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::bigint as score from q join v using (t) join f using (t), c group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
