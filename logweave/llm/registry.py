@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import alignment, embedding_dedup, jaccard_join, lexical, merkle, mixing, oracles, pii, segmentation, sharding, substring_dedup, toxicity, urls
+from logweave.llm import alignment, embedding_dedup, jaccard_join, lexical, merkle, mixing, oracles, pii, quality, segmentation, sharding, substring_dedup, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), size=4, num=17, den=20).drop("class_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text; null and empty ones are scored as an empty text. Without labels of both kinds all are kept."""
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents of every benchmark item. Null texts match nothing; items without terms have no rows."""
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -73,5 +78,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_url_filter, op4_toxicity, op5_sentencepiece, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join, op12_lexical_search, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_url_filter, op4_toxicity, op5_sentencepiece, op6_pii, op7_substring_dedup, op8_fingerprints, op9_sharding, op10_jaccard_join, op11_quality, op12_lexical_search, op13_token_alignment)}
 ORACLES = oracles.SQL
