@@ -33,6 +33,7 @@ FIRST, SECOND = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 HEAVY = 1 << 18
 SLICE_BYTES = 1 << 19
 LINKS = 1 << 20  # links expanded at a time
+PIECE = 1 << 18  # pairs of stored rows that a task looks at together
 #: The byte-level vocabulary's split of a text; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -243,16 +244,26 @@ def _align(shared: Broadcast):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about PIECE pairs each."""
+    for b in batches:
+        edge = b.column("pairs").offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + PIECE, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each pair, summed by task over about a million rows at a time."""
     keys, sums, held = [], [], 0
 
-    def summed() -> pa.RecordBatch:
+    def summed() -> tuple[np.ndarray, np.ndarray]:
         key, of = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(of, np.concatenate(sums), len(key)).astype(np.int64)
-        return key, n
+        return key, np.bincount(of, np.concatenate(sums), len(key)).astype(np.int64)
 
-    for b in batches:
+    for b in _pieces(batches):
         key, n = np.unique(b.column("pairs").flatten().to_numpy(zero_copy_only=False), return_counts=True)
         keys.append(key)
         sums.append(n)
@@ -280,7 +291,7 @@ def _looked_up(known: Broadcast, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, count, best = known.value
-        for b in batches:
+        for b in _pieces(batches):
             pair, times = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pairs", "times"))
             row = np.repeat(np.arange(len(b)), np.diff(b.column("pairs").offsets.to_numpy()))
             at, ours = _places(heavy, pair)
@@ -299,7 +310,7 @@ def _others(known: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = known.value[0]
-        for b in batches:
+        for b in _pieces(batches):
             pair, times = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pairs", "times"))
             row = np.repeat(b.column("row").to_numpy(zero_copy_only=False), np.diff(b.column("pairs").offsets.to_numpy()))
             rare = ~_places(heavy, pair)[1]
