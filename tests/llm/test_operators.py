@@ -354,30 +354,33 @@ def test_embedding_counts_of_tight_and_wide_groups_and_repeated_ids(spark):
     assert shown == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
 
 
-def test_embedding_audit_sees_what_a_large_group_hides(spark, monkeypatch):
-    r = np.random.default_rng(2)
-    base = r.normal(size=(560, 24))
-    near = lambda v, n: v + r.normal(size=(n, 24)) * 0.01
-    x = np.concatenate([near(base[559], 400), base[:520], np.stack([near(v, 1)[0] for v in base[400:520]])])
-    frame = spark.createDataFrame([(i, 0, 24, [float(c) for c in v]) for i, v in enumerate(x)], "id long, label long, dims int, embedding array<double>")
-    large = spark.createDataFrame([(i, 0) for i in range(400)], "node long, root long")
-    pairs = {(800 + i, 920 + i) for i in range(120)}
-    across, recall = embedding_dedup.missed(frame, large, 0.98, 1)
-    assert recall < embedding_dedup.RECALL
-    few = frame.where("id < 800 or id in (800, 801, 920, 921)")  # two missed pairs among 804 vectors
-    across, recall = embedding_dedup.missed(few, large, 0.98, 1)
-    assert {(min(a, b), max(a, b)) for a, b in across.collect()} == {(800, 920), (801, 921)}
-
-    def only_the_large_group(v, *a, **k):
-        ids, m = zip(*((r["id"], r["embedding"]) for r in v.collect()))
-        m = np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
-        group = [i for i, c in zip(ids, m @ m[ids.index(min(ids))]) if c > 0.9]
-        return spark.createDataFrame([(i, min(group), 1.0) for i in group if i != min(group)], "u long, v long, sim double")
-
-    monkeypatch.setattr(embedding_dedup, "graph", only_the_large_group)
-    got = rows_of(embedding_dedup.link(frame.selectExpr("id as vec_id", "embedding", "label"), threshold=0.98, max_cycles=1), "vec_id")
-    roots = {**{i: 0 for i in range(400)}, **{b: a for a, b in pairs}}
-    assert [g["component_id"] for g in got] == [roots.get(i, i) for i in range(len(x))]
+@pytest.mark.parametrize("pairs", [0, 5, 500])
+def test_embedding_search_tells_its_recall_and_compares_few_pairs(spark, pairs):
+    """Whatever the number of links in the data, the search is the same and what it misses shows in its own recall."""
+    r = np.random.default_rng(2 + pairs)
+    x = r.normal(size=(6000, 24))
+    x[3000 : 3000 + pairs] = x[:pairs] + r.normal(size=(pairs, 24)) * 0.02
+    frame = spark.createDataFrame([(i, 0, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    compared = spark.sparkContext.accumulator(0)
+    got = rows_of(embedding_dedup.link(frame, threshold=0.98, compared=compared), "vec_id")
+    assert got[0]["recall"] >= 0.9
+    assert {g["vec_id"]: g["component_id"] for g in got if g["component_id"] != g["vec_id"]} == {3000 + i: i for i in range(pairs)}
+    assert sum(g["n_links"] for g in got) == 2 * pairs
+    assert 0 < compared.value < 0.25 * 6000 * 5999 / 2
+
+
+def test_embedding_exact_audit_and_a_low_recall_that_shows(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 16))
+    x[600:] = x[:300] + r.normal(size=(300, 16)) * 0.02
+    frame = spark.createDataFrame([(i, 0, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    want = [i - 600 if i >= 600 else i for i in range(900)]
+    assert [g["component_id"] for g in rows_of(embedding_dedup.link(frame, threshold=0.98), "vec_id")] == want
+    monkeypatch.setattr(embedding_dedup, "_compare", lambda pdf: pdf[["id"]].assign(u=0, v=1, sim=0.0)[["u", "v", "sim"]].head(0))
+    got = rows_of(embedding_dedup.link(frame, threshold=0.98, max_cycles=1), "vec_id")
+    assert got[0]["recall"] == 0.0 and [g["component_id"] for g in got] == list(range(900))
+    got = rows_of(embedding_dedup.link(frame, threshold=0.98, max_cycles=1, exact=True), "vec_id")
+    assert got[0]["recall"] == 0.0 and [g["component_id"] for g in got] == want
 
 
 def test_segmentations_decode_differ_and_repeat(spark, texts):
