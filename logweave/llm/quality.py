@@ -180,7 +180,7 @@ def fit(docs: DataFrame, pairs: DataFrame) -> Ranking:
     """
     pairs = cut(pairs.where("better <> worse").distinct())
     ids = pairs.select(F.col("better").alias("doc_id")).union(pairs.select("worse")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # as many as the pairs, which come to the driver too
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     x = texts.mapInArrow(_featured(("doc_id",)), f"doc_id long, {_COLUMNS}").toPandas().sort_values("doc_id")
     both = pairs.toPandas().sort_values(["better", "worse"])
