@@ -402,23 +402,23 @@ ORACLES["corpus_lines"] = f"with {_CORPUS} select seq, label, fresh, raw from co
 ORACLES["corpus_families"] = f"with {_CORPUS} select label, family, count(*) as n from corpus group by all"
 _DATE_PART = r"regexp_extract(raw, '(\d\d\d\d)[-/](\d\d)[-/](\d\d)[ T](\d\d:\d\d:\d\d)', {0})"
 _ISO = f"{_DATE_PART.format(1)} || '-' || {_DATE_PART.format(2)} || '-' || {_DATE_PART.format(3)} || 'T' || {_DATE_PART.format(4)}"
-_FRACTION = r"case when rpad(substr(regexp_extract(raw, ':\d\d\.(\d+)', 1), 1, 6), 6, '0') = '000000' then '' else '.' || rpad(substr(regexp_extract(raw, ':\d\d\.(\d+)', 1), 1, 6), 6, '0') end"
+_FRACTION = r"case when rpad(substr(regexp_extract(raw, ':\d\d[.,](\d+)', 1), 1, 6), 6, '0') = '000000' then '' else '.' || rpad(substr(regexp_extract(raw, ':\d\d[.,](\d+)', 1), 1, 6), 6, '0') end"
 _BSD = r"case when strptime('2024 ' || regexp_replace(substr(raw, 1, 15), ' +', ' ', 'g'), '%Y %b %d %H:%M:%S') > timestamp '2024-06-02' then '2023' else '2024' end"
 _LEVEL_OF = "case lower({0}) when 'warn' then 'warning' when 'log' then 'unknown' else lower({0}) end"
 _EVENT_OF = " ".join(f"when regexp_matches(msg, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
 ORACLES["corpus_records"] = rf"""with {_CORPUS}, k as (select seq, family, label, raw,
-  case label when 'syslog_bsd' then regexp_extract(raw, '\]: (?:\(root\) )?(.*)$', 1) when 'syslog_rfc5424' then regexp_extract(raw, ' - (.*)$', 1) when 'json_structured' then raw->>'msg' when 'spring_boot' then regexp_extract(raw, ' : (.*)$', 1)
+  case label when 'syslog_bsd' then regexp_extract(raw, '\]: (.*)$', 1) when 'syslog_rfc5424' then regexp_extract(raw, ' - (.*)$', 1) when 'json_structured' then raw->>'message' when 'spring_boot' then regexp_extract(raw, ' : (.*)$', 1)
     when 'python_logging' then regexp_extract(raw, ':[^:]*:(.*)$', 1) when 'k8s_cri' then regexp_extract(raw, ' [FP] (.*)$', 1) when 'nginx_err' then regexp_extract(raw, '\*\d+ (.*), client', 1) when 'cef' then split_part(raw, '|', 6)
     when 'logfmt' then regexp_extract(raw, 'msg="([^"]*)"', 1) when 'postgres' then regexp_extract(raw, ':  (.*)$', 1) when 'ncsa_combined' then regexp_extract(raw, '"([^"]*)"', 1) else regexp_extract(raw, '\] [A-Z]+ (.*)$', 1) end as msg
   from corpus where known), e as (select *, case {_EVENT_OF} else 'unknown' end as guessed from k)
 select seq, family,
   case label when 'syslog_bsd' then {_BSD} || strftime(strptime('2024 ' || regexp_replace(substr(raw, 1, 15), ' +', ' ', 'g'), '%Y %b %d %H:%M:%S'), '-%m-%dT%H:%M:%SZ') when 'python_logging' then null when 'cef' then null
-    when 'ncsa_combined' then '2025-03-' || regexp_extract(raw, '\[(\d\d)', 1) || 'T' || regexp_extract(raw, '2025:(\S+)', 1) || 'Z' else {_ISO} || {_FRACTION} || 'Z' end as timestamp,
-  case label when 'syslog_bsd' then regexp_extract(raw, '\d\d:\d\d:\d\d (\S+)', 1) when 'syslog_rfc5424' then split_part(raw, ' ', 3) when 'json_structured' then raw->>'app' when 'spring_boot' then regexp_extract(raw, '\] (\S+)', 1)
-    when 'python_logging' then split_part(raw, ':', 2) when 'nginx_err' then 'nginx' when 'cef' then split_part(raw, '|', 2) || ' ' || split_part(raw, '|', 3) when 'logfmt' then regexp_extract(raw, 'caller=(\S+)', 1)
+    when 'ncsa_combined' then '2023-10-' || regexp_extract(raw, '\[(\d\d)', 1) || 'T' || regexp_extract(raw, '2023:(\S+)', 1) || 'Z' else {_ISO} || {_FRACTION} || 'Z' end as timestamp,
+  case label when 'syslog_bsd' then regexp_extract(raw, '\d\d:\d\d:\d\d (\S+)', 1) when 'syslog_rfc5424' then split_part(raw, ' ', 3) when 'json_structured' then raw->>'component' when 'spring_boot' then regexp_extract(raw, '\] (\S+)', 1)
+    when 'python_logging' then split_part(raw, ':', 2) when 'nginx_err' then 'nginx' when 'cef' then split_part(raw, '|', 2) || ' ' || split_part(raw, '|', 3) when 'logfmt' then regexp_extract(raw, 'component=(\S+)', 1)
     when 'postgres' then 'postgres' when 'ncsa_combined' then split_part(raw, ' ', 1) else 'unknown' end as source,
-  case label when 'syslog_rfc5424' then regexp_extract(raw, 'ID\d+', 0) when 'nginx_err' then 'web_error' when 'cef' then split_part(raw, '|', 5) when 'ncsa_combined' then 'http_request' else guessed end as event_type,
-  case label when 'syslog_rfc5424' then (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[regexp_extract(raw, '<(\d+)>', 1)::int % 8 + 1] when 'json_structured' then {_LEVEL_OF.format("(raw->>'level')")}
+  case label when 'syslog_rfc5424' then regexp_extract(raw, 'EV\d+', 0) when 'nginx_err' then 'web_error' when 'cef' then split_part(raw, '|', 5) when 'ncsa_combined' then 'http_request' else guessed end as event_type,
+  case label when 'syslog_rfc5424' then (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[regexp_extract(raw, '<(\d+)>', 1)::int % 8 + 1] when 'json_structured' then {_LEVEL_OF.format("(raw->>'severity')")}
     when 'spring_boot' then {_LEVEL_OF.format(r"regexp_extract(raw, '  ([A-Z]+) ', 1)")} when 'python_logging' then lower(split_part(raw, ':', 1)) when 'k8s_cri' then case when contains(raw, ' stderr ') then 'error' else 'info' end
     when 'nginx_err' then 'error' when 'cef' then case when split_part(raw, '|', 7)::int > 7 then 'unknown' else (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug'])[split_part(raw, '|', 7)::int + 1] end
     when 'logfmt' then {_LEVEL_OF.format(r"regexp_extract(raw, 'level=(\S+)', 1)")} when 'postgres' then {_LEVEL_OF.format(r"regexp_extract(raw, ' ([A-Z]+):  ', 1)")}

@@ -1,8 +1,8 @@
 """A labelled corpus of log lines: 12 formats a gate is trained on and 4 it has never seen.
 
-A shape is text with tokens: <a..b> a number, <a..b:0w> padded with zeros to w digits (or :w with spaces), <x|y|z> one of
-several, <host> a host name. What stands for a token is picked by a hash of seed, label, line number and token, so
-lines depend on nothing else; the same shape gives a Spark and a DuckDB expression.
+A label has one shape or several, of which a line takes one. A shape is text with tokens: <a..b> a number, <a..b:0w> padded with zeros to w digits (or :w with spaces), <x|y|z> one of
+several, <host> a host name. What stands for a token is picked by a hash of seed, shape, line number and place, so
+lines depend on nothing else; the same shapes give a Spark and a DuckDB expression.
 """
 
 from __future__ import annotations
@@ -14,69 +14,120 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import settled
 
-HOSTS, OTHER_HOSTS = ("edge-1", "store-22", "k8s-node-3", "batch-4", "lb-05"), ("rack9-a", "pi-zero", "mx-1", "vault-7", "gw-west")
-_DATE, _TIME = "2025-0<1..9>-<1..28:02>", "<0..23:02>:<0..59:02>:<0..59:02>"
-
-#: Shape of each known format.
+HOSTS, OTHER_HOSTS = ("tarn", "ridge-2", "moor-3", "fen-11", "scree"), ("delta-4", "lagoon", "reef-6", "atoll-7", "sound")
+_DAY = "20<19..24>-<1..12:02>-<1..28:02>"
+_CLOCK = "<0..23:02>:<0..59:02>:<0..59:02>"
+_BSD = f"<Jan|Apr|Jun|Aug|Nov> <1..28:2> {_CLOCK} <host> "
+_V5 = f"<<8..190>>1 {_DAY}T{_CLOCK}.<0..999999:06>Z <host> "
+_JAVA = f"{_DAY} {_CLOCK},<100..999>  "
+_CRI = f"{_DAY}T{_CLOCK}.<0..999999:06>Z "
+_PG = f"{_DAY} {_CLOCK} UTC [<300..32000>] "
+_WEB = "203.0.113.<1..254> - <kim|ada|noor|-> [<1..28:02>/Oct/2023:" + _CLOCK + " +0000] "
+
+#: Shapes of each known format, made up from the formats' public descriptions; a line takes one of them.
 KNOWN = {
-    "syslog_bsd": f"<Feb|May|Jul|Dec> <1..28:2> {_TIME} <host> <sshd|sshd|su|cron>[<90..9000>]: <Failed password for bob|Accepted publickey for eve|session opened for user eve|session closed for user bob|(root) CMD (run-backup)> from 10.1.0.<1..254> port <1024..65000>",
-    "syslog_rfc5424": f"<<0..191>>1 {_DATE}T{_TIME}.<0..999:03>Z <host> auditd <90..9000> ID<30..33> - <volume mounted|unit restarted|clock drift corrected>",
-    "json_structured": f'{{"time":"{_DATE}T{_TIME}Z","level":"<info|warn|error>","app":"<billing|search|mailer>","msg":"<login ok|cart saved|cache cold|query slow>","took":<1..900>}}',
-    "spring_boot": f"{_DATE} {_TIME}.<100..999>  <INFO|WARN|ERROR> <1..9999> --- [exec-<1..40>] o.demo.web.<Router|Pool|Filter>  : <Started in|Pool exhausted after|Slow request of> <1..300> ms",
-    "python_logging": "<DEBUG|INFO|WARNING|ERROR>:<root|app.jobs|http.client>:<Connected to broker|Retrying upload|Job finished>",
-    "k8s_cri": f"{_DATE}T{_TIME}.<0..999999999:09>Z <stdout|stderr> <F|P> <Serving on port 8443|Readiness probe failed|Container killed>",
-    "nginx_err": "2025/0<1..9>/<1..28:02> " + _TIME + " [error] <90..9000>#<0..9>: *<1..9999> <upstream timed out|open() failed|connect() refused> while reading upstream, client: 172.20.<0..255>.<1..254>",
-    "cef": "CEF:0|<Northwall|Acme>|<Proxy|Sensor>|2.1|<100..999>|<Packet refused|Port scan seen|Bad signature>|<1..10>|src=10.2.0.<1..254> dst=10.3.0.<1..254> spt=<1024..65000> dpt=443",
-    "logfmt": f'ts={_DATE}T{_TIME}Z level=<info|warn|error> caller=<serve.go:17|pump.go> msg="<queue drained|request done|lease lost>" worker=<1..64> dur=<1..900>ms',
-    "postgres": f"{_DATE} {_TIME} UTC [<90..99999>] <app|report>@<shop|crm> <LOG|ERROR>:  duration: <1..9000>.<100..999> ms <statement: SELECT 1|checkpoint complete>",
-    "ncsa_combined": "192.168.<0..255>.<1..254> - <eve|bob|-> [<1..28:02>/Mar/2025:" + _TIME + ' +0000] "<GET|PUT|POST> /<home|api/cart|static/a.css> HTTP/1.1" <200|302|404|503> <50..90000> "https://example.org" "curl/8"',
-    "app_generic_kv": f"[{_DATE}T{_TIME}Z] <WARN|ERROR|CRITICAL> <CartService|MailService|IndexService> order o-<1000..9999> gave up after <100..9000>ms",
+    "syslog_bsd": (
+        _BSD + "dhcpd[<300..4000>]: lease of pool <1..40> renewed for <1..900> minutes",
+        _BSD + "crond[<300..60000>]: job <rotate|reindex|prune> took <1..600> seconds",
+        _BSD + "smartd[<2..99>]: disk <0..11> reached <30..70> degrees",
+        _BSD + "named[<300..9000>]: zone <0..60>.example.net loaded with serial <1000..9999>",
+    ),
+    "syslog_rfc5424": (
+        _V5 + "chronyd <200..30000> EV<10..14> - offset is <1..900> microseconds",
+        _V5 + "mdadm <200..30000> EV<15..19> - array <0..7> rebuilt to <1..100> percent",
+        _V5 + "lldpd <200..30000> EV<20..24> - neighbour seen on port <1..48>",
+    ),
+    "json_structured": (
+        f'{{"@timestamp":"{_DAY}T{_CLOCK}Z","severity":"<info|warning|error|debug>","component":"<ledger|depot|courier>","message":"parcel <1..9000> <weighed|scanned|returned>","elapsed":<1..900>}}',
+        f'{{"@timestamp":"{_DAY}T{_CLOCK}Z","severity":"<info|warning|error|debug>","component":"<kiln|loom>","message":"shift <1..3> <opened|handed over>","workers":<1..60>}}',
+    ),
+    "spring_boot": (
+        _JAVA + "<INFO|WARN|ERROR> <100..9999> --- [worker-<1..16>] n.quay.stock.Ledger  : Ledger closed with <1..500> entries",
+        _JAVA + "<INFO|WARN|ERROR> <100..9999> --- [timer-<1..4>] n.quay.crane.Hoist  : Hoist <1..30> waits for <1..90> minutes",
+    ),
+    "python_logging": (
+        "<INFO|WARNING|ERROR|CRITICAL>:etl.load:batch <1..90> holds <1..5000> rows",
+        "<DEBUG|INFO|WARNING>:etl.clean:column price has <1..40> gaps",
+        "<INFO|ERROR>:sched:next run in <1..60> minutes",
+    ),
+    "k8s_cri": (
+        _CRI + "<stdout|stderr> <F|P> volume data-<0..9> mounted after <1..80> ms",
+        _CRI + "<stdout|stderr> F queue length is <0..500>",
+        _CRI + "stdout <F|P> leader is replica <0..4> in term <1..70>",
+    ),
+    "nginx_err": (
+        f"20<19..24>/<1..12:02>/<1..28:02> {_CLOCK} [error] <20..900>#<0..31>: *<1..90000> no live upstreams in pool <1..12>, client: 198.51.100.<1..254>, server: shop.example",
+        f"20<19..24>/<1..12:02>/<1..28:02> {_CLOCK} [error] <20..900>#<0..31>: *<1..90000> rewrite cycle at depth <10..20>, client: 198.51.100.<1..254>, server: wiki.example",
+    ),
+    "cef": (
+        "CEF:0|Lumen|Gate|3.<0..4>|<10..99>|Session torn down|<0..10>|src=203.0.113.<1..254> act=<drop|pass> cnt=<1..50>",
+        "CEF:0|Harbor|Scanner|7.<0..9>|<200..260>|File put aside|<0..10>|fname=part<1..400>.bin fsize=<1..90000> act=hold",
+    ),
+    "logfmt": (
+        f'time={_DAY}T{_CLOCK}Z level=<info|warn|error> component=<raft|gossip> msg="snapshot <sent|taken>" index=<1..9000> took=<1..700>ms',
+        f'time={_DAY}T{_CLOCK}Z level=<debug|info> component=store msg="segment merged" level_no=<0..6> bytes=<100..90000>',
+    ),
+    "postgres": (
+        _PG + "<mira|otto>@<atlas|census> <LOG|WARNING>:  checkpoint wrote <1..9000> buffers",
+        _PG + "<mira|otto>@atlas <LOG|ERROR>:  temporary file of <1..5000> kB",
+        _PG + "otto@census ERROR:  statement: VACUUM part_<1..30> canceled",
+    ),
+    "ncsa_combined": (
+        _WEB + '"<GET|HEAD> /maps/<1..18>/<0..99>.png HTTP/1.1" <200|304|404> <100..40000> "https://atlas.example" "Wget/1.21"',
+        _WEB + '"<POST|DELETE> /v<1..3>/notes/<1..900> HTTP/1.1" <201|403|500> <20..900> "-" "okhttp/4.9"',
+    ),
+    "app_generic_kv": (
+        f"[{_DAY}T{_CLOCK}Z] <INFO|WARN|ERROR> Meter <1..400> reads <0..900> outside of band <1..9>",
+        f"[{_DAY}T{_CLOCK}Z] <INFO|WARN> Valve <1..60> turned by <1..90> degrees",
+    ),
 }
-#: Shape of each format never seen in training.
+#: Shapes of each format never seen in training.
 UNKNOWN = {
-    "aws_cloudtrail": '{"eventVersion":"1.09","eventSource":"s3.example.com","eventName":"<GetObject|PutObject>","userIdentity":{"type":"Role","userName":"user<1..999>"},"sourceIPAddress":"52.9.<0..255>.<1..254>"}',
-    "windows_evtxml": "<lt>Event xmlns='urn:events'><lt>System><lt>Provider Name='Security-Auditing'/><lt>EventID>46<20..29><lt>/EventID><lt>Level><0..5><lt>/Level><lt>/System><lt>/Event>",
-    "juniper_netconf": f"<Feb|May|Jul|Dec> <1..28> {_TIME} <r1|r2> <IFL|chassid>: <mib2d|dcd>[<90..9000>]: <ifd operation refused|link mode changed> <0..9999>",
-    "oracle_audit": "WARNING: see audit trail file <1..999>.trc for ORA-<1000..9999> raised at <0..23>:<0..59:02>",
+    "aws_cloudtrail": ('{"eventVersion":"1.08","eventSource":"<iam|kms|ec2>.example.org","eventName":"<ListRoles|CreateKey|StopFleet>","awsRegion":"<north|south>-<1..3>","userIdentity":{"principalId":"P<100..999>"},"readOnly":"<true|false>"}',),
+    "windows_evtxml": ("<lt>Event><lt>System><lt>Provider Name='Service Control Manager'/><lt>EventID>70<30..45><lt>/EventID><lt>Computer><host><lt>/Computer><lt>/System><lt>EventData><lt>Data Name='param1'>Spooler <1..9><lt>/Data><lt>/EventData><lt>/Event>",),
+    "juniper_netconf": (f"<Jan|Apr|Jun|Aug|Nov> <1..28:2> {_CLOCK} <mx1|ex3> mgd[<300..9000>]: UI_COMMIT_PROGRESS: step <1..40> of <41..60>", f"<Jan|Apr|Jun|Aug|Nov> <1..28:2> {_CLOCK} <mx1|ex3> rpd[<300..9000>]: BGP_PEER_STATE: peer <1..90> left Established"),
+    "oracle_audit": ('LENGTH : <100..400> ACTION :[<1..9>] <lt>CONNECT> DATABASE USER:[<3..8>] <lt>scott> STATUS:[1] <lt><0..9>> DBID:[10] <lt><1000..9999>>',),
 }
 _TOKEN = re.compile(r"<(?:(lt)|(host)|(\d+)\.\.(\d+)(?::(0?)(\d+))?|([^<>]*\|[^<>]*))>")
 _HEX = {"spark": "cast(conv(substr(md5({0}), 1, 7), 16, 10) as bigint)", "duckdb": "cast('0x' || substr(md5({0}), 1, 7) as bigint)"}
 
 
-
 def number(dialect: str, key: str, below: int) -> str:
     """A number from 0 on, picked by a key expression of text."""
     return f"({_HEX[dialect].format(key)} % {below})"
 
 
-def expression(dialect: str, label: str, shape: str, line: str, fresh: str, seed: int) -> str:
-    """SQL text of a line: line is the number's column, fresh a condition under which hosts are other ones."""
-    quote = (lambda s: "'" + s.replace("'", "\\'") + "'") if dialect == "spark" else (lambda s: "'" + s.replace("'", "''") + "'")
-    parts, at = [], 0
+def _quote(dialect: str, s: str) -> str:
+    return "'" + (s.replace("\\", "\\\\").replace("'", "\\'") if dialect == "spark" else s.replace("'", "''")) + "'"
+
 
-    def one_of(values, key: str) -> str:
-        listed = ", ".join(map(quote, values))
-        nth = f"cast({number(dialect, key, len(values))} + 1 as int)"
-        return f"element_at(array({listed}), {nth})" if dialect == "spark" else f"list_extract([{listed}], {nth})"
+def _part(dialect: str, options: list[str], low: int = 0, span: int = 0, width: int = 0, fill: str = "0", host: bool = False) -> str:
+    """A part of a shape as a struct: one of options, a number from low on, or a host."""
+    listed = ", ".join(_quote(dialect, o) for o in options)
+    if dialect == "spark":
+        return f"named_struct('options', array({listed}), 'low', {low}, 'span', {span}, 'width', {width}, 'fill', '{fill}', 'host', {str(host).lower()})"
+    return f"{{'options': [{listed}], 'low': {low}, 'span': {span}, 'width': {width}, 'fill': '{fill}', 'host': {str(host).lower()}}}"
 
-    for i, m in enumerate(_TOKEN.finditer(shape)):
+
+def parts(dialect: str, shape: str) -> str:
+    """SQL text of a shape's parts in order."""
+    out, at = [], 0
+    for m in _TOKEN.finditer(shape):
         if m.start() > at:
-            parts.append(quote(shape[at : m.start()]))
+            out.append(_part(dialect, [shape[at : m.start()]]))
         at = m.end()
-        key = f"concat('{seed}:{label}:{i}:', {line})"
         lt, host, low, high, zero, width, options = m.groups()
         if lt:
-            parts.append("'<'")
+            out.append(_part(dialect, ["<"]))
         elif host:
-            parts.append(f"case when {fresh} then {one_of(OTHER_HOSTS, key)} else {one_of(HOSTS, key)} end")
+            out.append(_part(dialect, [""], host=True))
         elif options:
-            parts.append(one_of(options.split("|"), key))
+            out.append(_part(dialect, options.split("|")))
         else:
-            n = f"cast({low} + {number(dialect, key, int(high) - int(low) + 1)} as string)"
-            parts.append(f"lpad({n}, {width}, '{zero or ' '}')" if width else n)
+            out.append(_part(dialect, [""], int(low), int(high) - int(low) + 1, int(width or 0), zero or " "))
     if at < len(shape):
-        parts.append(quote(shape[at:]))
-    return f"concat({', '.join(parts)})"
+        out.append(_part(dialect, [shape[at:]]))
+    return f"array({', '.join(out)})" if dialect == "spark" else f"[{', '.join(out)}]"
 
 
 def labels_sql(dialect: str, labels: list[str], line: str) -> str:
@@ -85,19 +136,40 @@ def labels_sql(dialect: str, labels: list[str], line: str) -> str:
     return f"element_at(array({listed}), {n})" if dialect == "spark" else f"list_extract([{listed}], {n})"
 
 
-def lines_sql(dialect: str, shapes: dict[str, str], line: str = "seq", fresh: str = "fresh", seed: int = 11) -> str:
-    """The text of lines of a label."""
-    return "case label " + " ".join(f"when '{k}' then {expression(dialect, k, v, line, fresh, seed)}" for k, v in shapes.items()) + " end"
-
-
-def lines(numbers: DataFrame, shapes: dict[str, str] | None = None, fresh: Column | None = None, seed: int = 11) -> DataFrame:
+def lines_sql(dialect: str, shapes: dict[str, tuple[str, ...]], line: str = "seq", fresh: str = "fresh", seed: int = 11) -> str:
+    """SQL text of a line of a label: line is the number's column, fresh a condition under which hosts are other ones.
+
+    All shapes are one constant map, so the expression has the same size however many there are.
+    """
+    spark = dialect == "spark"
+    table = {f"{k}.{i}": parts(dialect, x) for k, v in shapes.items() for i, x in enumerate(v)}
+    sizes = {k: str(len(v)) for k, v in shapes.items()}
+    map_of = lambda m: f"map({', '.join(f'{_quote(dialect, k)}, {v}' for k, v in m.items())})" if spark else f"MAP {{{', '.join(f'{_quote(dialect, k)}: {v}' for k, v in m.items())}}}"
+    at = lambda m, k: f"element_at({m}, {k})" if spark else f"{m}[{k}]"
+    pick = lambda key: _HEX[dialect].format(key)
+    nth = f"({pick(f"concat('{seed}:', label, ':shape:', {line})")} % {at(map_of(sizes), 'label')})"
+    shape = f"concat(label, '.', cast({nth} as string))"
+    # Spark counts a lambda's places from 0, the other dialect from 1.
+    hashed = pick(f"concat('{seed}:', {shape}, ':', cast(i{'' if spark else ' - 1'} as string), ':', {line})")
+    one_of = lambda values, n: f"element_at({values}, cast({hashed} % {n} + 1 as int))" if spark else f"list_extract({values}, cast({hashed} % {n} + 1 as int))"
+    listed = lambda values: f"{'array(' if spark else '['}{', '.join(_quote(dialect, v) for v in values)}{')' if spark else ']'}"
+    count = "size(p.options)" if spark else "len(p.options)"
+    host = f"case when {fresh} then {one_of(listed(OTHER_HOSTS), len(OTHER_HOSTS))} else {one_of(listed(HOSTS), len(HOSTS))} end"
+    n = f"cast(p.low + {hashed} % greatest(p.span, 1) as string)"
+    made = f"case when p.host then {host} when p.span = 0 then {one_of('p.options', count)} when p.width = 0 then {n} else lpad({n}, p.width, p.fill) end"
+    if spark:
+        return f"array_join(transform({at(map_of(table), shape)}, (p, i) -> {made}), '')"
+    return f"array_to_string(list_transform({at(map_of(table), shape)}, lambda p, i: {made}), '')"
+
+
+def lines(numbers: DataFrame, shapes: dict[str, tuple[str, ...]] | None = None, fresh: Column | None = None, seed: int = 11) -> DataFrame:
     """(seq, label, fresh, raw) of rows (seq), labels dealt in turn; fresh lines name hosts that no other line does."""
     shapes = KNOWN | UNKNOWN if shapes is None else shapes
     rows = numbers.select("seq", F.expr(labels_sql("spark", list(shapes), "seq")).alias("label"), (F.lit(False) if fresh is None else fresh).alias("fresh"))
     return settled(rows.withColumn("raw", F.expr(lines_sql("spark", shapes, seed=seed))))
 
 
-def make_corpus(spark: SparkSession, per_label: int, shapes: dict[str, str] | None = None, seed: int = 11, fresh: bool = False) -> DataFrame:
+def make_corpus(spark: SparkSession, per_label: int, shapes: dict[str, tuple[str, ...]] | None = None, seed: int = 11, fresh: bool = False) -> DataFrame:
     """per_label lines of each label in shuffled order of arrival: (seq, label, raw). The order is by hash; seq numbers it where it is read."""
     shapes = KNOWN if shapes is None else shapes
     made = lines(spark.range(per_label * len(shapes)).select(F.col("id").alias("seq")), shapes, F.lit(fresh), seed)
