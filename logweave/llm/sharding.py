@@ -21,11 +21,6 @@ def virtual_slot(key: str, n_slots: int = N_SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
 
 
-def first_map(n_shards: int, n_slots: int = N_SLOTS) -> list[int]:
-    """Version 1: slots dealt round robin."""
-    return [s % n_shards for s in range(n_slots)]
-
-
 def grow(slots: list[int], new_shard: int) -> list[int]:
     """The next version with one more shard: it takes an equal share of slots from each present one, nothing else moves."""
     out, old = list(slots), sorted(set(slots))
@@ -37,6 +32,14 @@ def grow(slots: list[int], new_shard: int) -> list[int]:
     return out
 
 
+def first_map(n_shards: int, n_slots: int = N_SLOTS) -> list[int]:
+    """The map of n_shards shards: one shard, grown n_shards - 1 times; so a map of one more shard is this one grown."""
+    slots = [0] * n_slots
+    for new_shard in range(1, n_shards):
+        slots = grow(slots, new_shard)
+    return slots
+
+
 def rebalance(slots: list[int], slot_bytes: dict[int, int], tolerance: float = 0.02) -> list[int]:
     """The next version, in which slots have moved from the fullest to the emptiest shard until the fullest is within
     tolerance of the mean or no single move helps. slot_bytes has one value per slot at most."""
@@ -83,7 +86,7 @@ def assign(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, map_path
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, vslot_bytes, rebalanced_shard of every document, by the law "key".
 
     Three versions of the map are written under map_path (a new folder in the shared one by default) and read back:
-    1 deals the slots to n_shards shards, 2 adds a shard to 1, 3 rebalances 1 by the bytes per slot. By the law,
+    1 is that of n_shards shards, 2 adds a shard to 1 and so is that of n_shards + 1, 3 rebalances 1 by the bytes per slot. By the law,
     doc_id and the shard count alone decide shard (version 1) and grown_shard (version 2); rebalanced_shard is where
     the measured bytes would move the record. slot counts the records of a shard from 0 without gaps; its order
     within a virtual slot depends on how the input is partitioned, as a slot of very many rows (one key that repeats)

@@ -260,12 +260,21 @@ def test_sharding_is_gapless_and_grows_into_the_new_shard_only(spark, texts):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_sharding_is_decided_by_id_and_shard_count_alone(spark, texts):
+    docs = table(spark, texts)
+    grown = {r["doc_id"]: r["grown_shard"] for r in sharding.assign(docs, n_shards=16).collect()}
+    assert grown == {r["doc_id"]: r["shard"] for r in sharding.assign(docs, n_shards=17).collect()}
+    for n in (1, 2, 5, 16):
+        slots, more = sharding.first_map(n), sharding.first_map(n + 1)
+        assert all(b in (a, n) for a, b in zip(slots, more)) and max(map(slots.count, range(n))) - min(map(slots.count, range(n))) <= 4096 // n // 8 + 1
+
+
 def test_sharding_versions_are_kept_and_edited_by_bytes(spark, texts, tmp_path):
     docs = table(spark, texts)
     docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.limit(5).selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
     got, path = sharding.assign(docs, n_shards=4, n_slots=64, map_path=str(tmp_path / "m")).collect(), str(tmp_path / "m")
     one, two, three = (sharding.read_map(spark, path, v) for v in (1, 2, 3))
-    assert one == [i % 4 for i in range(64)] and sharding.read_map(spark, path) == three
+    assert one == sharding.first_map(4, 64) and sorted(map(one.count, range(4))) == [16] * 4 and sharding.read_map(spark, path) == three
     assert all(b in (a, 4) for a, b in zip(one, two)) and abs(two.count(4) - 64 // 5) <= 1
     held, places = {}, {}
     for r in got:
@@ -281,7 +290,7 @@ def test_sharding_versions_are_kept_and_edited_by_bytes(spark, texts, tmp_path):
 
 
 def test_rebalancing_moves_slots_off_a_hot_shard():
-    slots, held = sharding.first_map(4, 32), {i: 10 for i in range(32)} | {0: 100, 4: 90}
+    slots, held = [i % 4 for i in range(32)], {i: 10 for i in range(32)} | {0: 100, 4: 90}
     after = sharding.rebalance(slots, held)
     load = [sum(held[i] for i in range(32) if after[i] == s) for s in range(4)]
     assert max(load) < 190 and sum(load) == sum(held.values()) and max(load) - min(load) <= 100
