@@ -11,7 +11,7 @@ others in their window of words are counted apart, and a logistic model of the c
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,8 +26,11 @@ from logweave.llm.graph import cut
 
 #: Bound of what fitting looks at: labelled documents.
 TRAIN_ROWS = 20_000
-#: Letters of a term: at least (2 in scripts without spaces), and at most; a longer word is learned by its beginning.
-SHORTEST, LONGEST = 3, 32
+#: Letters of a term: at least, and at most; a longer word is learned by its beginning. Scripts without spaces: 2, and at most.
+SHORTEST, LONGEST, LONGEST_UNSPACED = 3, 32, 8
+#: Edges that an automaton may have (some 100 MB while it is made); entries of a table of all classes.
+MOST_EDGES, DENSE = 4_000_000, 4_000_000
+BEGIN_BYTES = 1 << 18
 FUZZY_FROM, STEM_FROM = 5, 7
 MIN_WEIGHT, LEAST, LEAST_SHARE, NEAR_WORDS = 3.0, 3, 0.015, 8
 WORD = re.compile(r"[^\W_]+")
@@ -39,13 +42,17 @@ _POINTS = 0x110000
 
 @dataclass
 class Automaton:
-    """table[state, class] -> state; 0 is the dead state, 1 the first. A letter's class is its place in letters, from 1; all others have 0.
+    """States are numbers; 0 is the dead state, 1 the first. A letter's class is its place in letters, from 1; all others have 0.
 
-    exact: a term was read; near: a word ending here is one edit from a term; stem: so is what was read of a long term.
+    default: where a state goes by any letter without an edge of its own; edge: state * classes + class in order, and to
+    where it leads. table has the same for all classes, where that is small. exact: a term was read; near: a word ending
+    here is one edit from a term; stem: so is what was read of a long term.
     """
 
     letters: list[str]
-    table: np.ndarray
+    default: np.ndarray
+    edge: np.ndarray
+    to: np.ndarray
     exact: np.ndarray
     near: np.ndarray
     stem: np.ndarray
@@ -56,6 +63,22 @@ class Automaton:
         out[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
         return out
 
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        n = len(self.letters) + 1
+        if len(self.default) * n > DENSE:
+            return None
+        out = np.repeat(self.default[:, None], n, axis=1)
+        out.ravel()[self.edge] = self.to
+        return out
+
+    def step(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state, kind]
+        key = state.astype(np.int64) * (len(self.letters) + 1) + kind
+        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+        return np.where(self.edge[at] == key, self.to[at], self.default[state])
+
     def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """1 for exact, 2 for fuzzy, 0 for other words given as ranges of code points."""
         out = np.zeros(len(start), np.int8)
@@ -66,7 +89,7 @@ class Automaton:
             done = live[over]
             out[done[self.near[state[over]]]] = 2
             live, state = live[~over], state[~over]
-            state = self.table[state, self.classes[points[start[live] + at]]]
+            state = self.step(state, self.classes[points[start[live] + at]])
             hit = self.exact[state]
             out[live[self.stem[state]]] = 2
             out[live[hit]] = 1
@@ -76,47 +99,66 @@ class Automaton:
         return out
 
 
-def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM, stem_from: int = STEM_FROM) -> Automaton:
-    """The deterministic automaton of a lexicon; states are sets of (trie node, edits)."""
+def automaton(terms: list[str], fuzzy_from: int = FUZZY_FROM, stem_from: int = STEM_FROM, most_edges: int = MOST_EDGES) -> Automaton:
+    """The deterministic automaton of a lexicon; states are sets of (trie node, edits).
+
+    What all letters have in common is made once for a state, and further targets only for letters with an edge from
+    one of its nodes. Nodes that only short terms pass need no edited states. More than most_edges edges raise.
+    """
     nodes: list[dict[str, int]] = [{}]
     ends: dict[int, int] = {}
+    longest = [0]
     for t in terms:
         at = 0
+        longest[0] = max(longest[0], len(t))
         for c in t:
             if c not in nodes[at]:
                 nodes[at][c] = len(nodes)
                 nodes.append({})
+                longest.append(0)
             at = nodes[at][c]
+            longest[at] = max(longest[at], len(t))
         ends[at] = len(t)
     letters = sorted({c for n in nodes for c in n})
-
-    def closed(states: set) -> frozenset:
-        return frozenset(states | {(m, 1) for n, e in states if e == 0 for m in nodes[n].values()})
-
-    first = closed({(0, 0)})
-    known, order, rows = {frozenset(): 0, first: 1}, [frozenset(), first], []
-    for states in order:
-        row = []
-        for c in ("", *letters):
-            to = set()
-            for n, e in states:
-                if c in nodes[n]:
-                    to.add((nodes[n][c], e))
+    kind = {c: i + 1 for i, c in enumerate(letters)}
+    fuzzy = [longest[n] >= fuzzy_from for n in range(len(nodes))]
+    # The nodes one edit away by a letter left out, or written for another.
+    below = [tuple((m, 1) for m in n.values() if fuzzy[m]) for n in nodes]
+
+    known: dict[frozenset, int] = {frozenset(): 0}
+    order: list[frozenset] = [frozenset()]
+    default, edge, to = [], [], []
+
+    def number(states: set) -> int:
+        key = frozenset(states)
+        if key not in known:
+            known[key] = len(order)
+            order.append(key)
+        return known[key]
+
+    number({(0, 0), *below[0]})
+    for i, states in enumerate(order):
+        common: set = set()
+        by_letter: dict[str, set] = {}
+        for n, e in states:
+            if e == 0:
+                common.update(below[n])
+                if fuzzy[n]:
+                    common.add((n, 1))
+            for c, m in nodes[n].items():
                 if e == 0:
-                    to |= {(m, 1) for m in nodes[n].values()} | {(n, 1)}
-            to = closed(to)
-            if to not in known:
-                known[to] = len(order)
-                order.append(to)
-            row.append(known[to])
-        rows.append(row)
-    return Automaton(
-        letters,
-        np.array(rows, np.int32),
-        np.array([any(e == 0 and n in ends for n, e in s) for s in order]),
-        np.array([any(ends.get(n, 0) >= fuzzy_from for n, e in s) for s in order]),
-        np.array([any(ends.get(n, 0) >= stem_from for n, e in s) for s in order]),
-    )
+                    by_letter.setdefault(c, set()).update(((m, 0), *below[m]))
+                elif fuzzy[m]:
+                    by_letter.setdefault(c, set()).add((m, 1))
+        default.append(number(common))
+        for c in sorted(by_letter):
+            edge.append(i * (len(letters) + 1) + kind[c])
+            to.append(number(common | by_letter[c]))
+        if len(edge) > most_edges:
+            raise ValueError(f"the automaton of {len(terms)} terms has more than {most_edges} edges; fit with a larger LEAST_SHARE or MIN_WEIGHT")
+    rank = np.argsort(np.array(edge, np.int64))
+    flags = [np.array([any(test(n, e) for n, e in s) for s in order]) for test in (lambda n, e: e == 0 and n in ends, lambda n, e: ends.get(n, 0) >= fuzzy_from, lambda n, e: ends.get(n, 0) >= stem_from)]
+    return Automaton(letters, np.array(default, np.int32), np.array(edge, np.int64)[rank], np.array(to, np.int32)[rank], *flags)
 
 
 _KIND = np.full(_POINTS, -1, np.int8)  # 0 no letter, 1 a letter, 2 one of a script without spaces; filled as code points are met
@@ -165,31 +207,94 @@ def features(col: pa.Array, a: Automaton) -> Iterator[tuple[int, np.ndarray]]:
         yield w.row, out
 
 
-def _beginnings(text: str) -> set[str]:
-    out = set()
-    for w in set(WORD.findall(text.lower())):
-        out |= {w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-        if not w.isascii():
-            at = np.flatnonzero(kinds(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)) == 2).tolist()
-            out |= {w[i : i + k] for i in at for k in range(2, min(LONGEST, len(w) - i) + 1)}
-    return out
+@dataclass
+class Beginnings:
+    """Different beginnings of the words of a slice of texts: document, hash, where and how long."""
+
+    points: np.ndarray
+    doc: np.ndarray
+    hash: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    def text(self, i: int) -> str:
+        return self.points[self.at[i] : self.at[i] + self.size[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def beginnings(col: pa.Array) -> Iterator[tuple[int, Beginnings]]:
+    """First row and the beginnings of successive slices of whole texts, hashed as arrays: SHORTEST to LONGEST letters of a
+    word, and 2 to LONGEST_UNSPACED code points from each one of a script without spaces."""
+    for w in W.slices(col, limit=BEGIN_BYTES):
+        raw = w.buf.tobytes()
+        texts = [raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(w.text[:-1], w.text[1:])]
+        edge = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds(points)
+        step = np.diff(np.concatenate(([0], (kind > 0).view(np.int8), [0])))
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        free = np.flatnonzero(kind == 2)
+        room = end[np.searchsorted(start, free, "right") - 1] - free
+        p, inv = W.powers(0xD1342543DE82EF95, len(points) + 1)
+        run = np.concatenate(([np.uint64(0)], np.cumsum(W.mix(points.astype(np.uint64) + np.uint64(1)) * p[: len(points)])))
+        doc, hashed, at, size = [], [], [], []
+        for k in range(2, LONGEST + 1):
+            here = [start[end - start >= k]] if k >= SHORTEST else []
+            if k <= LONGEST_UNSPACED:
+                here.append(free[room >= k])
+            a = np.unique(np.concatenate(here)) if here else np.zeros(0, np.int64)
+            if not len(a):
+                continue
+            h = W.mix((run[a + k] - run[a]) * inv[a] + np.uint64(k))
+            d = np.searchsorted(edge, a, "right") - 1
+            first = np.lexsort((h, d))  # once for each document
+            new = np.ones(len(first), bool)
+            new[1:] = (h[first][1:] != h[first][:-1]) | (d[first][1:] != d[first][:-1])
+            keep = first[new]
+            doc.append(d[keep])
+            hashed.append(h[keep].view(np.int64))
+            at.append(a[keep])
+            size.append(np.full(len(keep), k))
+        none = np.zeros(0, np.int64)
+        yield w.row, Beginnings(points, *(np.concatenate(c) if c else none for c in (doc, hashed, at, size)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and clean documents per word beginning, summed by task over batches."""
-    n: tuple[Counter, Counter] = Counter(), Counter()
+    """Toxic and clean documents per beginning, summed by task in runs of about a million."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
-    def summed() -> pa.RecordBatch:
-        f = list(n[0].keys() | n[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), *(pa.array([c[x] for x in f], pa.int64()) for c in reversed(n))], names=["f", "toxic", "clean"])
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, of = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        n = np.concatenate([c for _, c in held])
+        return key, *(np.bincount(of, c, len(key)).astype(np.int64) for c in n.T)
 
     for b in batches:
-        for t, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            n[toxic].update(_beginnings(t))
-            if len(n[0]) + len(n[1]) > 500_000:
-                yield summed()
-                n = Counter(), Counter()
-    yield summed()
+        toxic = b.column("toxic").to_numpy(zero_copy_only=False)
+        for row, x in beginnings(b.column("text")):
+            is_toxic = toxic[row + x.doc] == 1
+            key, of = np.unique(x.hash, return_inverse=True)
+            held.append((key, np.stack([np.bincount(of, c, len(key)) for c in (is_toxic, ~is_toxic)], axis=1)))
+            size += len(key)
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], names=["f", "toxic", "clean"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], names=["f", "toxic", "clean"])
+
+
+def _spelled(hashes: np.ndarray):
+    """(f, term) of the beginnings with these hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, str] = {}
+        for b in batches:
+            for _, x in beginnings(b.column("text")):
+                for i in np.flatnonzero(np.isin(x.hash, hashes)).tolist():
+                    if x.hash[i] not in seen:
+                        seen[int(x.hash[i])] = x.text(i)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.string())], names=["f", "term"])
+
+    return run
 
 
 def lexicon(toxic: dict[str, int]) -> list[str]:
@@ -248,10 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     size = dict(rows.groupBy("toxic").count().collect())
     if not size.get(0) or not size.get(1):
         return automaton([]), None, []
-    counts = rows.select("text", "toxic").mapInArrow(_count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.select("text", "toxic").mapInArrow(_count, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1))
     telling = counts.where((F.col("toxic") >= max(LEAST, LEAST_SHARE * size[1])) & (share("toxic", size[1]) - share("clean", size[0]) >= MIN_WEIGHT))
-    terms = lexicon({r["f"]: r["toxic"] for r in telling.select("f", "toxic").collect()})
+    often = {r["f"]: r["toxic"] for r in telling.select("f", "toxic").collect()}
+    spelled = rows.where("toxic = 1").select("text").mapInArrow(_spelled(np.array(sorted(often), np.int64)), "f long, term string").groupBy("f").agg(F.min("term").alias("term"))
+    terms = lexicon({r["term"]: often[r["f"]] for r in spelled.collect()})
     a = automaton(terms)
     seen = rows.mapInArrow(_features_of(a), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     seen = seen.sort_values(list(seen.columns))

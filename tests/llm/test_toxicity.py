@@ -1,6 +1,8 @@
 """The automaton against plain edit distance; quotation, scripts without spaces, labels that are missing."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,9 @@ def test_quotation_and_density_and_scripts_without_spaces():
     assert got == [[0, 1, 0, 0, 0], [2, 0, 0, 0, 1], [0, 0, 1, 0, 0], [2, 0, 0, 0, 1], [0, 0, 0, 1, 0], [0] * 5, [0] * 5]
     assert counts(["scumbg", 'x "scumbxg"', "sscumbag", "scmbagging"], ["scumbag"]) == [[0, 0, 1, 0, 0], [0, 0, 0, 1, 0], [0, 0, 1, 0, 0], [0, 0, 1, 0, 0]]
     assert counts(["前漢字語後。漢字語", "漢字、漢字", "\U0001f600漢字語\U0001f600"], ["漢字語"]) == [[2, 0, 0, 0, 1], [0] * 5, [1, 0, 0, 0, 0]]
-    assert {"漢字", "漢字語", "字語"} <= toxicity._beginnings("漢字語") and "de" not in toxicity._beginnings("def")
-    assert "x" * toxicity.LONGEST in toxicity._beginnings("x" * 100_000)
+    begun = lambda t: {x.text(i) for _, x in toxicity.beginnings(pa.array([t])) for i in range(len(x.hash))}
+    assert {"漢字", "漢字語", "字語"} <= begun("漢字語") and "de" not in begun("def")
+    assert "x" * toxicity.LONGEST in begun("x" * 100_000)
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +104,60 @@ def test_repeated_ids_are_judged_by_their_own_texts(spark, labelled):
     more = docs.unionByName(docs.where("doc_id < 6").selectExpr("doc_id", "'fine' as text", "lang", "source", "n_chars"))
     assert toxicity.keep_clean(more, labels).where("doc_id = 0").collect()[0]["text"] == "fine"
     assert toxicity.score(more, labels).count() == 306
+
+
+
+def test_an_automaton_of_two_thousand_letters_equals_plain_edit_distance():
+    r = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    terms = ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(300)]
+    a = toxicity.automaton(terms)
+    assert a.table is None and len(a.letters) > 1000
+    words = []
+    for t in terms:
+        i = r.randrange(len(t))
+        words += [t, t[:i] + t[i + 1 :], t[:i] + r.choice(letters) + t[i:], t[:i] + r.choice(letters) + t[i + 1 :], t + r.choice(letters) * 3, r.choice(letters) + t[1:] + "xy"]
+    words = [w for w in words if w]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    assert a.run(points, edge[:-1], edge[1:]).tolist() == [plain(w, terms) for w in words]
+    with pytest.raises(ValueError, match="edges"):
+        toxicity.automaton(terms, most_edges=1000)
+
+
+def test_beginnings_of_a_megabyte_without_spaces_are_few_and_those_of_plain_text():
+    r = random.Random(9)
+    text = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(350_000))
+    ((_, got),) = toxicity.beginnings(pa.array([text]))
+    assert len(got.hash) <= 7 * 350_000
+    ((_, got),) = toxicity.beginnings(pa.array(["The theme, 漢字漢 abc漢", None, ""]))
+    want = {"the", "the", "them", "theme", "漢字", "漢字漢", "字漢", "abc", "abc漢"}
+    assert {got.text(i) for i in range(len(got.hash))} == want and set(got.doc.tolist()) == {0} and len(got.hash) == len(want)
+
+
+def test_scores_equal_a_plain_reading(spark):
+    r = random.Random(10)
+    terms = ["blork", "snargle", "zib", "漢字"]
+    parts = ["blork", "blorx", "snarglex", "snargl", "zib", "zab", "漢字", "漢X", "plain", "words", '"', "“", "\n", "x" * 40]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["", None]
+    a = toxicity.automaton(terms)
+    weights = np.array([1.0, -0.5, 0.7, -0.2, 0.4, -1.0])
+    rows = []
+    for t in texts:
+        t = (t or "").lower()
+        hits, nth, counts = [], 0, [0, 0, 0, 0, 0]
+        for m in re.finditer(r"[^\W_]+", t):
+            starts = [m.start()] + [i for i in range(m.start() + 1, m.end()) if "一" <= t[i] <= "鿿"]
+            for i in starts:
+                kind = plain(t[i : m.end()], terms)
+                if kind:
+                    quoted = len(re.findall("[\"“”«»„]", t[t.rfind("\n", 0, i) + 1 : i])) % 2
+                    counts[2 * (kind == 2) + quoted] += 1
+                    counts[4] += bool(hits) and nth - hits[-1] <= toxicity.NEAR_WORDS
+                    hits.append(nth)
+                nth += 1
+        x = np.log1p(counts)
+        rows.append(1 / (1 + math.exp(-(x @ weights[:-1] + weights[-1]))))
+    batch = pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts])], names=["text"])
+    got = [s for b in toxicity._scored(a, weights, [])(iter([batch])) for s in b.column("score").to_pylist()]
+    assert np.allclose(got, rows)
