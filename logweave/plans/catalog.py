@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweave.functions import fixed
 from logweave.functions.text import extract, mask_line
 from logweave.functions.timestamps import parse_ts, render
-from logweave.operators import assemble, gate, mining, reports, rules, tiers
+from logweave.operators import assemble, gate, mining, recency, reports, rules, tiers
 from logweave.operators.normalize import canonical_severity, infer_event
 from logweave.operators.parse import json_entries
 from logweave.sources import corpus, readers, synth
@@ -193,6 +193,11 @@ def quarantine_decisions(spark, sf_dir):
     return mining.quarantine(_novel(spark, sf_dir)).select("seq", "count", "occurrences", "kind", "graduates")
 
 
+def repeated_heads(spark, sf_dir):
+    """How often the first five letters of each line were seen, where the 100 seen last are remembered."""
+    return recency.recency_counts(_lines(spark, sf_dir).withColumn("head", F.substring("raw", 1, 5)), ["head"], 100, "occurrences").drop("key")
+
+
 def quarantine_top(spark, sf_dir):
     return mining.quarantine_view(_novel(spark, sf_dir)).select("template", "count", "first_seq", "last_seq", F.array_join("samples", "|").alias("samples"))
 
@@ -313,7 +318,7 @@ QUERIES = {
     for f in (
         normalized_records, family_counts, family_severity_counts, fingerprint_features, first_rule, unseen_families, extra_fields, mode_share, family_mode_pivot, run_summary_topk,
         console_counts, facets, search_filter, page_slice, family_summary, precision_recall, per_unknown, mask_templates, event_infer, entity_ip, severity_map, ts_ladder, ts_year_infer,
-        rec_assemble, nth_occurrence, quarantine_decisions, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_families,
+        rec_assemble, nth_occurrence, quarantine_decisions, repeated_heads, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_families,
         gate_evaluation, gate_accuracy, corpus_lines, corpus_families, corpus_records, cascade_tiers, cascade_errors, cascade_enforced, tier_stats, health_view, cache_view, run_summary, severity_badges,
     )
 }
@@ -471,9 +476,14 @@ ORACLES["rule_keys"] = f"with {synth.LINES_SQL} select seq, 'sih:rule:' || subst
 ORACLES["newest_runs"] = "select day(ts) as id, sum(length(props))::bigint as bytes from events group by 1 order by max(ts) desc limit 3"
 ORACLES["props_entries"] = "select event_id, unnest(json_keys(props)) as k, json_extract_string(props, '$.' || json_keys(props)[1]) as v, 'num' as t from events"
 _NOVEL = f"{_CORPUS}, n as (select seq, text as template, raw from masked where not known)"
-ORACLES["quarantine_decisions"] = f"""with {_NOVEL}, c as (select *, row_number() over (partition by template order by seq) as count, row_number() over (partition by raw order by seq) as occurrences from n),
-  a as (select *, count >= 8 and occurrences < 5 as able from c)
+# A key is remembered if fewer than so many other keys were seen since it last was: rows since then after which their own key was not seen again before now.
+_AGAIN = """select x.seq, x.{0} as key, x.prev, count(y.seq) as others from (select *, lag(seq) over (partition by {0} order by seq) as prev from n) x
+  left join (select seq, {0} as key, lead(seq) over (partition by {0} order by seq) as next from n) y on y.seq > x.prev and y.seq < x.seq and (y.next is null or y.next >= x.seq) group by all"""
+_COUNTED = """select seq, row_number() over (partition by key, life order by seq) as {1} from (select *, sum(case when prev is null or others >= {2} then 1 else 0 end) over (partition by key order by seq) as life from ({0}))"""
+ORACLES["quarantine_decisions"] = f"""with {_NOVEL}, ct as ({_COUNTED.format(_AGAIN.format("template"), "count", mining.MOST_TEMPLATES)}), cl as ({_COUNTED.format(_AGAIN.format("raw"), "occurrences", mining.MOST_LINES)}),
+  c as (select n.*, count, occurrences from n join ct using (seq) join cl using (seq)), a as (select *, count >= 8 and occurrences < 5 as able from c)
 select seq, count, occurrences, case when occurrences >= 5 then 'escalated' when count < 8 then 'quarantined' else 'discover' end as kind,
   able and row_number() over (partition by template, able order by seq) = 1 as graduates from a"""
+ORACLES["repeated_heads"] = f"with {synth.LINES_SQL}, n as (select seq, substr(raw, 1, 5) as head from lines), c as ({_COUNTED.format(_AGAIN.format('head'), 'occurrences', 100)}) select seq, occurrences from c"
 ORACLES["quarantine_top"] = f"""with {_NOVEL}, o as (select template, raw as sample, count(*) as n, min(seq) as first, max(seq) as last from n group by all), r as (select *, row_number() over (partition by template order by first) as nth from o)
 select template, sum(n)::bigint as count, min(first) as first_seq, max(last) as last_seq, string_agg(sample, '|' order by nth) filter (nth <= 3) as samples from r group by 1 order by count desc, first_seq limit 100"""
