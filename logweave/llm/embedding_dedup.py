@@ -182,17 +182,6 @@ def probes(vectors: DataFrame, threshold: float, seed: int) -> DataFrame:
     return vectors.where(F.pmod(F.xxhash64(F.lit(seed), F.lit("probe"), "id"), F.lit(every)) == 0).mapInPandas(run, f"id long, label long, dims int, embedding {kind}")
 
 
-def near_recall(lists: DataFrame, planted: DataFrame, threshold: float) -> float:
-    """The share of probes that are linked to their vector, or to one that it is linked to."""
-    links = lists.where(F.col("sim") >= threshold).select("u", "v")
-    links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    mine = links.where("u < 0").select(F.col("u").alias("probe"), (-1 - F.col("u")).alias("own"), "v")
-    two = mine.join(links.select(F.col("u").alias("own"), F.col("v").alias("w")), "own").where("v = w").select("probe")
-    found = mine.where("v = own").select("probe").unionByName(two).distinct()
-    n = planted.count()
-    return found.count() / n if n else 1.0
-
-
 def joined_recall(lists: DataFrame, parts: DataFrame, planted: DataFrame, threshold: float) -> float:
     """The share of probes that are linked to their vector or to one of its component."""
     root = parts.select(F.col("node").alias("v"), "root")
@@ -234,9 +223,8 @@ def every_pair(vectors: DataFrame, threshold: float) -> DataFrame:
 def search(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, seed: int = 1, max_cycles: int = 3, compared=None) -> tuple[DataFrame, DataFrame, float]:
     """Links (a, b) found by NN-descent, components (node, root) of them, and the recall of planted probes.
 
-    Probes take part in the search and are then left out. A round is the last if it linked no vector for the first time
-    and enough probes are linked to their vector or a neighbour of it; a cycle, if enough are linked into their
-    vector's component. Further cycles begin with
+    Probes take part in the search and are then left out. A round is the last if it linked no vector for the first
+    time; a cycle, if enough probes are linked into their vector's component. Further cycles begin with
     new cells and the lists held. compared: an accumulator of the pairs compared.
     """
     compare = _compare if compared is None else _counting(compared)
@@ -246,11 +234,11 @@ def search(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, se
     for cycle in range(max_cycles):
         at = seed + 1000 * cycle
         lists = start(everyone, threshold, k, at, compare, lists)
-        linked = -1
+        linked = lists.where(F.col("sim") >= threshold).select("u").distinct().count()
         for turn in range(rounds):
             lists = _round(everyone, lists, threshold, k, at + 100 + turn, compare)
             before, linked = linked, lists.where(F.col("sim") >= threshold).select("u").distinct().count()
-            if linked == before and near_recall(lists, planted, threshold) >= RECALL:
+            if linked == before:
                 break
         edges = cut(lists.where((F.col("sim") >= threshold) & (F.col("u") >= 0) & (F.col("v") >= 0)).select(F.col("u").alias("a"), F.col("v").alias("b")))
         parts = edges.select(F.col("a").alias("node"), F.col("a").alias("root")) if edges.isEmpty() else components(edges)
