@@ -23,21 +23,22 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(b - a > 1, part(_log_scale(v), a, b)).otherwise(part(v, lo, hi))
 
 
-def exact_quantile(df: DataFrame, value: Column, q: float, by: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
+def exact_quantile(df: DataFrame, value: Column, q: float, by: tuple[str, ...] = (), copies: Column | None = None, bins: int = BINS) -> DataFrame:
     """Rows (by..., n, quantile): of each group the number of values and their q-quantile, interpolated between neighbours.
 
     Every round counts a group's values in bins of its present range, keeps least and largest value of the bin that
     holds the rank, and goes on in there; the next rank's value is in the same bin or the least of the next one. No
     task holds more of a group than its bins, however many values there are or repeat. 2048 bins need about five
     rounds for values of any spread. Null and NaN values are not counted; groups without others have no row; a null
-    key is a group. A constant number of rows per group is joined with the values, or for the whole table none.
+    key is a group. A row counts copies times. A constant number of rows per group is joined with the values, or for the whole table none.
     """
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
     keys = [f"_{k}" for k in by]
     value = value.cast("double")
-    rows = df.select(*(F.col(k).alias(f"_{k}") for k in by), (value + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    state = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_n > 0")
+    copies = (F.lit(1) if copies is None else copies).cast("long").alias("_w")
+    rows = df.select(*(F.col(k).alias(f"_{k}") for k in by), (value + F.lit(0.0)).alias("_v"), copies).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_w") > 0))
+    state = rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_n > 0")
     state = state.select(*keys, "_n", F.floor((F.col("_n") - 1) * F.lit(q)).cast("long").alias("_k"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_left"), "_lo", "_hi", F.lit(None).cast("double").alias("_next"))
     state = cut(state)
     while not (open_ := state.where("_lo < _hi")).isEmpty():
@@ -49,7 +50,7 @@ def exact_quantile(df: DataFrame, value: Column, q: float, by: tuple[str, ...] =
             one = open_.first()  # the only one
             met = rows.where(F.col("_v").between(one["_lo"], one["_hi"])).withColumns({c: F.lit(one[c]).cast("double" if c in ("_lo", "_hi", "_next") else "long") for c in _STATE})
         counts = met.groupBy(*keys, _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("_bin")).agg(
-            F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), *(F.first(c).alias(c) for c in ("_n", "_k", "_below", "_next"))
+            F.sum("_w").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), *(F.first(c).alias(c) for c in ("_n", "_k", "_below", "_next"))
         )
         w = Window.partitionBy(*keys).orderBy("_bin")
         counts = counts.withColumn("_first", F.col("_below") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_after", F.lead("_a").over(w))

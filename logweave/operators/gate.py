@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from collections import Counter
+
+import numpy as np
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.functions.quantiles import exact_quantile
+from logweave.functions.text import settled
+from logweave.sources.shared import cut
+
 GRAMS, MIN_DOCUMENTS, MOST_TERMS, NEIGHBOURS, FLOOR = (2, 3, 4), 2, 10_000, 3, 0.02
+#: Rarest terms by which a bound is found, and how common they may be.
+PROBES, PROBED = 8, 1000
 
 
 def grams(text: Column) -> Column:
@@ -36,13 +48,42 @@ def tfidf(lines: DataFrame, terms: DataFrame, key: str = "id", text: str = "text
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(key)))).select(key, "term", "w")
 
 
+def _exact(pairs: DataFrame, query: DataFrame, known: DataFrame) -> DataFrame:
+    """(q, x, dot) of pairs (q, x), rounded to what sums in any order agree on."""
+    met = pairs.join(query.select(F.col("id").alias("q"), "term", F.col("w").alias("a")), "q").join(known.select(F.col("id").alias("x"), "term", F.col("w").alias("b")), ["x", "term"])
+    return met.groupBy("q", "x").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("dot"))
+
+
+def candidates(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """Pairs (q, x) among which are the k nearest of every query, and all as near as the last of them.
+
+    The rarest terms of a query find some known vectors, and the k-th best of these is a bound: what comes in must reach
+    it. Terms can add at most the sum of their weights times the largest in any known vector, and, as known vectors have
+    unit length, the root of the sum of their squares. The commonest terms that together can not reach the bound need
+    not be looked up, as a vector that has none but these is too far; theirs are the long lists.
+    """
+    terms = known.groupBy("term").agg(F.max("w").alias("most"), F.count("*").alias("df"))  # a row for each term of the vocabulary
+    asked = query.join(F.broadcast(terms), "term").select(F.col("id").alias("q"), "term", "w", (F.col("w") * F.col("most")).alias("gain"), "df")
+    asked = cut(asked)
+    lists = known.select(F.col("id").alias("x"), "term")
+    rare = asked.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))).where((F.col("nth") <= PROBES) & (F.col("df") <= PROBED))
+    first = rare.join(lists, "term").groupBy("q", "x").agg(F.sum("gain").alias("gain"))
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("gain"), "x"))).where(F.col("nth") <= 2 * k).select("q", "x")
+    some = cut(_exact(first, query, known))
+    bound = some.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "x"))).where(F.col("nth") == k).select("q", F.col("dot").alias("bound"))
+    longest_first = Window.partitionBy("q").orderBy(F.desc("df"), "term")
+    reach = F.least(F.sum("gain").over(longest_first), F.sqrt(F.sum(F.col("w") ** 2).over(longest_first)))
+    needed = asked.withColumn("reach", reach).join(bound, "q", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound") - 1e-6))
+    return needed.select("q", "term").join(lists, "term").select("q", "x").distinct()
+
+
 def nearest(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: DataFrame | None = None) -> DataFrame:
     """Of each query vector the k nearest known ones: rows (q, x, dot, take); vectors are rows (id, term, w) of unit length.
 
-    Vectors meet by common terms only. copies has rows (id, copies) where a known vector stands for more than one
-    line, each of them a neighbour; take is how many of them count.
+    copies has rows (id, copies) where a known vector stands for more than one line, each of them a neighbour; take is
+    how many of them count. Exact: pairs are left out by a bound only.
     """
-    dots = query.select(F.col("id").alias("q"), "term", F.col("w").alias("a")).join(known.select(F.col("id").alias("x"), "term", F.col("w").alias("b")), "term").groupBy("q", "x").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("dot"))
+    dots = _exact(candidates(query, known, k), query, known)
     best = Window.partitionBy("q").orderBy(F.desc("dot"), "x")
     dots = dots.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")  # limited before the shuffle
     dots = dots.withColumn("copies", F.lit(1)) if copies is None else dots.join(copies.select(F.col("id").alias("x"), "copies"), "x")
@@ -63,8 +104,9 @@ def distances(query: DataFrame, known: DataFrame, k: int = NEIGHBOURS, copies: D
 
 
 def threshold(calibration: DataFrame, copies: Column | int = 1) -> float:
-    """The 99th percentile of distances of known lines, not below FLOOR; a row stands for copies lines."""
-    return max(FLOOR, calibration.select(F.percentile("distance", 0.99, copies)).first()[0] or 0.0)
+    """The 99th percentile of distances of known lines, not below FLOOR; a row stands for copies lines. Exact, and no task holds the column."""
+    got = exact_quantile(calibration, F.col("distance"), 0.99, copies=F.lit(copies) if isinstance(copies, int) else copies).first()
+    return max(FLOOR, got["quantile"] if got else 0.0)
 
 
 def part_of(key: Column, parts: int, salt: str = "") -> Column:
@@ -72,9 +114,24 @@ def part_of(key: Column, parts: int, salt: str = "") -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 7), 16, 10).cast("long"), F.lit(parts)).cast("int")
 
 
-def split(labelled: DataFrame, held_out: int = 5, key: str = "id", label: str = "label") -> DataFrame:
-    """Adds held_out: a fifth of each label's lines, by a hash of label and key."""
-    return labelled.withColumn("held_out", part_of(F.concat(F.col(label), F.lit(":"), F.col(key)), held_out) == 0)
+def split(labelled: DataFrame, held_out: int = 5, key: str = "id", label: str = "label", buckets: int = 4096) -> DataFrame:
+    """Adds held_out: of each label exactly n div held_out lines, those of the lowest hashes of label and key; keys of a label differ.
+
+    Hashes are counted in buckets by label; lines below the bucket on the edge are in, those above out, and only the
+    lines of that bucket, a few thousandths of a label, are put in order. A null label is one of its own.
+    """
+    name = F.concat(F.coalesce(F.col(label), F.lit("")), F.lit(":"), F.col(key).cast("string"))
+    rows = labelled.withColumns({"_h": F.md5(name), "_l": F.coalesce(F.concat(F.lit("="), F.col(label)), F.lit("none"))})
+    rows = rows.withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
+    w = Window.partitionBy("_l")
+    counts = rows.groupBy("_l", "_b").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).withColumn("_take", F.floor(F.sum("_c").over(w) / held_out))
+    met = rows.join(counts, ["_l", "_b"])
+    sure, never = F.col("_before") + F.col("_c") <= F.col("_take"), F.col("_before") >= F.col("_take")
+    edge = met.where(~sure & ~never).withColumn("_nth", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key)))
+    edge = edge.withColumn("held_out", F.col("_nth") <= F.col("_take") - F.col("_before")).drop("_nth")
+    rest = met.where(sure | never).withColumn("held_out", sure)
+    return rest.unionByName(edge).drop("_h", "_l", "_b", "_c", "_before", "_take")
 
 
 class Novelty:
@@ -83,9 +140,10 @@ class Novelty:
     def __init__(self, known: DataFrame, calibration: DataFrame | None = None, margin: float = 1.0, limit: float | None = None):
         """known and calibration are rows (text, label), masked; lines that mask alike are vectors once and count as often as they occur."""
         rows = known.groupBy("text").agg(F.count("*").alias("copies"), F.mode("label", True).alias("label"))
-        self.known = rows.withColumn("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+        self.known = cut(rows.withColumn("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")))
         self.terms = vocabulary(self.known, copies=F.col("copies"))
-        self.vectors = tfidf(self.known, self.terms)
+        self.terms = cut(self.terms)
+        self.vectors = cut(tfidf(self.known, self.terms))  # used for every text that is scored
         self.margin, self.limit = margin, limit
         if limit is None:
             scored = self.score(calibration.groupBy("text").agg(F.count("*").alias("copies")))
@@ -94,7 +152,8 @@ class Novelty:
     def score(self, texts: DataFrame) -> DataFrame:
         """Adds distance and family_guess (the label of the nearest known text) to different texts (text, ...)."""
         keyed = texts.withColumn("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
-        found = distances(tfidf(keyed, self.terms), self.vectors, copies=self.known)
+        keyed = cut(keyed)
+        found = distances(cut(tfidf(keyed, self.terms)), self.vectors, copies=self.known)
         # A text without a known term is the zero vector, at distance 1 from every unit vector.
         got = keyed.join(found, "id", "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
         return got.join(self.known.select(F.col("id").alias("nearest"), F.col("label").alias("family_guess")), "nearest", "left").drop("nearest", "id")
@@ -113,17 +172,55 @@ def evaluate(scored: DataFrame, limit: float, margin: float = 1.0) -> DataFrame:
     return scored.agg(share(F.col("family_guess") == F.col("label"), known).alias("accuracy"), share(flag, known).alias("false_alarm"), share(flag, ~known).alias("caught"))
 
 
-def fit_families(train: DataFrame, text: str = "text", label: str = "label") -> PipelineModel:
-    """Family classifier: n-gram counts, idf, unit length, multinomial logistic regression."""
-    rows = train.withColumn("grams", grams(F.col(text)))
+class _GramParams(Params):
+    inputCol = Param(Params._dummy(), "inputCol", "text", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vectors", TypeConverters.toString)
+    terms = Param(Params._dummy(), "terms", "the vocabulary in order", TypeConverters.toListString)
+    idf = Param(Params._dummy(), "idf", "a weight for each term", TypeConverters.toListFloat)
+
+
+class GramTfidfModel(Model, _GramParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Unit vectors of 1 + ln(count) times idf over a vocabulary of n-grams, which is kept as parameters (at most MOST_TERMS)."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        place = {t: i for i, t in enumerate(self.getOrDefault("terms"))}
+        idf = np.array(self.getOrDefault("idf"))
+        known = df.sparkSession.sparkContext.broadcast((place, idf))
+
+        @F.udf(VectorUDT())
+        def vector(terms):
+            place, idf = known.value
+            n = Counter(place[t] for t in terms or () if t in place)
+            at = np.array(sorted(n), np.int32)
+            w = (1 + np.log([n[i] for i in at.tolist()])) * idf[at] if len(at) else np.zeros(0)
+            return SparseVector(len(idf), at, w / np.linalg.norm(w) if len(at) else w)
+
+        # Settled first and after, as what follows in a pipeline would else take the function into expressions that can't run it.
+        rows = settled(df.withColumn("_grams", grams(F.col(self.getOrDefault("inputCol")))))
+        return settled(rows.withColumn(self.getOrDefault("outputCol"), vector("_grams")).drop("_grams"))
+
+
+class GramTfidf(Estimator, _GramParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the vocabulary and its idf, ln((1 + n) / (1 + df)) + 1, by vocabulary()."""
+
+    def __init__(self, inputCol: str = "text", outputCol: str = "x"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _fit(self, df: DataFrame) -> GramTfidfModel:
+        got = sorted((r["term"], r["idf"]) for r in vocabulary(df, self.getOrDefault("inputCol")).collect())  # MOST_TERMS at most
+        return GramTfidfModel()._set(inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"), terms=[t for t, _ in got], idf=[float(w) for _, w in got])
+
+
+def fit_families(train: DataFrame, text: str = "text", label: str = "label", rounds: int = 100, tolerance: float = 1e-7) -> PipelineModel:
+    """Family classifier: TF-IDF vectors and multinomial logistic regression, as one pipeline that can be saved."""
+    rows = cut(train.select(text, label))
     n = max(1, rows.count())
     return Pipeline(
         stages=[
-            StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep"),
-            CountVectorizer(inputCol="grams", outputCol="tf", minDF=MIN_DOCUMENTS, vocabSize=MOST_TERMS),
-            IDF(inputCol="tf", outputCol="tfidf"),
-            Normalizer(inputCol="tfidf", outputCol="x", p=2.0),
-            LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (8 * n), maxIter=50, standardization=False),
+            StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep", stringOrderType="alphabetAsc"),
+            GramTfidf(inputCol=text, outputCol="x"),
+            LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (8 * n), maxIter=rounds, tol=tolerance, standardization=False),
         ]
     ).fit(rows)
 
@@ -131,8 +228,8 @@ def fit_families(train: DataFrame, text: str = "text", label: str = "label") ->
 def predict(model: PipelineModel, lines: DataFrame, text: str = "text") -> DataFrame:
     """Adds family_guess."""
     names = model.stages[0].labels
-    got = model.transform(lines.withColumn("grams", grams(F.col(text))))
-    return got.withColumn("family_guess", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))).drop("grams", "tf", "tfidf", "x", "rawPrediction", "probability", "prediction")
+    got = PipelineModel(model.stages[1:]).transform(lines)
+    return got.withColumn("family_guess", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))).drop("x", "rawPrediction", "probability", "prediction")
 
 
 def novel(scored: DataFrame, limit: float, margin: float = 1.0) -> DataFrame:

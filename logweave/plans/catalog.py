@@ -313,12 +313,17 @@ def gate_families(spark, sf_dir):
     return got.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("family_guess") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def gate_split(spark, sf_dir):
+    lines = gate.split(_corpus(spark, sf_dir).select(F.col("seq").alias("id"), "label"))
+    return lines.select("id", "label", "held_out")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalized_records, family_counts, family_severity_counts, fingerprint_features, first_rule, unseen_families, extra_fields, mode_share, family_mode_pivot, run_summary_topk,
         console_counts, facets, search_filter, page_slice, family_summary, precision_recall, per_unknown, mask_templates, event_infer, entity_ip, severity_map, ts_ladder, ts_year_infer,
-        rec_assemble, nth_occurrence, quarantine_decisions, repeated_heads, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_families,
+        rec_assemble, nth_occurrence, quarantine_decisions, repeated_heads, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_split, gate_families,
         gate_evaluation, gate_accuracy, corpus_lines, corpus_families, corpus_records, cascade_tiers, cascade_errors, cascade_enforced, tier_stats, health_view, cache_view, run_summary, severity_badges,
     )
 }
@@ -403,6 +408,7 @@ ORACLES["gate_novelty"] = f"with {_GATE} select family as label, count(*) as n,
 ORACLES["gate_evaluation"] = f"""with {_GATE} select count(*) filter (known and gate_family = family) / count(*) filter (known) as accuracy, count(*) filter (known and gate_novel) / count(*) filter (known) as false_alarm,
   count(*) filter (not known and gate_novel) / count(*) filter (not known) as caught from sc"""
 ORACLES["gate_accuracy"] = f"with {_GATE} select avg((gate_family = family)::int) as accuracy, count(distinct family) as families from sc where known"
+ORACLES["gate_split"] = f"""with {_CORPUS} select seq as id, label, row_number() over (partition by label order by md5(label || ':' || seq), seq) <= count(*) over (partition by label) // 5 as held_out from corpus"""
 ORACLES["corpus_lines"] = f"with {_CORPUS} select seq, label, fresh, raw from corpus"
 ORACLES["corpus_families"] = f"with {_CORPUS} select label, family, count(*) as n from corpus group by all"
 _DATE_PART = r"regexp_extract(raw, '(\d\d\d\d)[-/](\d\d)[-/](\d\d)[ T](\d\d:\d\d:\d\d)', {0})"
