@@ -11,6 +11,7 @@ taken under a limit that Spark applies before the shuffle, so a template of very
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,13 @@ from logweave.functions import fixed
 from logweave.functions.text import mask_line, settled
 from logweave.operators import rules
 from logweave.operators.detect import fingerprint_key
-from logweave.operators.mining import GRADUATE_AFTER, GRADUATE_REPEATS
+from logweave.operators.discovery import discover
+from logweave.operators.mining import GRADUATE_AFTER, GRADUATE_REPEATS, MOST_LINES, MOST_TEMPLATES
 from logweave.operators.normalize import normalize
 from logweave.operators.parse import parse
+from logweave.operators.recency import left_over, recency_counts
 from logweave.sources.readers import rule_key
+from logweave.sources.shared import cut
 
 RULE = "struct<method:string,delimiter:string,signature:string,inferred_by:string>"
 
@@ -33,9 +37,20 @@ def _up_to(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
     return rows.withColumn(name, nth).where(F.col(name) <= most)
 
 
+@dataclass
+class Quarantine:
+    """Counters of held back records (recency.STATE): those that earlier records left, and after decide() those that these leave."""
+
+    templates: DataFrame | None = None
+    lines: DataFrame | None = None
+    most_templates: int = MOST_TEMPLATES
+    most_lines: int = MOST_LINES
+
+
 def decide(
     records: DataFrame, now: Column, *, known: DataFrame | None = None, templates: DataFrame | None = None, gate: Callable[[DataFrame], DataFrame] | None = None, enforce: bool = False,
     failed: Column | None = None, template: Column | None = None, graduate_after: int = GRADUATE_AFTER, graduate_repeats: int = GRADUATE_REPEATS,
+    providers: dict[str, Callable[[str], str]] | None = None, quarantine: Quarantine | None = None,
 ) -> DataFrame:
     """Adds family, mode, tier, rule, template, novel, distance, family_guess, quarantine_count, occurrences and error to (seq, raw).
 
@@ -43,17 +58,20 @@ def decide(
     in which any fingerprint of a family is that family's. templates has rules (key, rule) by rule_key(template). gate
     turns different masked texts (masked) into (masked, novel, distance, family_guess); without one nothing is novel.
     failed gives what is wrong with a record; such records, and those without text, get mode Error and teach nothing.
-    template is the masked line unless given. Without enforce nothing is held back. Other columns are kept.
+    template is the masked line unless given. Without enforce nothing is held back. providers are asked, in turn, for
+    the rules of deciding records that have none by template, and llm_error says what was wrong with their replies;
+    such records are one for a family at most and go through the driver. With quarantine, counters remember so many
+    templates and lines seen last and go on from what earlier records left; seq must go on too. Other columns are kept.
     """
     error = F.when(F.col("raw").isNull(), "no text") if failed is None else F.coalesce(F.when(F.col("raw").isNull(), "no text"), failed)
     rows = rules.with_family(records.withColumn("error", error), now)
     rows = rows.withColumn("family", F.when(F.col("error").isNull(), F.col("family")).otherwise("unknown"))
-    rows = settled(rows.withColumn("masked", F.when(F.col("error").isNull(), mask_line(F.col("raw")))))
+    rows = cut(rows.withColumn("masked", F.when(F.col("error").isNull(), mask_line(F.col("raw")))))  # used by all that follows
     rows = rows.withColumn("template", F.col("masked") if template is None else template)
     known = rows.sparkSession.createDataFrame([], f"family string, rule {RULE}") if known is None else known.select("family", F.col("rule").cast(RULE).alias("rule"))
     open_ = rows.where("error is null").join(F.broadcast(known), "family", "left_anti")
     if gate is not None:
-        judged = gate(open_.select("masked").distinct()).select("masked", "novel", "distance", "family_guess").persist()  # asked for below more than once
+        judged = cut(gate(open_.select("masked").distinct()).select("masked", "novel", "distance", "family_guess"))
         open_ = open_.join(judged, "masked", "left")
     else:
         open_ = open_.withColumn("novel", F.lit(False)).withColumn("distance", F.lit(None).cast("double")).withColumn("family_guess", F.lit(None).cast("string"))
@@ -64,15 +82,33 @@ def decide(
     open_ = open_.withColumn("novel", F.coalesce("novel", F.lit(False)))
     held = F.col("novel") & F.col("own").isNull() & F.lit(enforce)
     waiting = open_.where(held).select("seq", "family", "template", "raw", "family_guess")
-    by_template = _up_to(waiting, ["family", "template"], graduate_after, "quarantine_count").select("seq", "family", "quarantine_count")
-    by_line = _up_to(waiting, ["family", "raw", "family_guess"], graduate_repeats, "occurrences").select("seq", "family", "occurrences")
-    able = open_.where(~held).select("family", "seq").unionByName(by_template.where(F.col("quarantine_count") == graduate_after).select("family", "seq"))
-    able = able.unionByName(by_line.where(F.col("occurrences") == graduate_repeats).select("family", "seq"))
-    first = able.groupBy("family").agg(F.min("seq").alias("decided"))
+    if quarantine is None:
+        by_template = _up_to(waiting, ["family", "template"], graduate_after, "quarantine_count").select("seq", "family", "quarantine_count")
+        by_line = _up_to(waiting, ["family", "raw", "family_guess"], graduate_repeats, "occurrences").select("seq", "family", "occurrences")
+    else:
+        waiting = cut(waiting)
+        of_family = waiting.select("seq", "family")
+        by_template, by_line = (
+            cut(recency_counts(waiting, keys, most, name, start=before).join(of_family, "seq"))
+            for keys, most, name, before in ((["template"], quarantine.most_templates, "quarantine_count", quarantine.templates), (["raw", "family_guess"], quarantine.most_lines, "occurrences", quarantine.lines))
+        )
+    able = open_.where(~held).select("family", "seq").unionByName(by_template.where(F.col("quarantine_count") >= graduate_after).select("family", "seq"))
+    able = able.unionByName(by_line.where(F.col("occurrences") >= graduate_repeats).select("family", "seq"))
+    first = cut(able.groupBy("family").agg(F.min("seq").alias("decided")))
+    if quarantine is not None:  # records after the deciding one are answered by its rule and not counted
+        still = lambda rows: rows.join(F.broadcast(first), "family", "left").where(F.col("decided").isNull() | (F.col("seq") <= F.col("decided")))
+        quarantine.templates = left_over(still(by_template), quarantine.most_templates, "quarantine_count", quarantine.templates)
+        quarantine.lines = left_over(still(by_line), quarantine.most_lines, "occurrences", quarantine.lines)
+        by_template, by_line = by_template.drop("key"), by_line.drop("key")
     # The deciding records, one for a family, with the rule each gives.
     heads = open_.join(F.broadcast(first), (open_["family"] == first["family"]) & (open_["seq"] == first["decided"])).drop(first["family"])
-    heads = rules.with_rule(heads.select("family", "decided", "raw", "own"), now).select("family", "decided", F.coalesce("own", F.col("own_rule").cast(RULE)).alias("rule"), F.col("own").isNotNull().alias("by_template"))
-    stored = known.select("family", F.lit(None).cast("long").alias("decided"), "rule", F.lit(False).alias("by_template"))
+    heads = rules.with_rule(heads.select("family", "decided", "raw", "own"), now)
+    if providers:
+        heads = _asked(cut(heads), providers)
+    else:
+        heads = heads.withColumn("llm_error", F.lit(None).cast("string"))
+    heads = heads.select("family", "decided", F.coalesce("own", F.col("own_rule").cast(RULE)).alias("rule"), F.col("own").isNotNull().alias("by_template"), "llm_error")
+    stored = known.select("family", F.lit(None).cast("long").alias("decided"), "rule", F.lit(False).alias("by_template"), F.lit(None).cast("string").alias("llm_error"))
     given = F.broadcast(heads.withColumn("decided", F.col("decided").cast("long")).unionByName(stored))
     facts = open_.where("error is null").select("seq", "novel", "distance", "family_guess") if gate is not None else None
     out = rows.join(given, "family", "left")
@@ -94,6 +130,7 @@ def decide(
     mode = F.when(F.col("tier") == "error", "Error").when(F.col("tier") == "quarantine", "Quarantined").when(F.col("tier").isin("discovery", "escalated"), "Discovery").otherwise("Cached")
     seen = F.col("tier").isin("quarantine", "template", "discovery", "escalated")
     of_tier = ("novel", "distance", "family_guess", "quarantine_count", "occurrences", "template")
+    out = out.withColumn("llm_error", F.when(seq == decided, F.col("llm_error"))) if providers else out.drop("llm_error")
     out = out.withColumns({"mode": mode} | {c: F.when(seen, F.col(c)) for c in of_tier})
     if enforce:  # a record held back is parsed by the rule it would give itself, which is not kept
         own = rules.with_rule(out.where("tier = 'quarantine'"), now).withColumn("rule", F.col("own_rule").cast(RULE)).drop("fingerprint", "own_rule")
@@ -101,6 +138,13 @@ def decide(
     return out.drop("masked", "decided", "by_template")
 
 
+def _asked(heads: DataFrame, providers: dict[str, Callable[[str], str]]) -> DataFrame:
+    """The deciding records with the rules that providers give in place of their own, and what was wrong."""
+    found = [(r["family"], (r["method"], r.get("delimiter"), r["signature"], r["inferred_by"]), r["llm_error"]) for r in discover(heads.where("own is null").select("family", "raw", F.col("own_rule").cast(RULE).alias("own_rule")), providers)]
+    given = heads.sparkSession.createDataFrame(found, f"family string, given {RULE}, llm_error string")
+    return heads.join(F.broadcast(given), "family", "left").withColumn("own_rule", F.coalesce("given", F.col("own_rule").cast(RULE)))
+
+
 def process(decided: DataFrame, now: Column) -> DataFrame:
     """The normalised record of every decided one; those in error have empty fields and keep their text."""
     rows = decided.withColumn("method", F.col("rule.method")).withColumn("delimiter", F.col("rule.delimiter"))

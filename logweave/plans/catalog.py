@@ -12,6 +12,7 @@ from logweave.operators import assemble, gate, mining, recency, reports, rules,
 from logweave.operators.normalize import canonical_severity, infer_event
 from logweave.operators.parse import json_entries
 from logweave.sources import corpus, readers, synth
+from logweave.sources.shared import spread
 
 EXTRAS = ("http_status", "bytes_sent", "http_path", "user", "pid", "program", "port", "facility", "stream", "thread", "user_database", "n", "latency", "connection_id", "client", "severity_raw", "spt")
 SEVERITY_CASES = ("INFO", "[warn]", "Fatal", "(err)", "verbose", "D", "notice", "Exception", "panic", "LOG")
@@ -28,7 +29,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.synth_lines(_read(spark, sf_dir, "events")).select("seq", "expected", "raw")
+    return synth.synth_lines(spread(_read(spark, sf_dir, "events"))).select("seq", "expected", "raw")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus line for every event (seq, label, fresh, raw) and whether its format is a known one; a fifth are fresh: calibration lines of other hosts."""
-    numbers = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
+    numbers = spread(_read(spark, sf_dir, "events").select(F.col("event_id").alias("seq")))
     return corpus.lines(numbers, fresh=gate.part_of(F.col("seq"), 5, "role:") == 0).withColumn("known", F.col("label").isin(*corpus.KNOWN))
 
 

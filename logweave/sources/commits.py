@@ -77,6 +77,12 @@ def load(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/{folder}") if folder else spark.createDataFrame([], schema)
 
 
+def count(spark: SparkSession, path: str, table: str) -> int:
+    """Rows of a table of the valid version."""
+    folder = _newest(Store(spark, path))[1]["tables"].get(table)
+    return spark.read.parquet(f"{path}/{folder}").count() if folder else 0
+
+
 def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame | None], batch: int | None = None) -> None:
     """A new version of the tables, all at once: those given are replaced (None: forgotten), others stay. Older versions go.
 
@@ -105,7 +111,7 @@ def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame | None],
 def add_batch(df: DataFrame, path: str, batch: int, *partition_by: str) -> bool:
     """Output of a numbered batch; False, and nothing added, where the batch is there already."""
     store = Store(df.sparkSession, path)
-    name, folder = f"_batches/{batch:020d}.json", f"data/{uuid.uuid4().hex}"
+    name, folder = f"_batches/{batch:020d}.json", f"data/added={uuid.uuid4().hex}"
     if name.split("/")[1] in store.names("_batches"):
         return False
     df.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
@@ -119,4 +125,5 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of all batches that count."""
     store = Store(spark, path)
     folders = [f"{path}/{store.read(f'_batches/{n}')['folder']}" for n in store.names("_batches")]
-    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders) if folders else spark.createDataFrame([], schema)
+    none = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders).select(none.columns) if folders else none

@@ -6,6 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.sources import commits
+
 LONGEST_LINE, LARGEST_BATCH = 10_000, 1000
 
 
@@ -39,8 +41,12 @@ def read_tail(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Dat
     return rows.where("value <> ''").select(F.col("value").alias("line"), F.current_timestamp().alias("arrived"))
 
 
-def write_records(df: DataFrame, path: str, partition_by: str = "family") -> None:
+def write_records(df: DataFrame, path: str, partition_by: str = "family", batch: int | None = None) -> bool:
+    """Adds records to a table; those of a numbered batch once only, however often it comes (read by commits.read_batches)."""
+    if batch is not None:
+        return commits.add_batch(df, path, batch, partition_by)
     df.write.mode("append").partitionBy(partition_by).parquet(path)
+    return True
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
@@ -56,6 +62,18 @@ def newest_runs(runs: DataFrame, keep: int = 3, most_bytes: int = 3_500_000) ->
     return summed.where((F.col("total") <= most_bytes) | (F.col("nth") == 1)).drop("total", "nth")
 
 
+def trimmed_runs(records: DataFrame, runs: DataFrame, most_bytes: int = 3_500_000, most_records: int = 500) -> DataFrame:
+    """Records (id, seq, ...) of the newest runs as a store of most_bytes keeps them.
+
+    Where the newest run alone is larger, it is the only one, and only its first most_records records stay.
+    """
+    kept = newest_runs(runs, most_bytes=most_bytes).select("id", "at", "bytes")
+    large = kept.where(F.col("bytes") > most_bytes).select(F.col("id").alias("_id"))  # none or the only one
+    rows = records.join(F.broadcast(kept.select("id")), "id")
+    whole = rows.join(F.broadcast(large), F.col("id") == F.col("_id"), "left_anti")
+    return whole.unionByName(rows.join(F.broadcast(large), F.col("id") == F.col("_id"), "left_semi").orderBy("seq").limit(most_records))
+
+
 def rule_key(template: str = "template"):
     """Key of a template's rule in a shared rule table."""
     return F.concat(F.lit("sih:rule:"), F.substring(F.sha1(F.col(template).cast("binary")), 1, 16))
@@ -90,31 +108,21 @@ def save_gate(model: PipelineModel, path: str, accuracy: float, caught: float, t
     return True
 
 
-def _hadoop(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
-
-
 def load_state(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     """A table of the kept state (families, templates, quarantine); empty with that schema where there is none."""
-    files, folder = _hadoop(spark, f"{path}/{table}")
-    return spark.read.schema(schema).parquet(f"{path}/{table}") if files.exists(folder) else spark.createDataFrame([], schema)
+    return commits.load(spark, path, table, schema)
 
 
 def save_state(df: DataFrame, path: str, table: str) -> None:
-    """Replaces a table of the state; the new one is written beside the old one first, as it may be made from it."""
-    files, folder = _hadoop(df.sparkSession, f"{path}/{table}")
-    _, fresh = _hadoop(df.sparkSession, f"{path}/{table}.new")
-    df.write.mode("overwrite").parquet(f"{path}/{table}.new")
-    files.delete(folder, True)
-    files.rename(fresh, folder)
+    """Replaces a table of the state, which it may be made from: a new version is valid as a whole or not at all."""
+    commits.commit(df.sparkSession, path, {table: df})
 
 
 def clear_state(spark: SparkSession, path: str, tables: tuple[str, ...] = ("families", "fingerprints", "templates", "quarantine")) -> DataFrame:
-    """Forgets all kept rules: rows (table, cleared) with what each table held. A second call finds nothing."""
-    held = []
-    for table in tables:
-        files, folder = _hadoop(spark, f"{path}/{table}")
-        held.append((table, spark.read.parquet(f"{path}/{table}").count() if files.exists(folder) else 0))
-        files.delete(folder, True)
+    """Forgets all kept rules: rows (table, cleared) with what each table held. A second call finds nothing.
+
+    The counters of held back records go with the quarantine.
+    """
+    held = [(t, commits.count(spark, path, t)) for t in tables]
+    commits.commit(spark, path, dict.fromkeys([*tables, *(("q_templates", "q_lines") if "quarantine" in tables else ())]))
     return spark.createDataFrame(held, "table string, cleared long")

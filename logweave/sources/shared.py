@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder, which Spark removes when nothing refers to them."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many tasks as there are cores; a file that can't be split would keep one core busy."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from logweave.operators import gate, reports, tiers
-from logweave.sources import corpus, readers
+from logweave.sources import commits, corpus, readers
 from logweave.streaming import online
 
 NOW = "2026-01-05 00:00:00"
@@ -138,3 +138,93 @@ def test_reports_on_small_tables(spark):
     assert [r["n"] for r in maps.select(reports.note().alias("n")).collect()] == ["Held for review: seen 2 of 8 times", "odd"]
     health = tiers.health(tiers.decide(rows.select("seq", F.lit("CEF:0|a|b|1|1|n|1|").alias("raw")), now()), gate_reason="none").first()
     assert health["families"] == ["cef"] and not health["gate_loaded"]
+
+
+def test_a_batch_that_failed_after_the_sink_leaves_one_copy_and_committed_ones_are_left_alone(spark, tmp_path, monkeypatch):
+    import pytest
+
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    schema = "seq long, family string, mode string"
+    sink = lambda i: lambda df: readers.write_records(df.select("seq", "family", "mode"), out, batch=i)
+    lines = lambda *rows: spark.createDataFrame(rows, "seq long, raw string")
+    first = lines((1, "2025-01-01,INFO,all is well,s"), (2, "2025-01-01,ERROR,all is bad,s"))
+    commit = commits.commit
+    monkeypatch.setattr(commits, "commit", lambda *a: (_ for _ in ()).throw(OSError("crashed")))
+    with pytest.raises(OSError):
+        online.online(first, now(), state, sink(0), 0)
+    assert commits.last_batch(spark, state) is None and commits.read_batches(spark, out, schema).count() == 2
+    monkeypatch.setattr(commits, "commit", commit)
+    for _ in range(2):  # the batch again, then once more after it was committed
+        online.online(first, now(), state, sink(0), 0)
+    online.online(lines((3, "2025-01-01,INFO,again,s"), (4, None)), now(), state, sink(1), 1)
+    assert sorted((r["seq"], r["mode"]) for r in commits.read_batches(spark, out, schema).collect()) == [(1, "Discovery"), (2, "Cached"), (3, "Cached"), (4, "Error")]
+    assert commits.last_batch(spark, state) == 1 and readers.load_state(spark, state, "stats", online.STATS).first()["mined"] == 1
+
+
+def test_a_crash_in_the_swap_leaves_the_old_rules(spark, tmp_path, monkeypatch):
+    import pytest
+
+    path = str(tmp_path)
+    one = spark.createDataFrame([("json", ("json", None, "s", "heuristic"))], online.FAMILIES)
+    readers.save_state(one, path, "families")
+    write = commits.Store.write_once
+    monkeypatch.setattr(commits.Store, "write_once", lambda *a: (_ for _ in ()).throw(OSError("crashed")))
+    with pytest.raises(OSError):
+        readers.save_state(one.withColumn("family", F.lit("csv")), path, "families")
+    assert [r["family"] for r in readers.load_state(spark, path, "families", online.FAMILIES).collect()] == ["json"]
+    monkeypatch.setattr(commits.Store, "write_once", lambda *a: False)
+    with pytest.raises(RuntimeError, match="another"):
+        readers.save_state(one, path, "families")
+    monkeypatch.setattr(commits.Store, "write_once", write)
+    for name in ("csv", "cef", "leef", "ncsa"):
+        readers.save_state(one.withColumn("family", F.lit(name)), path, "families")
+        assert [r["family"] for r in readers.load_state(spark, path, "families", online.FAMILIES).collect()] == [name]
+    assert len(commits.Store(spark, path).names("families")) <= commits.KEPT + 1 and len(commits.Store(spark, path).names("_commits")) == commits.KEPT
+
+
+def test_counters_of_held_back_records_go_on_from_batch_to_batch(spark, tmp_path):
+    novel = lambda texts: texts.select("masked", F.lit(True).alias("novel"), F.lit(0.9).alias("distance"), F.lit("x").alias("family_guess"))
+    lines, got = [(i, f"odd thing number {i % 2}") for i in range(12)], {}
+    for i, (a, b) in enumerate(((0, 3), (3, 7), (7, 12))):
+        batch = spark.createDataFrame(lines[a:b], "seq long, raw string")
+        online.online(batch, now(), str(tmp_path), lambda df: got.update({r["seq"]: (r["mode"], r["quarantine_count"], r["occurrences"]) for r in df.select("seq", "mode", "quarantine_count", "occurrences").collect()}), i, gate=novel, enforce=True, graduate_repeats=5)
+    whole = tiers.decide(spark.createDataFrame(lines, "seq long, raw string"), now(), gate=novel, enforce=True, graduate_repeats=5, quarantine=tiers.Quarantine())
+    want = {r["seq"]: (r["mode"], r["quarantine_count"], r["occurrences"]) for r in whole.collect()}
+    assert got == want and got[6] == ("Quarantined", 7, 4) and got[7][0] == "Discovery" and got[8] == ("Cached", None, None)
+    assert readers.load_state(spark, str(tmp_path), "q_lines", online.STATE).count() == 2
+
+
+def test_providers_are_asked_for_deciding_records_in_a_stream_too(spark, tmp_path):
+    asked, got = [], []
+    provider = lambda line: asked.append(line) or '{"method": "delimiter", "delimiter": "|"}'
+    for i, rows in enumerate(([(1, "a b | c"), (2, "d e | f")], [(3, "g h | i"), (4, '{"a": 1}')])):
+        online.online(spark.createDataFrame(rows, "seq long, raw string"), now(), str(tmp_path), lambda df: got.extend(df.select("seq", "mode", "inferred_by", "llm_error").collect()), i, providers={"one": provider})
+    got = {r["seq"]: r for r in got}
+    assert asked == ["a b | c", '{"a": 1}'] and got[1]["inferred_by"] == got[2]["inferred_by"] == got[3]["inferred_by"] == "llm"
+    assert got[3]["mode"] == "Cached" and got[4]["inferred_by"] == "heuristic" and "lacks" in got[4]["llm_error"] and got[3]["llm_error"] is None
+
+
+def test_totals_sum_what_batches_observe(spark, tmp_path):
+    import time
+
+    source, got = tmp_path / "in", []
+    source.mkdir()
+    for n in range(3):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"seq": 10 * n + i, "raw": "CEF:0|a|b|1|1|n|1|" if i else None}) for i in range(n + 1)))
+    totals = online.Totals()
+    spark.streams.addListener(totals)
+    stream = spark.readStream.schema("seq long, raw string").option("maxFilesPerTrigger", 1).json(str(source))
+    online.run(stream, now(), str(tmp_path / "c"), lambda df, i: got.extend(df.select("seq").collect()), once=True).awaitTermination()
+    for _ in range(50):
+        if totals.sums["lines"] == 6:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(totals)
+    assert dict(totals.sums) == {"lines": 6, "without_text": 3} and len(got) == 6
+
+
+def test_a_full_run_store_keeps_the_first_records_of_the_newest_run(spark):
+    records = spark.createDataFrame([(r, i, "x") for r in (1, 2) for i in range(6)], "id long, seq long, raw string")
+    runs = spark.createDataFrame([(1, "2026-01-01", 10), (2, "2026-01-02", 90)], "id long, at string, bytes long")
+    assert sorted((r["id"], r["seq"]) for r in readers.trimmed_runs(records, runs, 50, 3).collect()) == [(2, 0), (2, 1), (2, 2)]
+    assert readers.trimmed_runs(records, runs, 100, 3).count() == 12
