@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions import fixed
+from logweave.functions import fixed, sql
 from logweave.functions.text import extract, mask_line
 from logweave.functions.timestamps import parse_ts, render
 from logweave.operators import assemble, gate, mining, recency, reports, rules, tiers
@@ -314,6 +314,13 @@ def gate_families(spark, sf_dir):
     return got.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("family_guess") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def sql_functions(spark, sf_dir):
+    """Written in SQL alone, with the engine's functions."""
+    sql.register(spark)
+    _lines(spark, sf_dir).createOrReplaceTempView("log_lines")
+    return spark.sql("select log_event(raw) as event, log_ip(raw) is not null as has_ip, count(distinct log_rule_key(log_mask(raw))) as templates, count(*) as n from log_lines group by all")
+
+
 def gate_split(spark, sf_dir):
     lines = gate.split(_corpus(spark, sf_dir).select(F.col("seq").alias("id"), "label"))
     return lines.select("id", "label", "held_out")
@@ -324,7 +331,7 @@ QUERIES = {
     for f in (
         normalized_records, family_counts, family_severity_counts, fingerprint_features, first_rule, unseen_families, extra_fields, mode_share, family_mode_pivot, run_summary_topk,
         console_counts, facets, search_filter, page_slice, family_summary, precision_recall, per_unknown, mask_templates, event_infer, entity_ip, severity_map, ts_ladder, ts_year_infer,
-        rec_assemble, nth_occurrence, quarantine_decisions, repeated_heads, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, gate_split, gate_families,
+        rec_assemble, nth_occurrence, quarantine_decisions, repeated_heads, quarantine_top, split_lines, batch_limits, rule_keys, newest_runs, props_entries, template_mining, gate_novelty, sql_functions, gate_split, gate_families,
         gate_evaluation, gate_accuracy, corpus_lines, corpus_families, corpus_records, cascade_tiers, cascade_errors, cascade_enforced, tier_stats, health_view, cache_view, run_summary, severity_badges,
     )
 }
@@ -464,6 +471,7 @@ ORACLES["severity_badges"] = f"with {_NORMAL} select seq, case when severity in
 ORACLES["mask_templates"] = f"with {synth.LINES_SQL} select {_MASKED} as template, count(*) as size from lines group by 1"
 _EVENT = " ".join(f"when regexp_matches(raw, '{'' if cased else '(?i)'}{p}') then '{name}'" for p, cased, name in fixed.EVENTS)
 ORACLES["event_infer"] = f"with {synth.LINES_SQL} select seq, case {_EVENT} else 'unknown' end as event from lines"
+ORACLES["sql_functions"] = f"with {synth.LINES_SQL} select case {_EVENT} else 'unknown' end as event, regexp_matches(raw, '{fixed.IPV4}') as has_ip, count(distinct {_MASKED}) as templates, count(*) as n from lines group by all"
 ORACLES["entity_ip"] = f"select doc_id, regexp_extract(coalesce(text, ''), '{fixed.IPV4}', 0) as ip from documents"
 ORACLES["severity_map"] = """select * from (values ('INFO', 'str', 'info'), ('[warn]', 'str', 'warning'), ('Fatal', 'str', 'critical'), ('(err)', 'str', 'error'), ('verbose', 'str', 'unknown'), ('D', 'str', 'debug'),
   ('notice', 'str', 'info'), ('Exception', 'str', 'error'), ('panic', 'str', 'critical'), ('LOG', 'str', 'unknown'), ('0', 'num', 'critical'), ('1', 'num', 'critical'), ('2', 'num', 'critical'), ('3', 'num', 'error'),
