@@ -30,7 +30,7 @@ TRAIN_ROWS = 20_000
 SHORTEST, LONGEST, LONGEST_UNSPACED = 3, 32, 8
 #: Edges that an automaton may have (some 100 MB while it is made); entries of a table of all classes.
 MOST_EDGES, DENSE = 4_000_000, 4_000_000
-BEGIN_BYTES = 1 << 18
+SLICE_BYTES = 1 << 18
 FUZZY_FROM, STEM_FROM = 5, 7
 MIN_WEIGHT, LEAST, LEAST_SHARE, NEAR_WORDS = 3.0, 3, 0.015, 8
 WORD = re.compile(r"[^\W_]+")
@@ -176,7 +176,7 @@ _MARKS = [ord(c) for c in "\"“”«»„"]
 
 def features(col: pa.Array, a: Automaton) -> Iterator[tuple[int, np.ndarray]]:
     """First row and the feature rows of successive slices of texts."""
-    for w in W.slices(col):
+    for w in W.slices(col, limit=SLICE_BYTES):
         raw = w.buf.tobytes()
         texts = [raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(w.text[:-1], w.text[1:])]
         n = len(texts)
@@ -224,7 +224,7 @@ class Beginnings:
 def beginnings(col: pa.Array) -> Iterator[tuple[int, Beginnings]]:
     """First row and the beginnings of successive slices of whole texts, hashed as arrays: SHORTEST to LONGEST letters of a
     word, and 2 to LONGEST_UNSPACED code points from each one of a script without spaces."""
-    for w in W.slices(col, limit=BEGIN_BYTES):
+    for w in W.slices(col, limit=SLICE_BYTES):
         raw = w.buf.tobytes()
         texts = [raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(w.text[:-1], w.text[1:])]
         edge = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
