@@ -17,7 +17,7 @@ from logweave.sources.shared import spread
 EXTRAS = ("http_status", "bytes_sent", "http_path", "user", "pid", "program", "port", "facility", "stream", "thread", "user_database", "n", "latency", "connection_id", "client", "severity_raw", "spt")
 SEVERITY_CASES = ("INFO", "[warn]", "Fatal", "(err)", "verbose", "D", "notice", "Exception", "panic", "LOG")
 TS_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MMM dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss '+0000'", "yyyy-MM-dd HH:mm:ss,'123'", "yyyy-MM-dd'T'HH:mm:ss.'5+05:30'")
-YEAR_CASES = (("Dec 30 10:00:00", "2025-12-30T10:00:00Z"), ("Jan 4 10:00:00", "2026-01-04T10:00:00Z"), ("Feb 29 10:00:00", None), ("count 5 items", None), ("20260913", None), ("10:15:32", "2026-01-01T10:15:32Z"))
+MIDST = "2024-01-15 00:00:00"
 
 
 def _now() -> Column:
@@ -158,8 +158,11 @@ def entity_ip(spark, sf_dir):
 
 
 def severity_map(spark, sf_dir):
-    words = spark.createDataFrame([(w, "str") for w in SEVERITY_CASES] + [(str(i), "num") for i in range(10)], "word string, kind string")
-    return words.select("word", "kind", canonical_severity(F.col("word"), F.col("kind")).alias("severity"))
+    """What becomes of a severity word and of a number, both picked by each event."""
+    events = spread(_read(spark, sf_dir, "events").select("event_id", "user_id"))
+    word = F.element_at(F.array(*map(F.lit, SEVERITY_CASES)), (F.pmod(F.col("event_id"), F.lit(len(SEVERITY_CASES))) + 1).cast("int"))
+    rows = events.select("event_id", F.explode(F.array(F.struct(word.alias("word"), F.lit("str").alias("kind")), F.struct(F.pmod("user_id", F.lit(10)).cast("string").alias("word"), F.lit("num").alias("kind")))).alias("x"))
+    return rows.select("event_id", F.col("x.kind").alias("kind"), canonical_severity(F.col("x.word"), F.col("x.kind")).alias("severity"))
 
 
 def ts_ladder(spark, sf_dir):
@@ -171,8 +174,9 @@ def ts_ladder(spark, sf_dir):
 
 
 def ts_year_infer(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in YEAR_CASES], "text string")
-    return rows.select("text", render(parse_ts(F.col("text"), F.lit("2026-01-05 00:00:00").cast("timestamp"))).alias("iso"))
+    """The events' times without their year, as of a day in their midst: times more than a day ahead are last year's."""
+    events = spread(_read(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").alias("ts")))
+    return events.select("event_id", render(parse_ts(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(MIDST).cast("timestamp"))).alias("iso"))
 
 
 def rec_assemble(spark, sf_dir):
@@ -473,12 +477,13 @@ _EVENT = " ".join(f"when regexp_matches(raw, '{'' if cased else '(?i)'}{p}') the
 ORACLES["event_infer"] = f"with {synth.LINES_SQL} select seq, case {_EVENT} else 'unknown' end as event from lines"
 ORACLES["sql_functions"] = f"with {synth.LINES_SQL} select case {_EVENT} else 'unknown' end as event, regexp_matches(raw, '{fixed.IPV4}') as has_ip, count(distinct {_MASKED}) as templates, count(*) as n from lines group by all"
 ORACLES["entity_ip"] = f"select doc_id, regexp_extract(coalesce(text, ''), '{fixed.IPV4}', 0) as ip from documents"
-ORACLES["severity_map"] = """select * from (values ('INFO', 'str', 'info'), ('[warn]', 'str', 'warning'), ('Fatal', 'str', 'critical'), ('(err)', 'str', 'error'), ('verbose', 'str', 'unknown'), ('D', 'str', 'debug'),
-  ('notice', 'str', 'info'), ('Exception', 'str', 'error'), ('panic', 'str', 'critical'), ('LOG', 'str', 'unknown'), ('0', 'num', 'critical'), ('1', 'num', 'critical'), ('2', 'num', 'critical'), ('3', 'num', 'error'),
-  ('4', 'num', 'warning'), ('5', 'num', 'info'), ('6', 'num', 'info'), ('7', 'num', 'debug'), ('8', 'num', 'unknown'), ('9', 'num', 'unknown')) t(word, kind, severity)"""
+_WORDS = {"INFO": "info", "[warn]": "warning", "Fatal": "critical", "(err)": "error", "verbose": "unknown", "D": "debug", "notice": "info", "Exception": "error", "panic": "critical", "LOG": "unknown"}
+ORACLES["severity_map"] = f"""select event_id, 'str' as kind, ([{", ".join(f"'{_WORDS[w]}'" for w in SEVERITY_CASES)}])[event_id % {len(SEVERITY_CASES)} + 1] as severity from events
+  union all select event_id, 'num', (['critical', 'critical', 'critical', 'error', 'warning', 'info', 'info', 'debug', 'unknown', 'unknown'])[user_id % 10 + 1] from events"""
 ORACLES["ts_ladder"] = """select event_id, layout, case layout when 5 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123000Z' when 6 then strftime(ts - interval 330 minute, '%Y-%m-%dT%H:%M:%S') || '.500000Z'
   else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as iso from events, range(0, 9) r(layout)"""
-ORACLES["ts_year_infer"] = "select * from (values " + ", ".join(f"('{a}', {repr(b) if b else 'null'})" for a, b in YEAR_CASES) + ") t(text, iso)"
+ORACLES["ts_year_infer"] = f"""with t as (select event_id, strftime(ts, '-%m-%dT%H:%M:%SZ') as rest, strptime('2024' || strftime(ts, '-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as here from events)
+select event_id, case when here > timestamp '{MIDST}' + interval 1 day then '2023' else '2024' end || rest as iso from t"""
 ORACLES["rec_assemble"] = """with l as (select event_id // 50 as batch_id, event_id as i, event_id % 5 as k, case event_id % 5 when 0 then 'start ' || event_id when 1 then '  indented ' || event_id
     when 2 then 'open {"k": "}' || event_id || '"' when 3 then '"v": 1}' else 'Caused by: ' || event_id end as line from events),
   s as (select *, sum(case when k in (0, 2) or f then 1 else 0 end) over (partition by batch_id order by i) as rec_no from (select *, row_number() over (partition by batch_id order by i) = 1 as f from l))

@@ -196,3 +196,14 @@ def test_denied_and_failing_providers_leave_the_heuristic_rule(spark):
     assert len(asked) == 1 and all(r["inferred_by"] == "heuristic" and r["llm_error"] for r in got)
     got = discovery.discover(firsts, {"one": denies, "two": lambda line: '{"method": "compositional"}'})
     assert all(r["inferred_by"] == "llm" and r["llm_error"] is None for r in got)
+
+
+def test_years_of_times_without_one(spark):
+    from pyspark.sql import functions as F
+
+    from logweave.functions.timestamps import parse_ts, render
+
+    cases = {"Dec 30 10:00:00": "2025-12-30T10:00:00Z", "Jan 4 10:00:00": "2026-01-04T10:00:00Z", "Feb 29 10:00:00": None, "count 5 items": None, "20260913": None, "10:15:32": "2026-01-01T10:15:32Z"}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = rows.select("text", render(parse_ts(F.col("text"), F.lit("2026-01-05 00:00:00").cast("timestamp"))).alias("iso")).collect()
+    assert {r["text"]: r["iso"] for r in got} == cases
