@@ -32,7 +32,7 @@ from logweave.llm.graph import components, cut
 
 CELL, PART, BLOCK, BUCKET_ROWS = 96, 64, 256, 4096
 TABLES, BITS = 4, 24
-AUDIT, RECALL = 256, 0.99
+AUDIT, RECALL, SETTLED = 256, 0.99, 0.001
 SLACK = 1e-6  # radians
 ASK = 4096  # vectors at a time when all pairs are asked for
 log = logging.getLogger(__name__)
@@ -223,8 +223,8 @@ def every_pair(vectors: DataFrame, threshold: float) -> DataFrame:
 def search(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, seed: int = 1, max_cycles: int = 3, compared=None) -> tuple[DataFrame, DataFrame, float]:
     """Links (a, b) found by NN-descent, components (node, root) of them, and the recall of planted probes.
 
-    Probes take part in the search and are then left out. A round is the last if it linked no vector for the first
-    time; a cycle, if enough probes are linked into their vector's component. Further cycles begin with
+    Probes take part in the search and are then left out. A round is the last if it linked hardly a
+    vector (SETTLED of the linked ones) for the first time; a cycle, if enough probes are linked into their vector's component. Further cycles begin with
     new cells and the lists held. compared: an accumulator of the pairs compared.
     """
     compare = _compare if compared is None else _counting(compared)
@@ -238,7 +238,7 @@ def search(vectors: DataFrame, threshold: float, k: int = 8, rounds: int = 4, se
         for turn in range(rounds):
             lists = _round(everyone, lists, threshold, k, at + 100 + turn, compare)
             before, linked = linked, lists.where(F.col("sim") >= threshold).select("u").distinct().count()
-            if linked == before:
+            if linked - before <= SETTLED * linked:
                 break
         edges = cut(lists.where((F.col("sim") >= threshold) & (F.col("u") >= 0) & (F.col("v") >= 0)).select(F.col("u").alias("a"), F.col("v").alias("b")))
         parts = edges.select(F.col("a").alias("node"), F.col("a").alias("root")) if edges.isEmpty() else components(edges)
