@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed
-from logweave.functions.text import SEVERITY_PREFIX, let, matches, strip
+from logweave.functions.text import SEVERITY_PREFIX, WHITE, matches, strip
 
 #: Magnitudes of epochs in seconds, milli-, micro- and nanoseconds: (digits, low, high, microseconds per unit as a fraction).
 EPOCHS = ((10, 10**8, 41 * 10**8, 10**6, 1), (13, 10**11, 41 * 10**11, 10**3, 1), (16, 10**14, 41 * 10**14, 1, 1), (19, 10**17, 41 * 10**17, 1, 10**3))
@@ -30,7 +30,10 @@ _REWRITES = (
     (r"(:\d{2}(?:\.\d+)?(?:[+-]\d{2}:\d{2})?)\s+[A-Z]{3,4}$", "$1"),
     (r"[T\s]+(\d{1,2}:)", " $1"),
 )
+_NAMED = slice(2, 6)  # those with the name of a month
 _CANONICAL = r"^(?:Y|\d{4})-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[+-]\d{2}:\d{2})?)?$"
+#: Read by a cast as it stands.
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?\z"
 
 
 def from_epoch(v: Column) -> Column:
@@ -41,43 +44,69 @@ def from_epoch(v: Column) -> Column:
     return out
 
 
-def _from_digits(s: Column) -> Column:
+# The ladder is one SQL expression, parsed once a use: built of Columns it takes hundreds of calls to the JVM each time.
+
+
+def _raw(pattern: str) -> str:
+    """The pattern as an SQL literal without escapes."""
+    quote = "'" if '"' in pattern else '"'
+    return f"r{quote}{pattern}{quote}"
+
+
+def _bare(s: str) -> str:
+    return f"""btrim(btrim({s}, '{WHITE}'), '[]"\\'()')"""
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _rewritten(s: str, rewrites) -> str:
+    for pattern, new in rewrites:
+        s = f"regexp_replace({s}, {_raw(pattern)}, {_raw(new)})"
+    return s
+
+
+def _from_digits(s: str) -> str:
     """Of a digit string, by its length."""
-    v = s.try_cast("long")
-    out = F.lit(None).cast("timestamp")
-    for digits, low, high, by, over in EPOCHS:
-        micros = ((v - F.pmod(v, F.lit(over))) / over * by).cast("long")
-        out = F.when((F.length(s) == digits) & v.between(low, high), F.timestamp_micros(micros)).otherwise(out)
-    return out
+    by_length = " ".join(f"when length({s}) = {digits} and v between {low} and {high} then timestamp_micros(cast((v - pmod(v, {over})) / {over} * {by} as bigint))" for digits, low, high, by, over in EPOCHS)
+    return _bind(f"try_cast({s} as bigint)", "v", f"case {by_length} end")
 
 
-def canonical(value: Column) -> Column:
-    """The text with its layout brought to year-month-day time zone, months as numbers."""
-    c = F.btrim(strip(value), F.lit("""[]"'()"""))
-    for pattern, new in _REWRITES:
-        c = F.regexp_replace(c, pattern, new)
-    c = F.lower(F.replace(c, F.lit("Y-"), F.lit("0-")))
+def _canonical(s: str) -> str:
+    """The text with its layout brought to year-month-day time zone, months as numbers; layouts with a month's name are tried where there is one."""
+    named = f"c rlike {_raw('(?i)' + '|'.join(fixed.MONTHS))}"
+    start, middle = _rewritten(_bare(s), _REWRITES[: _NAMED.start]), _rewritten("c", _REWRITES[_NAMED])
+    dated = _bind(start, "c", f"case when {named} then {middle} else c end")
+    lowered = f"lower(regexp_replace({_rewritten(dated, _REWRITES[_NAMED.stop :])}, '^Y-', '0-'))"
+    numbered = "c"
     for i, name in enumerate(fixed.MONTHS, 1):
-        c = F.replace(c, F.lit(f"-{name}-"), F.lit(f"-{i}-"))
-    return F.regexp_replace(c, "^0-", "Y-")
+        numbered = f"replace({numbered}, '-{name}-', '-{i}-')"
+    return f"regexp_replace({_bind(lowered, 'c', f'case when {named} then {numbered} else c end')}, '^0-', 'Y-')"
 
 
-def _dated(c: Column, now: Column) -> Column:
-    """Of a canonical text; a missing year is that of now, or the one before if that lies more than a day ahead."""
-    in_year = lambda y: F.concat(y.cast("string"), F.substring(c, 2, F.length(c))).try_cast("timestamp")
-    yearless = let(in_year(F.year(now)), lambda t: F.when(t > now + F.expr("interval 1 day"), in_year(F.year(now) - 1)).otherwise(t))
-    return F.when(~c.rlike(_CANONICAL), F.lit(None)).when(c.startswith("Y"), yearless).otherwise(c.try_cast("timestamp"))
+def _dated(c: str) -> str:
+    """Of a canonical text; a missing year is that of r.now, or the one before if that lies more than a day ahead."""
+    in_year = lambda y: f"try_cast(concat(cast({y} as string), substring({c}, 2)) as timestamp)"
+    yearless = _bind(in_year("year(r.now)"), "t", f"case when t > r.now + interval 1 day then {in_year('year(r.now) - 1')} else t end")
+    return f"case when not {c} rlike {_raw(_CANONICAL)} then null when startswith({c}, 'Y') then {yearless} else try_cast({c} as timestamp) end"
 
 
-def parse_ts(value: Column, now: Column) -> Column:
-    """TIMESTAMP of a text, null if it has none of the known layouts. now settles missing years and is always passed in."""
+def _ladder() -> str:
+    """A lambda over r, a struct of v and now."""
+    hint = rf"s rlike r'\d' and (s rlike r'[-/:T\s]' or s rlike '(?i)(?:{'|'.join(fixed.MONTHS)})')"
+    fraction = "case when try_cast(s as double) between 1e8D and 4.1e9D then timestamp_micros(cast(round(try_cast(s as double) * 1e6D) as bigint)) end"
+    steps = rf"when s rlike {_raw(_ISO)} then try_cast(s as timestamp) when s rlike '^[0-9]+$' then {_from_digits('s')} when s rlike r'^[0-9]{{9,11}}\.[0-9]+$' then {fraction} when {hint} then {_bind(_canonical('s'), 'd', _dated('d'))}"
+    return f"r -> {_bind(_bare('r.v'), 's', f'case {steps} end')}"
 
-    def read(s: Column) -> Column:
-        fraction = F.when(s.try_cast("double").between(1e8, 4.1e9), F.timestamp_micros(F.round(s.try_cast("double") * 1e6).cast("long")))
-        hint = s.rlike(r"\d") & (s.rlike(r"[-/:T\s]") | s.rlike(r"(?i)(?:" + "|".join(fixed.MONTHS) + ")"))
-        return F.when(s.rlike("^[0-9]+$"), _from_digits(s)).when(s.rlike(r"^[0-9]{9,11}\.[0-9]+$"), fraction).when(hint, let(canonical(s), lambda c: _dated(c, now)))
 
-    return let(F.btrim(strip(value), F.lit("""[]"'()""")), read)
+_LADDER = _ladder()
+
+
+def parse_ts(value: Column, now: Column) -> Column:
+    """TIMESTAMP of a text, null if it has none of the known layouts. now settles missing years and is always passed in."""
+    one = F.array(F.struct(value.alias("v"), now.alias("now")))
+    return F.get(F.call_function("transform", one, F.expr(_LADDER)), F.lit(0))
 
 
 def render(ts: Column) -> Column:

@@ -169,7 +169,7 @@ def ts_ladder(spark, sf_dir):
     ts = F.date_trunc("second", "ts")
     made = [F.struct(F.lit(i).alias("layout"), F.date_format(ts, p).alias("text")) for i, p in enumerate(TS_LAYOUTS)]
     made += [F.struct(F.lit(len(made)).alias("layout"), F.unix_seconds(ts).cast("string").alias("text")), F.struct(F.lit(len(made) + 1).alias("layout"), F.unix_millis(ts).cast("string").alias("text"))]
-    rows = _read(spark, sf_dir, "events").select("event_id", F.explode(F.array(*made)).alias("x"))
+    rows = spread(_read(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", F.explode(F.array(*made)).alias("x"))
     return rows.select("event_id", F.col("x.layout").alias("layout"), render(parse_ts(F.col("x.text"), _now())).alias("iso"))
 
 

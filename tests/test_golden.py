@@ -89,6 +89,7 @@ def test_timestamps(spark):
         "2025-09-13T10:00:00": "2025-09-13T10:00:00Z", "2025-09-13T10:00:00+05:30": "2025-09-13T04:30:00Z", "2025-09-13 10:00:00.250": "2025-09-13T10:00:00.250000Z", "13/Sep/2025:10:00:00 -0100": "2025-09-13T11:00:00Z",
         "Dec 30 10:00:00": "2025-12-30T10:00:00Z", "Jan 4 10:00:00": "2026-01-04T10:00:00Z", "Feb 29 10:00:00": None, "12 users connected": None, "10:15:32 ERROR x": None, "20250913": None, "": None,
         "1700000000": "2023-11-14T22:13:20Z", "1700000000123": "2023-11-14T22:13:20.123000Z", "1700000000123456": "2023-11-14T22:13:20.123456Z", "1700000000123456789": "2023-11-14T22:13:20.123456Z", "1700000000.5": "2023-11-14T22:13:20.500000Z",
+        "02 May 2025 10:00:00": "2025-05-02T10:00:00Z", "MAY 2 2025 10:00": "2025-05-02T10:00:00Z", '"2025-09-13T10:00:00Z\n"': "2025-09-13T10:00:00Z", "2025-13-13T10:00:00Z": None,
         '{"$date":"2025-03-01T10:00:00Z"}': "2025-03-01T10:00:00Z", "2025-09-13 10:00:00,123": "2025-09-13T10:00:00.123000Z",
     }
     rows = spark.createDataFrame(list(enumerate(given)), "i int, s string").select("i", render(parse_ts(F.col("s"), now())).alias("iso")).orderBy("i").collect()
