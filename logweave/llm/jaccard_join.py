@@ -12,6 +12,11 @@ Of the smallest documents of its signatures, a document is first verified with t
 members of one signature that are still in different components are then compared with each other: first by size and
 by the sketch folded to 256 bits (exact bounds, some machine instructions a pair), then by the whole sketch, then by
 the sets. No pair of one component is made, and no link between components is lost.
+
+A signature in which more than HOT_PAIRS pairs would be compared (a licence's lines in documents that share nothing
+else) is not compared so. Its documents meet by rare shingles: of two similar sets, each has one of the other's among
+its n - ceil(t n) + 1 rarest shingles, in whatever order they are ranked, here by how many of those documents hold
+them. Shingles held once meet nothing; members of one met often are dealt out to blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import words as W
@@ -30,6 +35,8 @@ from logweave.llm.graph import components, cut
 
 RATIO = 1.5
 SKETCH = 512  # bits at least, a power of two
+HOT_PAIRS = 1 << 25  # compared in one signature; some seconds of one task
+BLOCK = 1024  # members of a shingle that one task pairs with all the others
 
 
 class Bands:
@@ -160,6 +167,38 @@ def _sign(size: int, num: int, den: int):
     return run
 
 
+def _prefix_sets(size: int):
+    """Every shingle of every set, with the set's size and a hash that tells apart the sets of repeated ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id")
+            for w in W.slices(b.column("text"), lower=True):
+                sets = list(shingle_sets(w, size))
+                n = np.array([len(s) for s in sets], np.int64)
+                f1 = np.array([W.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                at = np.repeat(np.arange(len(sets)), n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + w.row)), pa.array(f1[at]), pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "f1", "n", "gram"])
+
+    return run
+
+
+def _rare_meetings(docs: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the documents (doc_id, part) of hot signatures, of different parts, that share a shingle among their rarest; repeats stay."""
+    sets = cut(docs.join(hot, "doc_id", "left_semi").mapInArrow(_prefix_sets(size), "doc_id long, f1 long, n long, gram long"))
+    held = sets.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc_id", "f1").orderBy("df", "gram")
+    ranked = sets.join(held, "gram").withColumn("nth", F.row_number().over(order))
+    rare = ranked.where((F.col("df") > 1) & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1))
+    rare = cut(rare.select("gram", "doc_id").distinct().join(hot, "doc_id"))
+    blocks = rare.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1")
+    rare = rare.join(blocks.select("gram", "blocks"), "gram")
+    x = rare.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
+    y = rare.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")))
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
 def _verify(size: int, num: int, den: int):
     """Keeps the pairs of texts that are similar, on their whole sets."""
 
@@ -230,14 +269,18 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFram
     parts = components(first)
     placed = groups.join(parts, groups["doc_id"] == parts["node"], "left").select("sig", "doc_id", F.coalesce("root", "doc_id").alias("part"))
     split = placed.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("sig")
-    open_ = cut(placed.join(split, "sig").join(heads, "doc_id"))
+    crossing = cut(placed.join(split, "sig"))
+    # Pairs to compare in a signature: all of its members less those of one part.
+    sizes = crossing.groupBy("sig", "part").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    hot = cut(sizes.where((F.col("n") * F.col("n") - F.col("inside")) / 2 > HOT_PAIRS).select("sig"))
+    few = hot.isEmpty()
+    open_ = cut((crossing if few else crossing.join(hot, "sig", "left_anti")).join(heads, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _possible(num, den, "x", "y"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _possible(num, den, "x", "y"))
+    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    if not few:
+        across = across.unionByName(_rare_meetings(docs, cut(crossing.join(hot, "sig", "left_semi").select("doc_id", "part").distinct()), size, num, den))
+    across = across.distinct().join(star, ["a", "b"], "left_anti")
     links = first.unionByName(verified(cut(across)))
     roots = components(links)
     named = rep.join(roots, rep["class_id"] == roots["node"], "left").select("doc_id", "class_id", F.coalesce("root", "class_id").alias("component_id")).dropDuplicates(["doc_id"])

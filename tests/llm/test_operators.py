@@ -64,6 +64,32 @@ def test_jaccard_join_links_what_brute_force_links(spark, texts):
     assert [r["doc_id"] for r in kept] == [i for i in range(len(texts)) if roots[i] == i]
 
 
+def test_jaccard_join_of_hot_signatures(spark, texts, monkeypatch):
+    """Every signature treated as a hot one, in blocks of two, gives what comparing its pairs gives; unlike documents under one licence text meet seldom."""
+    columns = ("doc_id", "n_shingles", "component_id")
+    near = [" ".join(w for i, w in enumerate(texts[k].split()) if i != j) for k in range(12) for j in (3, 40)]
+    docs = table(spark, texts + near)
+    expected = [tuple(r[c] for c in columns) for r in rows_of(jaccard_join.join(docs))]
+    seen, meetings = [], jaccard_join._rare_meetings
+
+    def counted(*a):
+        got = meetings(*a)
+        seen.append((a[1].count(), got.count()))
+        return got
+
+    monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "_rare_meetings", counted)
+    assert [tuple(r[c] for c in columns) for r in rows_of(jaccard_join.join(docs))] == expected
+    licence = " ".join(f"clause{i}" for i in range(60))
+    r = random.Random(9)
+    unlike = [f"{licence} {' '.join(f'u{r.random()}' for _ in range(40))}" for _ in range(300)] + ["\u00e9 " * 3 + licence]
+    seen.clear()
+    got = rows_of(jaccard_join.join(table(spark, [*unlike, unlike[7] + " tail"])))
+    assert [x["component_id"] for x in got] == [*range(301), 7]
+    assert seen and seen[0][0] > 200 and seen[0][1] < 3000  # of some 45,000 pairs
+
+
 def test_substring_dedup_removes_what_brute_force_removes(spark, texts):
     seen, expected = {}, []
     words = [WORD.findall(t or "") for t in texts]
