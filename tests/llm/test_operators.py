@@ -166,6 +166,16 @@ def test_urls_follow_the_longest_rule(spark):
     assert [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == expected
 
 
+def test_url_rules_are_the_contracts(spark):
+    """Block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    given = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://x.net/de/9": ("net/de/", "allow"), "http://example.net/de/9": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://a.example.net/de/81?x": ("example.net/de/8", "block"), "http://a.org/es/x": ("org/es/", "block"), "http://z.io/de/8": (None, "allow"),
+    }
+    got = rows_of(urls.filter_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")), "page_id")
+    assert [(r["rule"], r["verdict"]) for r in got] == list(given.values())
+
+
 def test_urls_by_shard_equal_urls_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(urls, "KEYS_PER_SHARD", 40)
     r = random.Random(2)
