@@ -43,6 +43,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert ordered(got.columns, [tuple(r) for r in got.collect()]) == ordered(columns, want.fetchall())
 
 
+def test_newest_runs_of_any_size_equal_their_sql(spark, tmp_path):
+    """Three days of 2 MB each are more than a store of runs keeps, but the query has no such limit."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(80).select(F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 4 as int), cast(id div 4 as int))").alias("ts"), F.repeat(F.lit("x"), 100_000).alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["newest_runs"]).fetchall()
+    assert sorted(map(tuple, catalog.newest_runs(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 3
+
+
 def test_templates_are_mined_as_line_by_line(spark):
     from logweave.operators import mining
 
