@@ -108,3 +108,28 @@ def test_classifier_is_a_plain_logistic_fit_and_is_saved_whole(spark, tmp_path):
         w -= np.linalg.lstsq(hess, grad.ravel(), rcond=None)[0].reshape(3, d + 1)
     assert np.abs(p - np.array([g["probability"].toArray()[:3] for g in got])).max() < 1e-6
     assert gate.predict(model, df).where("family_guess = label").count() >= 70
+
+
+def test_neighbours_by_blocks_are_those_of_all_pairs_and_no_pairs_are_shuffled(spark, tables, monkeypatch):
+    """Blocks smaller than the tables, ties, and copies; only the nearest of each block leave their task."""
+    query, known = tables
+    known = known.unionByName(known.where("id < 40").withColumn("id", F.col("id") + 10_000))  # equal vectors tie
+    whole = sorted(map(tuple, gate.nearest(query, known).collect()))
+    monkeypatch.setattr(gate, "KNOWN_ROWS", 150)
+    monkeypatch.setattr(gate, "QUERY_ROWS", 50)
+    monkeypatch.setattr(gate, "CELLS", 100_000)
+    assert sorted(map(tuple, gate.nearest(query, known).collect())) == whole
+    place = {r["term"]: i for i, r in enumerate(known.select("term").distinct().collect())}
+    places = gate._placed(known.select("term").distinct())
+    q, x = gate._packed(query, places), gate._packed(known, places)
+    pairs = gate._products(q, x, len(place), 3).count()
+    assert pairs <= q.count() * 3 * -(-x.count() // 150)
+
+
+def test_a_gate_of_counted_lines_is_that_of_the_lines(spark):
+    lines = spark.createDataFrame([("user login ok", "a")] * 4 + [("user login ok", "b")] * 4 + [("disk full", "b"), ("disk full", None), ("link down", "c")] * 2, "text string, label string")
+    counted = lines.groupBy("text", "label").agg(F.count("*").alias("copies"))
+    asked = spark.createDataFrame([("user login bad",), ("disk link",), ("zzz",)], "text string")
+    one, other = gate.Novelty(lines, lines), gate.Novelty(counted, counted, copies=F.col("copies"))
+    assert one.limit == other.limit and sorted(map(str, one.score(asked).collect())) == sorted(map(str, other.score(asked).collect()))
+    assert {r["text"]: r["label"] for r in one.known.collect()} == {"user login ok": "a", "disk full": "b", "link down": "c"}
