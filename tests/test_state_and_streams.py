@@ -228,3 +228,22 @@ def test_a_full_run_store_keeps_the_first_records_of_the_newest_run(spark):
     runs = spark.createDataFrame([(1, "2026-01-01", 10), (2, "2026-01-02", 90)], "id long, at string, bytes long")
     assert sorted((r["id"], r["seq"]) for r in readers.trimmed_runs(records, runs, 50, 3).collect()) == [(2, 0), (2, 1), (2, 2)]
     assert readers.trimmed_runs(records, runs, 100, 3).count() == 12
+
+
+def test_a_file_of_one_row_group_is_spread_over_all_tasks(spark, tmp_path, monkeypatch):
+    from logweave.sources import shared
+
+    spark.range(40_000).coalesce(1).write.option("parquet.block.size", 1 << 30).parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(shared, "TASK_ROWS", 2000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = spark.read.parquet(f"{tmp_path}/t")
+        sizes = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert scan.rdd.getNumPartitions() >= 8 and len(sizes(scan)) == 1  # many splits, one with rows
+        got = sizes(shared.spread(scan))
+        assert sum(got) == 40_000 and len(got) == 20 and max(got) <= 2200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
