@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm import embedding_dedup, jaccard_join, merkle, mixing, pii, segmentation, sharding, substring_dedup, toxicity, urls
+from logweave.llm import embedding_dedup, jaccard_join, merkle, mixing, pii, registry, segmentation, sharding, substring_dedup, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -524,3 +524,11 @@ def test_clashing_columns_and_empty_tables(spark, texts):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.link(vectors).count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_segmentation_query_returns_the_ids(spark, tmp_path):
+    table(spark, ["some words to cut", "", None, "\u6f22\u5b57 \U0001f600"]).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in rows_of(registry.op5_sentencepiece(spark, str(tmp_path))):
+        assert r["ids"] == r["samples"][0]["ids"]
+        for x in r["samples"]:
+            assert len(x["ids"]) == x["n_ids"] and hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() == x["ids_sha256"]
