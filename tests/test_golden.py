@@ -208,3 +208,18 @@ def test_years_of_times_without_one(spark):
     rows = spark.createDataFrame([(t,) for t in cases], "text string")
     got = rows.select("text", render(parse_ts(F.col("text"), F.lit("2026-01-05 00:00:00").cast("timestamp"))).alias("iso")).collect()
     assert {r["text"]: r["iso"] for r in got} == cases
+
+
+def test_bound_values_are_no_elements_of_arrays(spark):
+    """An element of a transformed array asks for its type at every row, through all that is nested in it."""
+    rows = spark.createDataFrame([("2024-05-01 10:00:00 INFO a=1",)], "raw string").withColumns({"method": F.lit("compositional"), "delimiter": F.lit(None).cast("string")})
+    plan = normalize(parse(rows, now()), now())._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and "get(transform(" not in plan and "array_position(_" not in plan
+
+
+def test_a_time_that_is_found_ends_the_search(spark):
+    """first_place() asks nothing after the first hit: a later item that would raise is not met."""
+    from logweave.functions.text import first_place
+
+    got = spark.sql("select array('x', 'hit', 'raise') as a").select(first_place(F.col("a"), lambda x, _: F.when(x == "raise", F.raise_error(F.lit("asked"))).otherwise(x == "hit")).alias("at"))
+    assert got.first()["at"] == 1
