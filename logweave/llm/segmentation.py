@@ -48,6 +48,10 @@ class Vocabulary:
     child: np.ndarray
     ends: np.ndarray
 
+    def __post_init__(self):
+        self.size = np.array(list(map(len, self.piece)), np.int64)
+        self.at, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(self.piece), np.uint8)
+
     def step(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
         """Child of each node by a code point; -1 where there is none."""
         key = (node.astype(np.int64) << 21) | point
@@ -131,23 +135,25 @@ class Lattices:
         lone = np.flatnonzero(alone)
         byte = np.where(points[lone] < 128, v.byte[np.minimum(points[lone], 127)], -1).astype(np.int32)
         src, dst, piece = np.concatenate([*src, lone]), np.concatenate([*dst, lone + 1]), np.concatenate([*piece, byte])
-        score = np.where(piece >= 0, v.logp[piece], 3 * v.logp.min())
-        # Edges by source, those nearest to the end of their words first, so that sums run backwards.
+        order = np.argsort(src, kind="stable")
+        src, self.to, self.piece = src[order], dst[order], piece[order]
+        by_source = np.where(self.piece >= 0, v.logp[self.piece], 3 * v.logp.min())
+        # Edges by source, those nearest to the end of their words first, so that sums run backwards; short numbers are sorted by counting.
         left = end - np.arange(n)
-        order = np.lexsort((src, left[src]))
-        s, t, score = src[order], dst[order], score[order]
+        key = left[src]
+        order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+        after = np.where(self.to < end[src], self.to, n)  # beta[n] stays 0: nothing follows the end of a word
+        s, t, score = src[order], after[order], by_source[order]
         beta = np.zeros(n + 1)
         reach = left[s]
         cut = np.concatenate((np.flatnonzero(np.diff(reach, prepend=-1)), [len(s)]))
         for a, z in zip(cut[:-1], cut[1:]):
-            x = score[a:z] + np.where(t[a:z] < end[s[a:z]], beta[np.minimum(t[a:z], n)], 0.0)
+            x = score[a:z] + beta[t[a:z]]
             g = np.flatnonzero(np.diff(s[a:z], prepend=-1))
             top = np.maximum.reduceat(x, g)
             beta[s[a:z][g]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(g, z - a)))), g))
-        order = np.argsort(src, kind="stable")
-        s, self.to, self.piece = src[order], dst[order], piece[order]
-        score = np.where(self.piece >= 0, v.logp[self.piece], 3 * v.logp.min())
-        self.p = np.exp(score + np.where(self.to < end[s], beta[np.minimum(self.to, n)], 0.0) - beta[s])
+        s = src
+        self.p = np.exp(by_source + beta[after] - beta[s])
         self.first = np.searchsorted(s, np.arange(n + 1))
         run = np.cumsum(self.p)
         self.run = run - np.repeat(np.concatenate(([0.0], run))[self.first[:-1]], np.diff(self.first))
@@ -303,7 +309,10 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
 
 def decode_bytes(v: Vocabulary, ids) -> bytes:
     """The UTF-8 text of a sequence of ids; the space before the first word goes."""
-    return b"".join(map(v.piece.__getitem__, ids))[1:]
+    ids = np.asarray(ids, np.int64)
+    size = v.size[ids]
+    run = np.cumsum(size)
+    return v.flat[np.repeat(v.at[ids] - run + size, size) + np.arange(run[-1] if len(run) else 0)].tobytes()[1:]
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -368,7 +377,7 @@ def _encode(shared: Broadcast, k: int, with_ids: bool):
                 cols, edge, first = [[] for _ in _SAMPLE], [0], []
                 for t, got in zip(parts, encode_texts(v, [t.decode("utf-8", "replace") for t in parts], keys, k)):
                     for i, lp, g, q in got:
-                        for c, x in zip(cols, (len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), lp, g, q, decode_bytes(v, i.tolist()) == t, i.astype(np.int32) if with_ids else None)):
+                        for c, x in zip(cols, (len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), lp, g, q, decode_bytes(v, i) == t, i.astype(np.int32) if with_ids else None)):
                             c.append(x)
                     edge.append(len(cols[0]))
                     first.append(got[0][0].astype(np.int32) if with_ids else None)

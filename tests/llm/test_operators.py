@@ -532,3 +532,10 @@ def test_segmentation_query_returns_the_ids(spark, tmp_path):
         assert r["ids"] == r["samples"][0]["ids"]
         for x in r["samples"]:
             assert len(x["ids"]) == x["n_ids"] and hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() == x["ids_sha256"]
+
+
+def test_sentencepiece_decodes_by_the_table_of_pieces():
+    v = segmentation.vocabulary()
+    ids = random.Random(3).choices(range(len(v.piece)), k=5000)
+    assert v.flat.tobytes() == b"".join(v.piece) and segmentation.decode_bytes(v, ids) == b"".join(v.piece[i] for i in ids)[1:]
+    assert segmentation.decode_bytes(v, []) == b""
