@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logweave.functions.quantiles import exact_quantile
-from logweave.operators import gate
+from logweave.operators import gate, reports, tiers
+from logweave.plans import catalog
 
 
 def vectors(spark, n, seed, first=0):
@@ -133,3 +134,24 @@ def test_a_gate_of_counted_lines_is_that_of_the_lines(spark):
     one, other = gate.Novelty(lines, lines), gate.Novelty(counted, counted, copies=F.col("copies"))
     assert one.limit == other.limit and sorted(map(str, one.score(asked).collect())) == sorted(map(str, other.score(asked).collect()))
     assert {r["text"]: r["label"] for r in one.known.collect()} == {"user login ok": "a", "disk full": "b", "link down": "c"}
+
+
+def test_texts_are_taken_apart_by_all_cores(spark):
+    """However few bytes they are: by bytes alone one task had all n-grams."""
+    lines = spark.range(200).select("id", F.concat(F.lit("job "), "id", F.lit(" of the queue is done")).alias("text"))
+    assert gate.tfidf(lines, gate.vocabulary(lines)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["per_unknown", "precision_recall", "run_summary"])
+def test_lines_the_gate_is_asked_about_are_not_made_again_by_what_reads_its_results(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" not in plan
+
+
+def test_reports_of_counted_rows_are_those_of_the_rows(spark):
+    """Null guesses are left out of a mean, with their copies."""
+    rows = spark.createDataFrame([("a", "a", True, False, 3), ("a", None, True, True, 2), ("b", "a", True, False, 4), ("x", "b", False, True, 5), ("x", None, False, False, 1)], "family string, gate_family string, known boolean, gate_novel boolean, copies int")
+    lines = rows.select("*", F.explode(F.expr("sequence(1, copies)")).alias("i"))
+    for of in (lambda r, n: reports.precision_recall(r, ~F.col("known"), n), tiers.accuracy):
+        assert of(rows, F.col("copies")).first() == of(lines, None).first()
+    assert tiers.accuracy(rows, F.col("copies")).first()["accuracy"] == 3 / 12 and reports.precision_recall(rows.limit(0), ~F.col("known"), F.col("copies")).first() == (None, None, None)
