@@ -10,6 +10,8 @@ from logweave.functions.timestamps import from_epoch, parse_ts, render
 from logweave.operators import assemble, discovery, rules, tiers
 from logweave.operators.normalize import normalize
 from logweave.operators.parse import parse
+from logweave.plans import catalog
+from logweave.sources import readers
 
 NOW = "2026-01-05 00:00:00"
 
@@ -223,3 +225,17 @@ def test_a_time_that_is_found_ends_the_search(spark):
 
     got = spark.sql("select array('x', 'hit', 'raise') as a").select(first_place(F.col("a"), lambda x, _: F.when(x == "raise", F.raise_error(F.lit("asked"))).otherwise(x == "hit")).alias("at"))
     assert got.first()["at"] == 1
+
+
+def test_templates_are_asked_of_deciding_records_only(spark):
+    """And so the records are neither masked nor joined with the stored templates."""
+    rows = spark.createDataFrame([(i, "CEF:0|Acme|IDS|1.0|100|seen|3|spt=1" if i % 2 else "plain words") for i in range(20)], "seq long, raw string")
+    stored = spark.createDataFrame([("plain words", ("compositional", None, "kept", "llm"))], f"template string, rule {tiers.RULE}").select(readers.rule_key("template").alias("key"), "rule")
+    template = F.when(F.col("seq") < 2, F.col("raw")).otherwise(F.raise_error(F.lit("asked for")))
+    got = sorted(tiers.decide(rows, now(), templates=stored, template=template).select("seq", "tier", "template", "rule.signature").collect())
+    assert got[0] == (0, "template", "plain words", "kept") and got[1][1:3] == ("discovery", rows.collect()[1]["raw"])
+    assert [r["tier"] for r in got[2:]] == ["fingerprint", "family"] * 9
+
+
+def test_lines_of_stored_rules_are_made_once(spark):
+    assert "Generate inline" not in catalog.cascade_tiers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
