@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from math import exp, inf, log
 from pathlib import Path
 
@@ -39,32 +40,57 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Vocabulary:
-    """piece: bytes of each id; logp of each id; byte: id of each byte; a hash table of the trie's edges and each node's piece."""
+    """piece: bytes of each id; logp of each id; byte: id of each byte; the trie, whose child by class c of node x is base[x] + c if that slot's parent is x; kind: class of each code point (0: in no piece); ends: piece that ends at a node, else -1."""
 
     piece: list[bytes]
     logp: np.ndarray
     byte: np.ndarray
-    keys: np.ndarray
-    child: np.ndarray
+    kind: np.ndarray
+    base: np.ndarray
+    parent: np.ndarray
     ends: np.ndarray
 
     def __post_init__(self):
-        self.size = np.array(list(map(len, self.piece)), np.int64)
-        self.at, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(self.piece), np.uint8)
-
-    def step(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
-        """Child of each node by a code point; -1 where there is none."""
-        key = (node.astype(np.int64) << 21) | point
-        slot = ((key.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        out = np.full(len(node), -1, np.int32)
-        todo = np.arange(len(node))
-        while len(todo):
-            there = self.keys[slot]
-            hit = there == key
-            out[todo[hit]] = self.child[slot[hit]]
-            go = ~hit & (there >= 0)
-            todo, key, slot = todo[go], key[go], (slot[go] + 1) & ((1 << _SLOT_BITS) - 1)
-        return out
+        self.size = np.array(list(map(len, self.piece)), np.int32)
+        self.at, self.flat = np.cumsum(self.size, dtype=np.int32) - self.size, np.frombuffer(b"".join(self.piece), np.uint8)
+        self.score = np.append(self.logp, 3 * self.logp.min())  # the last, by -1: a code point without a piece
+        self.prob = np.exp(self.score)
+
+
+def _slots(nodes: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, parent, slot of each node) of a trie as a double array: many children first, single ones in the gaps; the root has slot 0, classes are from 1 on."""
+    low = max((c for after in nodes for c in after), default=0) + 1
+    free = np.ones(low + 2 * len(nodes) + max(map(len, nodes)), bool)
+    by = {}
+    order = sorted((x for x, after in enumerate(nodes) if after), key=lambda x: -len(nodes[x]))
+    begin, last = low, 0
+    for x in (x for x in order if len(nodes[x]) > 1):
+        c = np.array(sorted(nodes[x]))
+        if len(c) != last:
+            begin, last = low, len(c)
+        while True:
+            if len(free) < begin + 512 + low:
+                free = np.append(free, np.ones(len(free), bool))
+            base = begin + np.flatnonzero(free[begin : begin + 512]) - c[0]
+            fits = np.flatnonzero(free[base[:, None] + c].all(1))
+            if len(fits):
+                break
+            begin += 512
+        by[x] = int(base[fits[0]])
+        free[by[x] + c] = False
+    gaps = iter((low + np.flatnonzero(free[low:])).tolist())
+    for x in (x for x in order if len(nodes[x]) == 1):
+        by[x] = next(gaps) - next(iter(nodes[x]))
+    slot = np.zeros(len(nodes), np.int32)
+    for x, b in by.items():
+        for c, to in nodes[x].items():
+            slot[to] = b + c
+    base, parent = np.zeros(int(slot.max()) + 1, np.int32), np.full(int(slot.max()) + 2 * low, -1, np.int32)
+    for x, b in by.items():
+        base[slot[x]] = b
+        for to in nodes[x].values():
+            parent[slot[to]] = slot[x]
+    return base, parent, slot
 
 
 def vocabulary(model: str | Path = MODEL) -> Vocabulary:
@@ -74,7 +100,7 @@ def vocabulary(model: str | Path = MODEL) -> Vocabulary:
     sp = SentencePieceProcessor(model_file=str(model))
     n = sp.get_piece_size()
     byte = np.full(256, -1, np.int32)
-    pieces, nodes, ends = [], [{}], [-1]
+    pieces, nodes, ends, kinds = [], [{}], [-1], {}
     rank = sorted((i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))), key=lambda i: (-sp.get_score(i), i))
     logp = np.full(n, -np.log(n + ZIPF_SHIFT))
     logp[rank] = -np.log(np.arange(len(rank)) + ZIPF_SHIFT)
@@ -92,6 +118,7 @@ def vocabulary(model: str | Path = MODEL) -> Vocabulary:
         pieces.append(p.replace("▁", " ").encode())
         at = 0
         for c in map(ord, p):
+            c = kinds.setdefault(c, len(kinds) + 1)
             if c not in nodes[at]:
                 nodes[at][c] = len(nodes)
                 nodes.append({})
@@ -100,90 +127,113 @@ def vocabulary(model: str | Path = MODEL) -> Vocabulary:
         ends[at] = i
     if (byte < 0).any():
         raise ValueError("the model has no byte pieces")
-    keys, child = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
-    for node, after in enumerate(nodes):
-        for c, to in after.items():
-            key = (node << 21) | c
-            slot = (key * int(_SPREAD) & (2**64 - 1)) >> (64 - _SLOT_BITS)
-            while keys[slot] >= 0:
-                slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
-            keys[slot], child[slot] = key, to
-    return Vocabulary(pieces, logp - np.log(np.exp(logp).sum()), byte, keys, child, np.array(ends, np.int32))
+    base, parent, slot = _slots(nodes)
+    kind, by_slot = np.zeros(0x110000, np.int32), np.full(len(base), -1, np.int32)
+    kind[list(kinds)] = list(kinds.values())
+    by_slot[slot] = ends
+    return Vocabulary(pieces, logp - np.log(np.exp(logp).sum()), byte, kind, base, parent, by_slot)
 
 
 class Lattices:
-    """Lattices of many words: of each position the first edge and, per edge, target, piece, probability given the position and the running sum of these. Piece -1 stands for the bytes of a code point without a piece."""
+    """Lattices of many words: of each position the first edge and, per edge, source, target, piece, probability given the position and the running sum of these. Piece -1 stands for the bytes of a code point without a piece.
 
-    def __init__(self, v: Vocabulary, points: np.ndarray, end: np.ndarray):
-        """points: code points of all words in a row; end: for each, the end of its word."""
-        n = len(points)
-        live, node, depth = np.arange(n), np.zeros(n, np.int32), 0
-        src, dst, piece = [], [], []
-        while len(live):
-            node = v.step(node, points[live + depth])
-            ok = node >= 0
-            live, node = live[ok], node[ok]
-            depth += 1
-            done = v.ends[node] >= 0
-            src.append(live[done])
-            dst.append(live[done] + depth)
-            piece.append(v.ends[node[done]])
-            more = live + depth < end[live]
-            live, node = live[more], node[more]
-        alone = np.ones(n, bool)
-        alone[src[0]] = False
-        lone = np.flatnonzero(alone)
-        byte = np.where(points[lone] < 128, v.byte[np.minimum(points[lone], 127)], -1).astype(np.int32)
-        src, dst, piece = np.concatenate([*src, lone]), np.concatenate([*dst, lone + 1]), np.concatenate([*piece, byte])
-        order = np.argsort(src, kind="stable")
-        src, self.to, self.piece = src[order], dst[order], piece[order]
-        by_source = np.where(self.piece >= 0, v.logp[self.piece], 3 * v.logp.min())
-        # Edges by source, those nearest to the end of their words first, so that sums run backwards; short numbers are sorted by counting.
-        left = end - np.arange(n)
-        key = left[src]
-        order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
-        after = np.where(self.to < end[src], self.to, n)  # beta[n] stays 0: nothing follows the end of a word
-        s, t, score = src[order], after[order], by_source[order]
-        beta = np.zeros(n + 1)
-        reach = left[s]
-        cut = np.concatenate((np.flatnonzero(np.diff(reach, prepend=-1)), [len(s)]))
-        for a, z in zip(cut[:-1], cut[1:]):
-            x = score[a:z] + beta[t[a:z]]
-            g = np.flatnonzero(np.diff(s[a:z], prepend=-1))
-            top = np.maximum.reduceat(x, g)
-            beta[s[a:z][g]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(g, z - a)))), g))
-        s = src
-        self.p = np.exp(by_source + beta[after] - beta[s])
-        self.first = np.searchsorted(s, np.arange(n + 1))
-        run = np.cumsum(self.p)
-        self.run = run - np.repeat(np.concatenate(([0.0], run))[self.first[:-1]], np.diff(self.first))
-        self.run[self.first[1:] - 1] = np.inf
-        self.end, self.src, self.logp = end, s, np.log(self.p)
+    Positions are numbered by their distance from the end of their word, so that sums run backwards over whole ranges: first the ends of all words, then all last code points, and so on. Longer words come first, so those that reach a distance are the first of it.
+    """
+
+    def __init__(self, v: Vocabulary, points: np.ndarray, end: np.ndarray, size: np.ndarray):
+        """points: code points; end, size: where each word ends in them and how long it is. start: each word's first position."""
+        self.words = words = len(size)
+        rank = np.argsort(-size, kind="stable")
+        size, end = size[rank], end[rank]
+        count = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")  # words that reach a distance
+        count = np.append(words, count)
+        level = np.append(0, np.cumsum(count))
+        self.start = np.empty(words, np.int32)
+        self.start[rank] = level[size] + np.arange(words)
+        n = int(level[-1])
+        back = np.repeat(np.append(0, count[:-1]).astype(np.int32), count)  # from a position to the next one of its word
+        nth = np.arange(n, dtype=np.int32) - np.repeat(level[:-1].astype(np.int32), count)
+        self.points = points[end.astype(np.int32)[nth] - np.repeat(np.arange(len(count), dtype=np.int32), count).clip(1)]
+        kind = v.kind[self.points]
+        kind[:words] = 0
+        src, node, cur = np.arange(words, n, dtype=np.int32), np.int32(0), slice(words, n)
+        edges, fan = [], np.zeros(n, np.int32)
+        while len(src):
+            to = v.base[node] + kind[cur]
+            ok = np.flatnonzero(v.parent[to] == node)
+            src, node = src[ok], to[ok]
+            cur = src - back[src] if isinstance(cur, slice) else cur[ok] - back[cur[ok]]
+            piece = v.ends[node]
+            done = np.flatnonzero(piece >= 0)
+            at = src[done]
+            place = fan[at]
+            fan[at] = place + 1
+            edges.append((at, place, cur[done], piece[done]))
+        lone = (words + np.flatnonzero(fan[words:] == 0)).astype(np.int32)
+        fan[lone] = 1
+        letter = self.points[lone]
+        edges.append((lone, np.zeros(len(lone), np.int32), lone - back[lone], np.where(letter < 128, v.byte[np.minimum(letter, 127)], -1)))
+        self.first = np.zeros(n + 1, np.int32)
+        np.cumsum(fan, out=self.first[1:])
+        self.to, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int32)
+        for at, place, to, piece in edges:
+            at = self.first[at] + place
+            self.to[at], self.piece[at] = to, piece
+        # Sums of probabilities as they are near the ends of words, as logarithms where they could be too small.
+        cut = self.first[level]
+        near = min(len(count), 2 + int(650 / -v.score[-1]))
+        mass, p = np.ones(n), v.prob[self.piece]
+        for d in range(1, near):
+            a, z = cut[d], cut[d + 1]
+            p[a:z] *= mass[self.to[a:z]]
+            mass[level[d] : level[d + 1]] = np.add.reduceat(p[a:z], self.first[level[d] : level[d + 1]] - a)
+        p[: cut[near]] /= np.repeat(mass[: level[near]], fan[: level[near]])
+        if near < len(count):
+            np.log(mass[: level[near]], out=mass[: level[near]])
+            score = v.score[self.piece[cut[near] :]]
+            for d in range(near, len(count)):
+                a, z = cut[d], cut[d + 1]
+                x = score[a - cut[near] : z - cut[near]] + mass[self.to[a:z]]
+                g = self.first[level[d] : level[d + 1]] - a
+                top = np.maximum.reduceat(x, g)
+                many = fan[level[d] : level[d + 1]]
+                mass[level[d] : level[d + 1]] = top = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), g))
+                p[a:z] = np.exp(x - np.repeat(top, many))
+        self.p, self.src = p, np.repeat(np.arange(n, dtype=np.int32), fan)
+        run = np.zeros(len(p) + 1)
+        np.cumsum(p, out=run[1:])
+        before = run[self.first[words:-1]]
+        self.run = run[1:]
+        self.run -= np.repeat(before, fan[words:])
+        self.run[self.first[words + 1 :] - 1] = np.inf
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        e = self.first[at].copy()
+        e = self.first[at]
         low = np.flatnonzero(u >= self.run[e])
+        own, u = e[low], u[low]
         while len(low):
-            e[low] += 1
-            low = low[u[low] >= self.run[e[low]]]
+            own += 1
+            e[low] = own
+            go = np.flatnonzero(u >= self.run[own])
+            low, own, u = low[go], own[go], u[go]
         return e
 
     def walk(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(walker, edge) of the sampled paths from the given positions to the ends of their words, by walker and step."""
-        live, who, took, step = at, np.arange(len(at)), [], np.uint64(0)
-        whose = []
+        """Edges of the sampled paths from the given positions to the ends of their words, and the number of each path's."""
+        live, who, steps = at, np.arange(len(at), dtype=np.int32), []
+        length = np.zeros(len(at), np.int64)
         while len(live):
-            e = self.choose(live, uniform(key, step))
-            whose.append(who)
-            took.append(e)
+            e = self.choose(live, uniform(key, np.uint64(len(steps))))
+            steps.append((who, e))
+            length[who] = len(steps)
             live = self.to[e]
-            go = live < self.end[self.src[e]]
-            live, who, key, step = live[go], who[go], key[go], step + np.uint64(1)
-        if not took:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        whose, took = np.concatenate(whose), np.concatenate(took)
-        order = np.argsort(whose, kind="stable")
-        return whose[order], took[order]
+            go = np.flatnonzero(live >= self.words)
+            live, who, key = live[go], who[go], key[go]
+        begin = np.cumsum(length) - length
+        took = np.empty(int(length.sum()), np.int32)
+        for i, (who, e) in enumerate(steps):
+            took[begin[who] + i] = e
+        return took, length
 
 
 def mix2(x: np.ndarray) -> np.ndarray:
@@ -217,21 +267,21 @@ class Rest:
         span = 64
         while True:
             head = path[start : start + span]
-            after = np.cumsum(x.logp[head])
-            if len(head) < span or after[-1] < -45:
+            p = x.p[head]
+            after = p.cumprod()
+            if len(head) < span or after[-1] < 1e-19:
                 break
             span *= 4
-        node = x.src[head]
-        options = x.first[node + 1] - x.first[node]
-        mass = np.where(options > 1, 1.0 - x.p[head], 0.0)
+        mass = 1.0 - p  # an only edge has exactly 1
         if tried and len(head):
-            mass[0] = max(0.0, mass[0] - sum(x.p[e] for e in tried)) if options[0] > len(tried) + 1 else 0.0
-        mass[1:] *= np.exp(after[:-1])
+            node = x.src[head[0]]
+            mass[0] = max(0.0, mass[0] - sum(x.p[e] for e in tried)) if x.first[node + 1] - x.first[node] > len(tried) + 1 else 0.0
+        mass[1:] *= after[:-1]
         self.mass = mass
         self.draw(bound, u)
 
     def draw(self, bound: float, u: float) -> None:
-        self.run = np.cumsum(self.mass)
+        self.run = self.mass.cumsum()
         total = float(self.run[-1]) if len(self.run) else 0.0
         self.value = _below(self.before + log(total), bound, u) if total > 0 else -inf
 
@@ -247,9 +297,9 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
     spare = uniform(base[:, None] + np.arange(1, 4 * k + 2, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9), np.uint64(1 << 40))
     text_of = np.repeat(np.arange(n), np.diff(first))
     place = (np.arange(len(word)) - first[text_of]).astype(np.uint64)
-    who, took = x.walk(word, base[text_of] + place * np.uint64(0x94D049BB133111EB))
-    cut = np.searchsorted(who, first)
-    sums = np.concatenate(([0.0], np.cumsum(x.logp[took])))
+    took, length = x.walk(word, base[text_of] + place * np.uint64(0x94D049BB133111EB))
+    who, cut = np.repeat(np.arange(len(word), dtype=np.int32), length), np.append(0, np.cumsum(length))[first]
+    sums = np.append(0.0, np.cumsum(np.log(x.p[took])))
     found, rests = [], []
     for d in range(n):
         a, z = cut[d], cut[d + 1]
@@ -265,7 +315,7 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
                 continue
             u1, u2, u3, u4 = spare[d, 4 * turn - 2 : 4 * turn + 2]
             score = best.value
-            at = min(int(np.searchsorted(best.run, u1 * best.run[-1], "right")), len(best.run) - 1)
+            at = min(int(best.run.searchsorted(u1 * best.run[-1], "right")), len(best.run) - 1)
             old, own, *_ = found[d][best.number]
             j = best.start + at
             used = (*(best.tried if at == 0 else ()), int(old[j]))
@@ -273,11 +323,11 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
             best.draw(score, u2)
             node = x.src[old[j]]
             edges = [e for e in range(x.first[node], x.first[node + 1]) if e not in used]
-            run = np.cumsum(x.p[edges])
-            e = edges[min(len(edges) - 1, int(np.searchsorted(run, u3 * run[-1], "right")))]
+            run = x.p[edges].cumsum()
+            e = edges[min(len(edges) - 1, int(run.searchsorted(u3 * run[-1], "right")))]
             w = int(own[j])
-            inside = bool(x.to[e] < x.end[node])
-            plans.append((d, best.number, j, e, w, used, score, u4, inside))
+            inside = bool(x.to[e] >= x.words)
+            plans.append((d, best.number, j, e, w, used, score, u4))
             if inside:
                 states.append(np.array([x.to[e]]))
                 state_word.append(np.array([w]))
@@ -288,16 +338,15 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
             break
         states, state_text, state_word = map(np.concatenate, (states, state_text, state_word))
         salt = np.uint64(turn) << np.uint64(48)
-        who, took = x.walk(states, (base[state_text] ^ salt) + (state_word - first[state_text]).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-        whose = state_text[who]
-        sums = np.concatenate(([0.0], np.cumsum(x.logp[took])))
-        lo, hi = np.searchsorted(whose, [p[0] for p in plans], "left"), np.searchsorted(whose, [p[0] for p in plans], "right")
-        own_new = state_word[who]
-        for (d, number, j, e, w, used, score, u4, _), a, z in zip(plans, lo, hi):
+        took, length = x.walk(states, (base[state_text] ^ salt) + (state_word - first[state_text]).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+        sums = np.append(0.0, np.cumsum(np.log(x.p[took])))
+        cut = np.append(0, np.cumsum(length))[np.searchsorted(state_text, [p[0] for p in plans] + [n])]
+        own_new = np.repeat(state_word.astype(np.int32), length)
+        for (d, number, j, e, w, used, score, u4), a, z in zip(plans, cut[:-1], cut[1:]):
             old, own, *_rest = found[d][number]
             path = np.concatenate((old[:j], [e], took[a:z]))
-            before = float(x.logp[old[:j]].sum())
-            found[d].append((path, np.concatenate((own[:j], [w], own_new[a:z])), before + float(x.logp[e]) + float(sums[z] - sums[a]), score))
+            before = float(np.log(x.p[old[:j]]).sum())
+            found[d].append((path, np.concatenate((own[:j], [w], own_new[a:z])), before + log(x.p[e]) + float(sums[z] - sums[a]), score))
             rests[d].append(Rest(x, len(found[d]) - 1, path, j, before, used, score, u4))
         open_ = [p[0] for p in plans]
     out = []
@@ -307,44 +356,59 @@ def sample(x: Lattices, word: np.ndarray, first: np.ndarray, keys: np.ndarray, k
     return out
 
 
+def decoded(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> Iterator[bytes]:
+    """The UTF-8 texts of sequences of ids, which begin at the given places and end with the last; the space before the first word goes."""
+    size = v.size[ids]
+    run = np.append(np.int32(0), np.cumsum(size, dtype=np.int32))
+    every = v.flat[np.repeat(v.at[ids] - run[:-1], size) + np.arange(run[-1], dtype=np.int32)].tobytes()
+    cut = run[begin].tolist()
+    return (every[a + 1 : z] for a, z in zip(cut[:-1], cut[1:]))
+
+
 def decode_bytes(v: Vocabulary, ids) -> bytes:
     """The UTF-8 text of a sequence of ids; the space before the first word goes."""
-    ids = np.asarray(ids, np.int64)
-    size = v.size[ids]
-    run = np.cumsum(size)
-    return v.flat[np.repeat(v.at[ids] - run + size, size) + np.arange(run[-1] if len(run) else 0)].tobytes()[1:]
+    return next(decoded(v, np.asarray(ids, np.int32), np.array([0, len(ids)])))
 
 
 def decode(v: Vocabulary, ids) -> str:
     return decode_bytes(v, ids).decode("utf-8", "replace")
 
 
-def _ids(v: Vocabulary, x: Lattices, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _ids(v: Vocabulary, x: Lattices, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of edges, and where each edge's ids begin, with the end of all."""
     ids = x.piece[edges]
-    if (ids >= 0).all():
-        return ids
-    out = []
-    for i, e in zip(ids.tolist(), edges.tolist()):
-        if i >= 0:
-            out.append(i)
-        else:
-            c = int(points[x.src[e]])
-            out += v.byte[list(chr(SPACE if c == LITERAL else c).encode("utf-8", "surrogatepass"))].tolist()
-    return np.array(out, np.int32)
+    bare = ids < 0
+    if not bare.any():
+        return ids, np.arange(len(ids) + 1)
+    letter = x.points[x.src[edges[bare]]].astype("<u4")
+    letter[letter == LITERAL] = SPACE
+    many = np.ones(len(ids), np.int64)
+    many[bare] = 1 + (letter >= 0x80).astype(np.int64) + (letter >= 0x800) + (letter >= 0x10000)
+    out = np.repeat(ids, many)
+    out[np.repeat(bare, many)] = v.byte[np.frombuffer(letter.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)]
+    return out, np.append(0, np.cumsum(many))
 
 
 _SAMPLE = [pa.field(n, t) for n, t in (("n_ids", pa.int32()), ("ids_sha256", pa.string()), ("log_prob", pa.float64()), ("score", pa.float64()), ("inclusion", pa.float64()), ("decodes", pa.bool_()), ("ids", pa.list_(pa.int32())))]
 _SAMPLE_SQL = "array<struct<n_ids:int,ids_sha256:string,log_prob:double,score:double,inclusion:double,decodes:boolean,ids:array<int>>>"
 
 
-def encode_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
-    """Of each text the samples as (ids, log-probability, perturbed score, inclusion)."""
+@dataclass
+class Samples:
+    """Samples of some texts in a row: ids of all, where each sample's begin, each text's number of samples, and of each log-probability, perturbed score and inclusion."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    many: list[int]
+    values: list[tuple[float, float, float]]
+
+
+def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> Samples:
     marked = [("▁" + t.replace("▁", chr(LITERAL)).replace(" ", "▁")) if t else "" for t in texts]
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    edge = np.concatenate(([0], np.cumsum([len(t) for t in marked])))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.int32)
+    edge = np.append(0, np.cumsum([len(t) for t in marked]))
     if not len(points):
-        yield from ([(np.zeros(0, np.int32), 0.0, 0.0, 1.0)] for _ in texts)
-        return
+        return Samples(np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), [1] * len(texts), [(0.0, 0.0, 1.0)] * len(texts))
     space, line = points == SPACE, points == 10
     begin = np.zeros(len(points), bool)
     begin[edge[:-1][edge[:-1] < len(points)]] = True
@@ -353,38 +417,51 @@ def encode_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> I
     end = np.append(start[1:], len(points))
     # One lattice per different word of the batch.
     p, inv = W.powers(0xD1342543DE82EF95, len(points) + 1)
-    run = np.concatenate(([np.uint64(0)], np.cumsum(W.mix(points.astype(np.uint64) + np.uint64(1)) * p[: len(points)])))
+    run = np.append(np.uint64(0), np.cumsum(W.mix(points.astype(np.uint64) + np.uint64(1)) * p[: len(points)]))
     h = W.mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64))
     _, where, which = np.unique(h, return_index=True, return_inverse=True)
-    size = (end - start)[where]
-    zero = np.concatenate(([0], np.cumsum(size)))
-    own = np.repeat(start[where] - zero[:-1], size) + np.arange(zero[-1])
-    pts = points[own]
-    x = Lattices(v, pts, np.repeat(zero[1:], size))
-    word = zero[which]
-    for got in sample(x, word, np.searchsorted(start, edge), keys, k):
-        yield [(_ids(v, x, pts, e), lp, g, q) for e, lp, g, q in got]
+    x = Lattices(v, points, end[where], (end - start)[where])
+    got = sample(x, x.start[which], np.searchsorted(start, edge), keys, k)
+    paths = [e for samples in got for e, *_ in samples]
+    ids, at = _ids(v, x, np.concatenate(paths))
+    return Samples(ids, at[np.append(0, np.cumsum(list(map(len, paths))))], list(map(len, got)), [tuple(rest) for samples in got for _, *rest in samples])
+
+
+def encode_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
+    """Of each text the samples as (ids, log-probability, perturbed score, inclusion)."""
+    got = sample_texts(v, texts, keys, k)
+    each = zip(got.begin[:-1], got.begin[1:], got.values)
+    for n in got.many:
+        yield [(got.ids[a:z], *rest) for a, z, rest in islice(each, n)]
 
 
 def _encode(shared: Broadcast, k: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            for w in W.slices(b.column("text"), limit=SLICE_BYTES):
-                raw = w.buf.tobytes()
-                parts = [raw[a:z] for a, z in zip(w.text[:-1], w.text[1:])]
-                keys = b.column("key").slice(w.row, len(parts)).to_numpy(zero_copy_only=False)
-                cols, edge, first = [[] for _ in _SAMPLE], [0], []
-                for t, got in zip(parts, encode_texts(v, [t.decode("utf-8", "replace") for t in parts], keys, k)):
-                    for i, lp, g, q in got:
-                        for c, x in zip(cols, (len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), lp, g, q, decode_bytes(v, i) == t, i.astype(np.int32) if with_ids else None)):
-                            c.append(x)
-                    edge.append(len(cols[0]))
-                    first.append(got[0][0].astype(np.int32) if with_ids else None)
-                samples = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SAMPLE)], fields=_SAMPLE)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(w.row, len(parts)), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), samples), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "samples", "ids"]
+            buf, off = W.text_buffers(b.column("text"))
+            at = 0
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+                parts = [buf[a:z].tobytes() for a, z in zip(off[at:to], off[at + 1 : to + 1])]
+                keys = b.column("key").slice(at, to - at).to_numpy(zero_copy_only=False)
+                got = sample_texts(v, [t.decode("utf-8", "replace") for t in parts], keys, k)
+                raw, written = memoryview(got.ids.astype("<i4").tobytes()), decoded(v, got.ids, got.begin)
+                own = [t for t, n in zip(parts, got.many) for _ in range(n)]
+                lp, g, q = zip(*got.values)
+                columns = (
+                    np.diff(got.begin).astype(np.int32),
+                    [hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in zip(got.begin[:-1].tolist(), got.begin[1:].tolist())],
+                    lp,
+                    g,
+                    q,
+                    [t == w for t, w in zip(own, written)],
                 )
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, _SAMPLE)]
+                arrays.append(pa.ListArray.from_arrays(pa.array(got.begin, pa.int32()), pa.array(got.ids, pa.int32())) if with_ids else pa.nulls(len(own), pa.list_(pa.int32())))
+                samples = pa.StructArray.from_arrays(arrays, fields=_SAMPLE)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(got.many)), pa.int32()), samples)], names=["doc_id", "samples"])
+                at = to
 
     return run
 
@@ -410,4 +487,4 @@ def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str | Path = MODEL
         rows = rows.groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("n")).select("doc_id", "text", F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
         key.append(F.col("nth"))
     rows = rows.select("doc_id", "text", F.xxhash64(*key).alias("key"))
-    return rows.mapInArrow(_encode(share(docs.sparkSession, model), k, with_ids), f"doc_id long, samples {_SAMPLE_SQL}, ids array<int>")
+    return rows.mapInArrow(_encode(share(docs.sparkSession, model), k, with_ids), f"doc_id long, samples {_SAMPLE_SQL}").withColumn("ids", F.col("samples")[0]["ids"])

@@ -539,3 +539,76 @@ def test_sentencepiece_decodes_by_the_table_of_pieces():
     ids = random.Random(3).choices(range(len(v.piece)), k=5000)
     assert v.flat.tobytes() == b"".join(v.piece) and segmentation.decode_bytes(v, ids) == b"".join(v.piece[i] for i in ids)[1:]
     assert segmentation.decode_bytes(v, []) == b""
+
+
+def pieces_of(v):
+    single = set(v.byte.tolist())
+    return {p.decode().replace(" ", "▁"): i for i, p in enumerate(v.piece) if p and i not in single}
+
+
+def test_trie_holds_every_piece_and_nothing_else():
+    v = segmentation.vocabulary()
+    pieces = pieces_of(v)
+    begun = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+    r = random.Random(7)
+    others = {p[: r.randint(0, len(p))] + chr(r.choice([0x61, 0x2581, 0x4E00, 0x1F600, 0xF2581, r.randint(32, 0x2FFF)])) for p in r.choices(list(pieces), k=20000)}
+    for text in [*begun, *others]:
+        node = 0
+        for c in map(ord, text):
+            to = int(v.base[node]) + int(v.kind[c])
+            node = to if v.parent[to] == node else -1
+            if node < 0:
+                break
+        assert (node >= 0) == (text in begun) and (node < 0 or v.ends[node] == pieces.get(text, -1)), text
+
+
+def test_lattices_near_and_far_from_the_ends_of_words():
+    """Probabilities of all edges of words up to 90 long, with code points that have no piece, against sums of logarithms."""
+    v, r = segmentation.vocabulary(), random.Random(11)
+    words = ["".join(r.choices("▁theanior漢\U0001f600\x01", k=k)) for k in (1, 1, 2, 5, 17, 18, 19, 20, 40, 90)] + ["\U0001f600" * 60]
+    r.shuffle(words)
+    points, size = np.array(list(map(ord, "".join(words))), np.int32), np.array(list(map(len, words)))
+    x = segmentation.Lattices(v, points, np.cumsum(size), size)
+    pieces = pieces_of(v)
+    for w, at in zip(words, x.start.tolist()):
+        after, beta = {}, {len(w): 0.0}
+        for i in reversed(range(len(w))):
+            after[i] = [(j, pieces[w[i:j]], float(v.logp[pieces[w[i:j]]])) for j in range(i + 1, len(w) + 1) if w[i:j] in pieces]
+            if not after[i]:
+                b = int(v.byte[ord(w[i])]) if ord(w[i]) < 128 else -1
+                after[i] = [(i + 1, b, float(v.logp[b]) if b >= 0 else 3 * float(v.logp.min()))]
+            top = max(lp + beta[j] for j, _, lp in after[i])
+            beta[i] = top + math.log(sum(math.exp(lp + beta[j] - top) for j, _, lp in after[i]))
+        todo, seen = [(at, 0)], set()
+        while todo:
+            node, i = todo.pop()
+            if i == len(w) or node in seen:
+                assert i < len(w) or node < x.words
+                continue
+            seen.add(node)
+            edges = range(x.first[node], x.first[node + 1])
+            assert x.points[node] == ord(w[i]) and [int(x.piece[e]) for e in edges] == [p for _, p, _ in after[i]]
+            for e, (j, _, lp) in zip(edges, after[i]):
+                assert x.src[e] == node and x.p[e] == pytest.approx(math.exp(lp + beta[j] - beta[i]), rel=1e-9)
+                todo.append((int(x.to[e]), j))
+
+
+def test_sampling_needs_bounded_memory_and_few_calls_a_text():
+    """Counts that don't depend on the machine; before lattices were numbered by distance 186 bytes a byte of text and 152 calls a text."""
+    import cProfile
+    import pstats
+    import tracemalloc
+
+    v, r = segmentation.vocabulary(), random.Random(4)
+    texts = [" ".join("".join(r.choices(["th", "er", "on", "ing", "re", "st", "an", "ble", "ou"], k=r.randint(1, 5))) for _ in range(300)) for _ in range(250)]
+    keys = np.arange(len(texts))
+    list(segmentation.encode_texts(v, texts, keys, 2))
+    tracemalloc.start()
+    for _ in segmentation.encode_texts(v, texts, keys, 2):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140 * sum(map(len, texts))
+    profile = cProfile.Profile()
+    profile.runcall(lambda: list(segmentation.encode_texts(v, texts, keys, 2)))
+    assert pstats.Stats(profile).total_calls < 120 * len(texts)
