@@ -419,7 +419,10 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> S
     p, inv = W.powers(0xD1342543DE82EF95, len(points) + 1)
     run = np.append(np.uint64(0), np.cumsum(W.mix(points.astype(np.uint64) + np.uint64(1)) * p[: len(points)]))
     h = W.mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64))
-    _, where, which = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    new = np.append(True, np.diff(h[order]) != 0)
+    where, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
     x = Lattices(v, points, end[where], (end - start)[where])
     got = sample(x, x.start[which], np.searchsorted(start, edge), keys, k)
     paths = [e for samples in got for e, *_ in samples]
